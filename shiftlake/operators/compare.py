@@ -90,7 +90,8 @@ def dod_overall_by_day(df: DataFrame, params: Params) -> DataFrame:
 
 def _region_changes(cur: DataFrame, prv: DataFrame, keys: list) -> DataFrame:
     c = F.col
-    j = cur.join(prv, [*keys, "region"], "left").withColumn("p", F.coalesce(c("p"), F.lit(0.0)))
+    on = [k for k in keys if k in prv.columns] + ["region"]
+    j = cur.join(prv, on, "left").withColumn("p", F.coalesce(c("p"), F.lit(0.0)))
     ch = c("o") - c("p")
     out = j.select(
         *[k for k in keys], "region",

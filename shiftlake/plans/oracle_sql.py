@@ -127,7 +127,7 @@ def _flags_sql(fleet_ref: str) -> str:
       CASE WHEN km_per_order > {fleet_ref} * 1.5 AND completed_orders > 0 THEN '{F5}'
            WHEN total_km > 20 AND total_earnings < total_km * 5 THEN '{F6}' END,
       CASE WHEN missed_notif_pct > 50 THEN '{F7}' END
-    ], x -> x IS NOT NULL)"""
+    ], lambda x: x IS NOT NULL)"""
 
 
 FLEET = """CASE WHEN count(*) FILTER (WHERE completed_orders > 0) > 0
