@@ -79,12 +79,21 @@ def dod_overall(current: DataFrame, previous: DataFrame, params: Params) -> Data
 
 
 def dod_overall_by_day(df: DataFrame, params: Params) -> DataFrame:
-    """Every date against its previous snapshot date, in one job."""
+    """Every date against its previous snapshot date, in one aggregation pass.
+
+    The totals hold exactly one row per snapshot date, so ``lag`` over them
+    *is* the previous snapshot date (no self-join); that window sees one
+    row per calendar day, never the driver rows.
+    """
     t = _totals(df.where(F.col("Date").isNotNull()), params, ("Date",))
-    pairs = snapshot_dates(df).where(F.col("prev_Date").isNotNull())
-    prv = t.select(F.col("Date").alias("prev_Date"), F.col("o").alias("po"),
-                   F.col("c").alias("pc"), F.col("k").alias("pk"))
-    both = pairs.join(t, "Date").join(prv, "prev_Date")
+    w = Window.orderBy("Date")
+    both = t.select(
+        "Date", "o", "c", "k",
+        F.lag("Date").over(w).alias("prev_Date"),
+        F.lag("o").over(w).alias("po"),
+        F.lag("c").over(w).alias("pc"),
+        F.lag("k").over(w).alias("pk"),
+    ).where(F.col("prev_Date").isNotNull())
     return _overall(both, ["Date", "prev_Date"])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlake.functions.schema import KEY_COLUMNS
@@ -63,18 +63,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and len(fs.listStatus(p)) > 0
 
 
-def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None) -> bool:
+def write_by_date(df: DataFrame, path: str, files_per_date: int, mode: str = "overwrite",
+                  dynamic: bool = True) -> None:
+    """Date-partitioned Parquet write with at most ``files_per_date`` files per Date.
+
+    Rows are redistributed by (Date, hash of the row key mod n): a Date is
+    spread over up to n tasks (a hot Date does not land in one task) and
+    no task writes files for every Date (no partitions x dates small files).
+    """
+    keys = [c for c in KEY_COLUMNS if c in df.columns and c != "Date"]
+    salt = (F.abs(F.xxhash64(*keys)) % F.lit(max(1, files_per_date))) if keys else F.lit(0)
+    w = df.repartition(F.col("Date"), salt).write.mode(mode)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("Date").parquet(path)
+
+
+def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None,
+           files_per_date: int = 4) -> bool:
     """Merge a batch into the Date-partitioned master, keeping the last copy per key (K1).
 
     Reads only the partitions whose Date occurs in the batch (null-safe
     left-semi join, so the NULL-Date partition is merged too), unions,
-    dedups, and overwrites exactly those partitions. Returns False for an
-    empty batch (no-op).
+    dedups, and overwrites exactly those partitions. An empty batch touches
+    no partition; returns whether the batch had rows (counted by the write
+    job itself through an observation, not by an extra scan).
     """
     spark = batch.sparkSession
-    if batch.isEmpty():
-        return False
-    new = with_arrival_order(batch, batch_id)
+    seen = Observation("upsert_batch")
+    new = with_arrival_order(batch.observe(seen, F.count(F.lit(1)).alias("rows")), batch_id)
     if _exists(spark, master_path):
         existing = spark.read.parquet(master_path)
         touched = batch.select(F.col("Date").alias("_d")).distinct()
@@ -84,9 +101,8 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
     else:
         combined = new
     out = keep_last(combined, dedup_keys(combined), [BATCH, SEQ])
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("Date").parquet(master_path))
-    return True
+    write_by_date(out, master_path, files_per_date)
+    return int(seen.get.get("rows", 0) or 0) > 0
 
 
 def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
@@ -98,7 +114,7 @@ def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
     out = keep_last(combined, dedup_keys(combined), [c for c in (BATCH, "_mtime", "_path", "_block", SEQ)
                                                      if c in combined.columns])
     out = out.drop("_mtime", "_path", "_block")
-    out.write.mode("overwrite").partitionBy("Date").parquet(master_path)
+    write_by_date(out, master_path, files_per_date=4, dynamic=False)
     return out.sparkSession.read.parquet(master_path)
 
 

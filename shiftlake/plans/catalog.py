@@ -24,17 +24,30 @@ P = QUERY_PARAMS
 DAY = ("Date",)
 
 
+# Logical plans (not data) of the shared frames, built once per session and
+# input folder: a DataFrame is an immutable plan, so every query that starts
+# from it still scans and computes from the parquet files when it runs.
+_PLANS: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf: str, build):
+    key = (kind, id(spark._jsparkSession), sf)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.driver_day(spark, sf)
+    return _memo("raw", spark, sf, lambda: tables.driver_day(spark, sf))
 
 
 def _dd(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned, filtered driver-day frame every analysis starts from."""
-    return cleaning.prepare(_raw(spark, sf), P)
+    return _memo("dd", spark, sf, lambda: cleaning.prepare(_raw(spark, sf), P))
 
 
 def _act(spark, sf):
-    return integrity.activity_summary(_dd(spark, sf), P)
+    return _memo("act", spark, sf, lambda: integrity.activity_summary(_dd(spark, sf), P))
 
 
 # --- scans, cleaning, projections -------------------------------------------------------

@@ -6,11 +6,11 @@ renderer (or a BI tool) can read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlake.functions.expr import change_class, py_float_text, signed_1dp_text
-from shiftlake.operators import compare, drivers, regions, shifts
+from shiftlake.functions.expr import change_class, py_float_text, rnd, signed_1dp_text
+from shiftlake.operators import drivers, regions
 from shiftlake.operators.cleaning import with_cancellation_rate
 from shiftlake.operators.common import metric, roles, top_k
 from shiftlake.params import Params
@@ -112,44 +112,56 @@ def region_changes_table(region_changes: DataFrame, n: int = 10) -> DataFrame:
 
 def cash_regions_table(df: DataFrame, params: Params, by=(), n: int = 10) -> DataFrame:
     """Top-N regions by total cash from the monthly breakdown."""
-    lb = shifts_location_breakdown(df, params, by)
+    lb = regions.location_breakdown(df, params, by)
     return top_k(lb, [F.col("total_cash").desc(), F.col("region").asc_nulls_first()], n, by)
 
 
-def shifts_location_breakdown(df, params, by=()):
-    return regions.location_breakdown(df, params, by)
-
-
 def insights(df: DataFrame, params: Params) -> DataFrame:
     """The insight lines for every Date, compared with the previous date.
 
     Rows (ord, kind, value, value_total, text). The two list counts are
     capped at top_n as the reference's lists are; ``value_total`` keeps the
     uncapped count. Only rules whose condition holds emit a row.
+
+    One aggregation pass over the rows at (Date, region) grain, a rollup to
+    one row per Date (region totals give the top region), and ``lag`` over
+    those per-date rows for the previous snapshot: no join, one scan.
     """
-    by = ("Date",)
     d = with_cancellation_rate(df.where(F.col("Date").isNotNull()), params)
     r = roles(d, params)
-    ic = r["idle"]
+    ic, hc = r["idle"], r["hours"]
     has_c = r["cancelled"] is not None
     hot_c = (F.col("cancellation_rate") > params.cancellation_rate_warning) & \
         (F.col("total_orders") >= params.min_orders) & F.lit(has_c)
     hot_i = (metric(d, ic) > params.idle_hours_warning) & F.lit(ic is not None)
-    hc = r["hours"]
     h = metric(d, hc)
-    per_day = d.groupBy(*by).agg(
-        F.sum(F.when((h > 12) & F.lit(hc is not None), 1).otherwise(0)).cast("bigint").alias("over12"),
-        F.sum(F.when((h < 8) & F.lit(hc is not None), 1).otherwise(0)).cast("bigint").alias("under8"),
-        F.sum(F.when(hot_c, 1).otherwise(0)).cast("bigint").alias("n_cancel"),
-        F.sum(F.when(hot_i, 1).otherwise(0)).cast("bigint").alias("n_idle"),
+    region = F.col("driver_geo_region") if "driver_geo_region" in d.columns else F.lit(None).cast("string")
+    cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    dec = F.col("total_orders").cast("decimal(18,4)")
+    a1 = d.groupBy("Date", region.alias("region")).agg(
+        cnt((h > 12) & F.lit(hc is not None)).alias("over12"),
+        cnt((h < 8) & F.lit(hc is not None)).alias("under8"),
+        cnt(hot_c).alias("n_cancel"),
+        cnt(hot_i).alias("n_idle"),
+        F.coalesce(F.sum(dec), F.lit(0).cast("decimal(18,4)")).alias("o"),
+    )
+    region_orders = F.col("o").cast("double").cast("bigint")
+    top_key = F.when(F.col("region").isNotNull(), F.struct((-region_orders).alias("neg"), F.col("region")))
+    a2 = a1.groupBy("Date").agg(
+        F.sum("over12").alias("over12"), F.sum("under8").alias("under8"),
+        F.sum("n_cancel").alias("n_cancel"), F.sum("n_idle").alias("n_idle"),
+        F.sum("o").cast("double").alias("o"),
+        F.min_by("region", top_key).alias("top_region"),
+        F.min_by(region_orders, top_key).alias("top_orders"),
     )
-    lp = regions.location_performance(d, params, by)
-    top_region = top_k(lp, [F.col("total_orders").desc(), F.col("region").asc_nulls_first()], 1, by) \
-        .select(*by, F.col("region").alias("top_region"), F.col("total_orders").alias("top_orders"))
-    dod = compare.dod_overall_by_day(d, params).select(
-        *by, F.col("orders_change").alias("och"), F.col("orders_pct_change").alias("opct"))
-    # one row per Date on every side
-    j = per_day.join(top_region, list(by), "left").join(dod, list(by), "left")
+    w = Window.orderBy("Date")  # one row per snapshot date
+    po = F.lag("o").over(w)
+    j = a2.select("*", (F.col("o") - po).alias("_ch"), po.alias("_po"))
+    j = j.select(
+        "*", F.when(F.col("_po").isNotNull(), F.col("_ch").cast("bigint")).alias("och"),
+        F.when(F.col("_po") > 0, rnd(F.col("_ch") / F.col("_po") * F.lit(100.0), 2))
+         .when(F.col("_po").isNotNull(), F.lit(0.0)).alias("opct"))
+    by = ("Date",)
     cap = F.lit(params.top_n)
     n_c, n_i = F.least(F.col("n_cancel"), cap), F.least(F.col("n_idle"), cap)
     direction = F.when(F.col("och") > 0, F.lit(DIRECTION_UP)).otherwise(F.lit(DIRECTION_DOWN))
