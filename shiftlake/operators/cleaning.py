@@ -38,7 +38,7 @@ def filter_vehicle(df: DataFrame, exclude: str | None, observation: Observation
         df = df.observe(
             observation,
             F.count(F.lit(1)).alias("rows_in"),
-            F.sum(F.when(drop, 1).otherwise(0)).alias("rows_removed"),
+            F.count_if(drop).alias("rows_removed"),
         )
     return df.where(~drop)
 

@@ -30,9 +30,9 @@ def driver_overview(df: DataFrame, params: Params, by=()) -> DataFrame:
     hc = roles(df, params)["hours"]
     if hc:
         h = metric(df, hc)
-        under = F.sum(F.when(h < 8, 1).otherwise(0))
-        mid = F.sum(F.when((h >= 8) & (h <= 12), 1).otherwise(0))
-        over = F.sum(F.when(h > 12, 1).otherwise(0))
+        under = F.count_if(h < 8)
+        mid = F.count_if((h >= 8) & (h <= 12))
+        over = F.count_if(h > 12)
     else:
         under = mid = over = F.lit(0)
     mobile = F.col("driver_mobile") if "driver_mobile" in df.columns else F.lit(None)

@@ -34,7 +34,7 @@ def shift_durations(df: DataFrame, params: Params, by=()) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total_active_drivers")]
     for i, cnd in enumerate(conds):
         aggs += [
-            F.sum(F.when(cnd, 1).otherwise(0)).cast("bigint").alias(f"c{i}"),
+            F.count_if(cnd).alias(f"c{i}"),
             exact_sum(F.when(cnd, cash)).alias(f"s{i}"),
             exact_sum(F.when(cnd, orders)).alias(f"o{i}"),
         ]
@@ -78,9 +78,11 @@ def login_hour_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
     if fc is None:
         return df.sparkSession.createDataFrame(
             [], "hour int, hour_label string, driver_count bigint, avg_cash double, avg_notifications double")
-    t = F.col(fc)
-    if dict(df.dtypes)[fc] == "string":
+    t, kind = F.col(fc), dict(df.dtypes)[fc]
+    if kind == "string":
         t = F.try_to_timestamp(F.trim(t))
+    elif not (kind.startswith("timestamp") or kind == "date"):
+        t = F.lit(None).cast("timestamp")  # the alias hit a non-time column: nothing parses
     hr = F.hour(t)
     cash = metric(df, _role_col(df, params, "cash"))
     notif = metric(df, _role_col(df, params, "notifications"))

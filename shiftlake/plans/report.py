@@ -136,7 +136,7 @@ def insights(df: DataFrame, params: Params) -> DataFrame:
     hot_i = (metric(d, ic) > params.idle_hours_warning) & F.lit(ic is not None)
     h = metric(d, hc)
     region = F.col("driver_geo_region") if "driver_geo_region" in d.columns else F.lit(None).cast("string")
-    cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    cnt = lambda cond: F.count_if(cond)
     dec = F.col("total_orders").cast("decimal(18,4)")
     a1 = d.groupBy("Date", region.alias("region")).agg(
         cnt((h > 12) & F.lit(hc is not None)).alias("over12"),

@@ -34,7 +34,7 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _count_if(cond) -> F.Column:
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("double")
+    return F.count_if(cond).cast("double")
 
 
 def driver_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ COLUMNS = {
     "Date": "date", "driver_name": "string", "driver_mobile": "string", "driver_geo_region": "string",
     "vehicle_number": "string", "vehicle_type": "string",
     "allocated_orders": "double", "completed_orders": "double", "partner_cancellation": "double",
-    "total_login_time_in_hrs": "double", "time_spent_orders_in_hrs": "double", "time_spent_idle_in_hrs": "double",
+    "first_recorded_login_time": "timestamp_ntz", "total_login_time_in_hrs": "double", "time_spent_orders_in_hrs": "double", "time_spent_idle_in_hrs": "double",
     "total_distance_in_kms": "double", "distance_travelled_while_idle_in_kms": "double", "trip_fare": "double",
     "pct_notifs_missed_overall": "double", "total_orders": "double", "orders_cancelled": "double",
     "idle_hours": "double", "online_hours": "double", "cash_collected": "double", "notifications": "double",
