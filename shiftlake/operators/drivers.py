@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shiftlake.functions.expr import rnd, trunc_int
 from shiftlake.operators.cleaning import with_cancellation_rate
 from shiftlake.operators.common import metric, roles, text_or, tie_break, top_k, with_total_orders
+from shiftlake.operators.stats import exact_median
 from shiftlake.params import Params
 
 # Statistics of float metrics are reported to 6 decimals: Spark's and
@@ -67,14 +68,14 @@ def summary_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
             [], "metric string, mean double, median double, std double, min double, max double")
     long = df.select(*by, *[F.col(c).cast("double").alias(n) for n, c in picked]).unpivot(
         list(by), [n for n, _ in picked], "metric", "value")
-    v = F.col("value")
-    return long.groupBy(*by, "metric").agg(
-        rnd(F.avg(v), STAT_DP).alias("mean"),
-        rnd(F.median(v), STAT_DP).alias("median"),
-        rnd(F.stddev_samp(v), STAT_DP).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    )
+    x = F.col("_x")
+    med = exact_median(long, [*by, "metric"], "value", params, out="_median", extra=[
+        rnd(F.avg(x), STAT_DP).alias("mean"),
+        rnd(F.stddev_samp(x), STAT_DP).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    ])
+    return med.select(*by, "metric", "mean", rnd("_median", STAT_DP).alias("median"), "std", "min", "max")
 
 
 def top_performers(df: DataFrame, params: Params, by=()) -> DataFrame:

@@ -121,3 +121,20 @@ def test_previous_snapshot_and_none(spark):
     df = frame(spark, rows)
     assert [str(r["Date"]) for r in compare.previous_snapshot(df).collect()] == ["2024-01-02"]
     assert compare.previous_snapshot(df, D1).count() == 0
+
+
+def test_exact_median_matches_numpy_on_skewed_groups(spark):
+    import random
+
+    import numpy as np
+
+    from shiftlake.operators.stats import exact_median
+    rnd_ = random.Random(7)
+    rows = [("hot", float(rnd_.randint(0, 50))) for _ in range(5000)]       # heavy ties
+    rows += [("cont", rnd_.random() * 1000) for _ in range(3001)]            # continuous, odd n
+    rows += [("two", 1.0), ("two", 4.0), ("one", 2.5)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(7)
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"]).collect()}
+    for g in ("hot", "cont", "two", "one"):
+        want = float(np.median([v for k, v in rows if k == g]))
+        assert abs(got[g] - want) <= 1e-9 * max(1.0, abs(want)), g
