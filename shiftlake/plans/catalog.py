@@ -46,6 +46,11 @@ def _dd(spark: SparkSession, sf: str) -> DataFrame:
     return _memo("dd", spark, sf, lambda: cleaning.prepare(_raw(spark, sf), P))
 
 
+def _sd(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pipeline over the lineitem x supplier fact (no login times)."""
+    return _memo("sd", spark, sf, lambda: cleaning.prepare(tables.supplier_day(spark, sf), P))
+
+
 def _act(spark, sf):
     return _memo("act", spark, sf, lambda: integrity.activity_summary(_dd(spark, sf), P))
 
@@ -316,6 +321,28 @@ def q_stream_master(spark, sf):
     return spark.read.parquet(out)
 
 
+# --- the lineitem x supplier fact ----------------------------------------------------
+
+def q_supplier_location_performance(spark, sf):
+    return regions.location_performance(_sd(spark, sf), P)
+
+
+def q_supplier_top_performers_by_day(spark, sf):
+    return drivers.top_performers(_sd(spark, sf), P, DAY)
+
+
+def q_supplier_dod_region(spark, sf):
+    return compare.dod_region_by_day(_sd(spark, sf), P)
+
+
+def q_supplier_summary_stats(spark, sf):
+    return drivers.summary_stats(_sd(spark, sf), P)
+
+
+def q_supplier_high_cancellation(spark, sf):
+    return drivers.high_cancellation(_sd(spark, sf), P)
+
+
 # --- report datasets ---------------------------------------------------------------------
 
 def q_report_summary_cards(spark, sf):

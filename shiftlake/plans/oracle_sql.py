@@ -52,6 +52,24 @@ dd AS (
 )"""
 
 
+SUPPLIER_DAY = """
+li AS (
+  SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, CAST(count(*) AS DOUBLE) AS n,
+    CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS r,
+    CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,4))), 0) AS DOUBLE) AS cash
+  FROM lineitem GROUP BY 1, 2
+),
+sd AS (
+  SELECT li.d AS "Date", s.s_name AS driver_name, CAST(li.l_suppkey AS VARCHAR) AS driver_mobile,
+    rg.r_name AS driver_geo_region, 'VH-' || CAST(li.l_suppkey AS VARCHAR) AS vehicle_number,
+    CAST(NULL AS VARCHAR) AS vehicle_type, n AS allocated_orders, n - r AS completed_orders,
+    r AS partner_cancellation, cash AS trip_fare, n AS total_orders, r AS orders_cancelled, cash AS cash_collected
+  FROM li JOIN supplier s ON li.l_suppkey = s.s_suppkey
+  JOIN nation nn ON s.s_nationkey = nn.n_nationkey
+  JOIN region rg ON nn.n_regionkey = rg.r_regionkey
+)"""
+
+
 def rnd(x: str, n: int) -> str:
     s = float(10 ** n)
     return f"(floor(({x}) * {s!r} + 0.5) / {s!r})"
@@ -484,3 +502,25 @@ UNION ALL SELECT "Date", 5, 'top_region', top_orders, top_orders,
 UNION ALL SELECT "Date", 6, 'orders_change', och, och,
   'Total orders ' || CASE WHEN och > 0 THEN '📈 increased' ELSE '📉 decreased' END || ' by ' || abs(och)
   || ' (' || {_signed('opct')} || '%) compared to previous day' FROM j WHERE och IS NOT NULL""")
+
+
+def on_supplier(sql: str) -> str:
+    """The same statement over the lineitem x supplier fact instead of driver_day."""
+    assert sql.startswith("WITH " + DRIVER_DAY)
+    body = sql[len("WITH " + DRIVER_DAY):]
+    body = body.replace("FROM dd", "FROM sd").replace("FROM dd ", "FROM sd ")
+    return "WITH " + SUPPLIER_DAY + body
+
+
+ORACLE["supplier_location_performance"] = on_supplier(ORACLE["location_performance"])
+ORACLE["supplier_top_performers_by_day"] = on_supplier(ORACLE["top_performers_by_day"])
+ORACLE["supplier_dod_region"] = on_supplier(ORACLE["dod_region"])
+ORACLE["supplier_high_cancellation"] = on_supplier(ORACLE["high_cancellation"])
+ORACLE["supplier_summary_stats"] = "WITH " + SUPPLIER_DAY + f""",
+u AS (
+  SELECT 'total_orders' AS metric, total_orders AS value FROM sd
+  UNION ALL SELECT 'total_cash', cash_collected FROM sd
+  UNION ALL SELECT 'orders_cancelled', orders_cancelled FROM sd
+)
+SELECT metric, {rnd('avg(value)', 6)} AS mean, {rnd('median(value)', 6)} AS median,
+  {rnd('stddev_samp(value)', 6)} AS std, min(value) AS min, max(value) AS max FROM u GROUP BY 1"""
