@@ -79,30 +79,52 @@ def write_by_date(df: DataFrame, path: str, files_per_date: int, mode: str = "ov
     w.partitionBy("Date").parquet(path)
 
 
+# Up to this many touched dates are pushed into the master scan as a literal
+# partition filter (static pruning); beyond it a null-safe semi-join is used.
+MAX_LITERAL_DATES = 10_000
+
+
+def _touched_filter(existing: DataFrame, staged: DataFrame) -> DataFrame:
+    """Existing master rows of the Dates the batch touches (NULL Date included)."""
+    touched = staged.select("Date").distinct().limit(MAX_LITERAL_DATES + 1).collect()
+    if len(touched) <= MAX_LITERAL_DATES:
+        dates = [r["Date"] for r in touched if r["Date"] is not None]
+        cond = F.col("Date").isin(dates) if dates else F.lit(False)
+        if any(r["Date"] is None for r in touched):
+            cond = cond | F.col("Date").isNull()
+        return existing.where(cond)
+    keys = staged.select(F.col("Date").alias("_d")).distinct()
+    return existing.join(keys, existing["Date"].eqNullSafe(keys["_d"]), "left_semi")
+
+
 def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None,
            files_per_date: int = 4) -> bool:
     """Merge a batch into the Date-partitioned master, keeping the last copy per key (K1).
 
-    Reads only the partitions whose Date occurs in the batch (null-safe
-    left-semi join, so the NULL-Date partition is merged too), unions,
-    dedups, and overwrites exactly those partitions. An empty batch touches
-    no partition; returns whether the batch had rows (counted by the write
-    job itself through an observation, not by an extra scan).
+    The batch is tagged with its arrival order and checkpointed once into
+    the shared checkpoint folder: it is computed a single time, its order
+    is stable if an executor is lost later, and it feeds both the list of
+    touched Dates and the merge. Only the touched Date partitions of the
+    master are read (a literal partition filter, so the scan prunes
+    directories) and rewritten (dynamic partition overwrite). An empty
+    batch returns False and writes nothing.
     """
     spark = batch.sparkSession
+    from shiftlake.session import shared_dir
+    shared_dir(spark)  # make sure a checkpoint folder is registered
     seen = Observation("upsert_batch")
-    new = with_arrival_order(batch.observe(seen, F.count(F.lit(1)).alias("rows")), batch_id)
+    staged = with_arrival_order(batch, batch_id).observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    if int(seen.get.get("rows", 0) or 0) == 0:
+        return False
     if _exists(spark, master_path):
-        existing = spark.read.parquet(master_path)
-        touched = batch.select(F.col("Date").alias("_d")).distinct()
-        old = existing.join(touched, existing["Date"].eqNullSafe(touched["_d"]), "left_semi")
+        old = _touched_filter(spark.read.parquet(master_path), staged)
         old = old.withColumn(BATCH, F.lit(-1).cast("bigint")).withColumn(SEQ, F.lit(0).cast("bigint"))
-        combined = union_by_name([old, new])
+        combined = union_by_name([old, staged])
     else:
-        combined = new
+        combined = staged
     out = keep_last(combined, dedup_keys(combined), [BATCH, SEQ])
     write_by_date(out, master_path, files_per_date)
-    return int(seen.get.get("rows", 0) or 0) > 0
+    return True
 
 
 def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
