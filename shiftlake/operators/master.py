@@ -63,17 +63,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and len(fs.listStatus(p)) > 0
 
 
-def write_by_date(df: DataFrame, path: str, files_per_date: int, mode: str = "overwrite",
-                  dynamic: bool = True) -> None:
-    """Date-partitioned Parquet write with at most ``files_per_date`` files per Date.
+def write_by_date(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = True) -> None:
+    """Date-partitioned Parquet write, distributed by Date with a ``rebalance`` hint.
 
-    Rows are redistributed by (Date, hash of the row key mod n): a Date is
-    spread over up to n tasks (a hot Date does not land in one task) and
-    no task writes files for every Date (no partitions x dates small files).
+    AQE sizes the write tasks from the measured shuffle output: a hot Date
+    is split over several tasks (several files), small Dates are packed
+    together, and no task writes a file for every Date.
     """
-    keys = [c for c in KEY_COLUMNS if c in df.columns and c != "Date"]
-    salt = (F.abs(F.xxhash64(*keys)) % F.lit(max(1, files_per_date))) if keys else F.lit(0)
-    w = df.repartition(F.col("Date"), salt).write.mode(mode)
+    w = df.hint("rebalance", "Date").write.mode(mode)
     if dynamic:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.partitionBy("Date").parquet(path)
@@ -97,8 +94,7 @@ def _touched_filter(existing: DataFrame, staged: DataFrame) -> DataFrame:
     return existing.join(keys, existing["Date"].eqNullSafe(keys["_d"]), "left_semi")
 
 
-def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None,
-           files_per_date: int = 4) -> bool:
+def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None) -> bool:
     """Merge a batch into the Date-partitioned master, keeping the last copy per key (K1).
 
     The batch is tagged with its arrival order and checkpointed once into
@@ -123,7 +119,7 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
     else:
         combined = staged
     out = keep_last(combined, dedup_keys(combined), [BATCH, SEQ])
-    write_by_date(out, master_path, files_per_date)
+    write_by_date(out, master_path)
     return True
 
 
@@ -136,7 +132,7 @@ def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
     out = keep_last(combined, dedup_keys(combined), [c for c in (BATCH, "_mtime", "_path", "_block", SEQ)
                                                      if c in combined.columns])
     out = out.drop("_mtime", "_path", "_block")
-    write_by_date(out, master_path, files_per_date=4, dynamic=False)
+    write_by_date(out, master_path, dynamic=False)
     return out.sparkSession.read.parquet(master_path)
 
 

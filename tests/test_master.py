@@ -62,9 +62,9 @@ def test_upsert_null_date_partition_is_merged_not_lost(spark, tmp_shared):
     assert [r[1] for r in got] == ["b", "a", "c"] or sorted(r[1] for r in got) == ["a", "b", "c"]
 
 
-def test_files_per_date_bounded(spark, tmp_shared):
+def test_small_date_written_as_few_files(spark, tmp_shared):
     rows = [(D1, f"n{i}", str(i), "v", float(i)) for i in range(200)]
-    master.upsert(tmp_shared, spark.createDataFrame(rows, SCHEMA).repartition(16), 1, files_per_date=3)
+    master.upsert(tmp_shared, spark.createDataFrame(rows, SCHEMA).repartition(16), 1)
     part = os.path.join(tmp_shared.replace("file:", ""), "Date=2024-01-01")
     assert 1 <= len([f for f in os.listdir(part) if f.endswith(".parquet")]) <= 3
 
