@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftlake.functions.schema import KEY_COLUMNS, MISSING_TEXT, resolve_role
 from shiftlake.params import Params
+from shiftlake.session import shared_dir
 
 
 def roles(df: DataFrame, params: Params) -> dict:
@@ -70,7 +71,8 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, by, params: Params) -> D
 
     ``by=()``: ``stats`` is one row; each column is attached as a scalar
     subquery (computed once, injected as a value; no join). Otherwise the
-    number of groups is counted first: up to ``params.broadcast_max_rows``
+    number of groups is counted first (on the checkpointed statistics): up
+    to ``params.broadcast_max_rows``
     groups are broadcast; above that a shuffle join is used, where AQE's
     skew-join handling splits hot groups.
     """
@@ -79,7 +81,10 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, by, params: Params) -> D
         for c in stats.columns:
             out = out.withColumn(c, stats.select(c).scalar())
         return out
-    stats = stats.persist()  # recomputed from lineage if an executor is lost
+    # computed once into the shared checkpoint folder: the count below and the
+    # join read the stored rows, and a lost executor does not recompute them
+    shared_dir(stats.sparkSession)
+    stats = stats.checkpoint(eager=True)
     n = stats.count()
     side = F.broadcast(stats) if n <= params.broadcast_max_rows else stats
     return df.join(side, list(by), "left")
