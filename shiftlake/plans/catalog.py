@@ -321,6 +321,48 @@ def q_stream_master(spark, sf):
     return spark.read.parquet(out)
 
 
+# --- every day at once (the per-snapshot operators with by=("Date",)) ---------------------
+
+def q_driver_overview_by_day(spark, sf):
+    return drivers.driver_overview(_dd(spark, sf), P, DAY)
+
+
+def q_summary_stats_by_day(spark, sf):
+    return drivers.summary_stats(_dd(spark, sf), P, DAY)
+
+
+def q_bottom_performers_by_day(spark, sf):
+    return drivers.bottom_performers(_dd(spark, sf), P, DAY)
+
+
+def q_high_cancellation_by_day(spark, sf):
+    return drivers.high_cancellation(_dd(spark, sf), P, DAY)
+
+
+def q_high_idle_by_day(spark, sf):
+    return drivers.high_idle(_dd(spark, sf), P, DAY)
+
+
+def q_integrity_exec_summary_by_day(spark, sf):
+    return integrity.integrity_exec_summary(_act(spark, sf), P, DAY)
+
+
+def q_location_breakdown_by_day(spark, sf):
+    return regions.location_breakdown(_dd(spark, sf), P, DAY)
+
+
+def q_login_hour_stats_by_day(spark, sf):
+    return shifts.login_hour_stats(_dd(spark, sf), P, DAY)
+
+
+def q_hours_correlations_by_day(spark, sf):
+    return shifts.hours_correlations(_dd(spark, sf), P, DAY)
+
+
+def q_report_summary_cards_by_day(spark, sf):
+    return report.summary_cards(_dd(spark, sf), P, DAY)
+
+
 # --- the lineitem x supplier fact ----------------------------------------------------
 
 def q_supplier_location_performance(spark, sf):

@@ -524,3 +524,66 @@ u AS (
 )
 SELECT metric, {rnd('avg(value)', 6)} AS mean, {rnd('median(value)', 6)} AS median,
   {rnd('stddev_samp(value)', 6)} AS std, min(value) AS min, max(value) AS max FROM u GROUP BY 1"""
+
+
+# --- every day at once ------------------------------------------------------------------
+
+ORACLE["driver_overview_by_day"] = q("""SELECT "Date", count(*) AS total_drivers, count(*) AS active_drivers,
+  CAST(sum(CASE WHEN online_hours > 12 THEN 1 ELSE 0 END) AS BIGINT) AS drivers_over_12_hours,
+  CAST(sum(CASE WHEN online_hours < 8 THEN 1 ELSE 0 END) AS BIGINT) AS drivers_under_8_hours,
+  CAST(sum(CASE WHEN online_hours >= 8 AND online_hours <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS drivers_8_to_12_hours,
+  count(DISTINCT driver_mobile) AS unique_drivers FROM dd GROUP BY 1""")
+ORACLE["summary_stats_by_day"] = q(f"""u AS (
+  SELECT "Date", 'total_orders' AS metric, total_orders AS value FROM dd
+  UNION ALL SELECT "Date", 'total_cash', cash_collected FROM dd
+  UNION ALL SELECT "Date", 'idle_hours', idle_hours FROM dd
+  UNION ALL SELECT "Date", 'orders_cancelled', orders_cancelled FROM dd
+)
+SELECT "Date", metric, {rnd('avg(value)', 6)} AS mean, {rnd('median(value)', 6)} AS median,
+  {rnd('stddev_samp(value)', 6)} AS std, min(value) AS min, max(value) AS max FROM u GROUP BY 1, 2""")
+ORACLE["bottom_performers_by_day"] = _top("total_orders ASC", f"{WHO}, {trunc_int('total_orders')} AS orders",
+                                          where="total_orders >= 5", by_day=True)
+ORACLE["high_cancellation_by_day"] = q(f"""r AS (
+  SELECT *, CASE WHEN total_orders <> 0 THEN orders_cancelled / total_orders * 100.0 ELSE 0.0 END AS rate FROM dd
+)
+SELECT CAST(row_number() OVER (PARTITION BY "Date" ORDER BY rate DESC, {TIE}) AS INTEGER) AS rank, "Date", {WHO},
+  {rnd('rate', 2)} AS cancellation_rate, {trunc_int('orders_cancelled')} AS total_cancelled
+FROM r WHERE rate > 15.0 AND total_orders >= 5
+QUALIFY rank <= 10""")
+ORACLE["high_idle_by_day"] = _top("idle_hours DESC", f"{WHO}, {rnd('idle_hours', 2)} AS idle_hours",
+                                  where="idle_hours > 4.0", by_day=True)
+ORACLE["integrity_exec_summary_by_day"] = q(f"""{ACT},
+fleet AS (SELECT "Date", {FLEET} AS fa FROM act GROUP BY 1),
+fl AS (SELECT act.*, {_flags_sql('fa')} AS flags FROM act JOIN fleet USING ("Date")),
+risk AS (SELECT "Date", count(*) AS risk_count FROM fl WHERE len(flags) > 0 GROUP BY 1),
+base AS (
+  SELECT "Date", count(*) AS total_drivers,
+    CAST(sum(CAST(cancel_pct AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_cancel_pct,
+    CAST(sum(CAST(idle_pct AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_idle_pct
+  FROM act GROUP BY 1
+)
+SELECT "Date", total_drivers, avg_cancel_pct, avg_idle_pct, {rnd('avg_cancel_pct', 1)} AS avg_cancel_pct_1dp,
+  {rnd('avg_idle_pct', 1)} AS avg_idle_pct_1dp, coalesce(risk_count, 0) AS risk_count
+FROM base LEFT JOIN risk USING ("Date")""")
+ORACLE["location_breakdown_by_day"] = q(LOCBREAK.replace(
+    "SELECT driver_geo_region AS region", 'SELECT "Date", driver_geo_region AS region').replace(
+    "GROUP BY 1\n)", "GROUP BY 1, 2\n)") + "\nSELECT * FROM lb")
+ORACLE["login_hour_stats_by_day"] = q(f"""SELECT "Date", CAST(hour(first_recorded_login_time) AS INTEGER) AS hour,
+  printf('%02d:00', hour(first_recorded_login_time)) AS hour_label, count(*) AS driver_count,
+  {rnd(esum('cash_collected') + ' / count(*)', 2)} AS avg_cash,
+  {rnd(esum('notifications') + ' / count(*)', 1)} AS avg_notifications
+FROM dd WHERE first_recorded_login_time IS NOT NULL GROUP BY 1, 2, 3""")
+ORACLE["hours_correlations_by_day"] = q(f"""SELECT "Date", {_corr('online_hours', 'cash_collected')} AS hours_vs_cash,
+  {_corr('online_hours', 'notifications')} AS hours_vs_notifications,
+  {_corr('online_hours', 'total_orders')} AS hours_vs_orders FROM dd GROUP BY 1""")
+ORACLE["report_summary_cards_by_day"] = q("""o AS (
+  SELECT "Date", count(*) AS a, CAST(sum(CASE WHEN online_hours > 12 THEN 1 ELSE 0 END) AS BIGINT) AS o12,
+    CAST(sum(CASE WHEN online_hours < 8 THEN 1 ELSE 0 END) AS BIGINT) AS u8,
+    CAST(sum(CASE WHEN online_hours >= 8 AND online_hours <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS m,
+    count(DISTINCT driver_geo_region) AS r FROM dd GROUP BY 1
+)
+SELECT "Date", 'active_drivers' AS card, 1 AS ord, 'Total Active Drivers' AS label, a AS value FROM o
+UNION ALL SELECT "Date", 'drivers_over_12_hours', 2, 'Logged in 12+ Hours', o12 FROM o
+UNION ALL SELECT "Date", 'drivers_under_8_hours', 3, 'Logged in < 8 Hours', u8 FROM o
+UNION ALL SELECT "Date", 'drivers_8_to_12_hours', 4, 'Logged in 8-12 Hours', m FROM o
+UNION ALL SELECT "Date", 'total_regions', 5, 'Active Regions', r FROM o""")
