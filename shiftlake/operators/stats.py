@@ -8,11 +8,20 @@ day holding a third of all rows) ends up whole in one task. Here:
    ``percentile_approx`` (a bounded-memory sketch, partially aggregated);
    with relative error 1/ACCURACY and a margin of MARGIN_RANKS/ACCURACY,
    both middle ranks lie inside the bracket;
-2. per group: exact counts below the bracket, above it, and for each
-   distinct value inside it (a partial aggregate: duplicates collapse
-   map-side);
-3. a cumulative count over those few rows per group finds the values at
-   ranks floor((n-1)/2) and ceil((n-1)/2); the median interpolates them.
+2. a histogram per group: one row counting the values below the bracket,
+   one counting those above, one row per distinct value inside (a partial
+   aggregate, so duplicates collapse map-side); it is checkpointed;
+3. while some group still has more than ``max_distinct`` distinct values
+   inside its bracket, the bracket is cut into BUCKETS equal-width buckets
+   (spanning the data's own min / max inside it) and narrowed to the
+   bucket(s) holding the middle ranks; values are compared by bucket label,
+   so no value falls between buckets;
+4. a cumulative count over the few remaining rows per group finds the
+   values at ranks floor((n-1)/2) and ceil((n-1)/2); the median
+   interpolates them as Spark's ``median`` does.
+
+The loop decides on one number per round (the largest distinct count), so
+it runs on Spark; the driver never sees the data.
 """
 
 from __future__ import annotations
@@ -22,19 +31,57 @@ from pyspark.sql import functions as F
 
 from shiftlake.operators.common import attach_group_stats
 from shiftlake.params import Params
+from shiftlake.session import shared_dir
 
 ACCURACY = 100_000
 MARGIN_RANKS = 8.0
+BUCKETS = 4096
+MAX_DISTINCT = 100_000
+MAX_ROUNDS = 64  # each round shrinks a bracket's width at least BUCKETS-fold
+
+BELOW, INSIDE, ABOVE = 0, 1, 2
+
+
+def _narrow(hist: DataFrame, keys: list[str], params: Params) -> DataFrame:
+    """One refinement round over (keys, _n, _side, _v, _c) histogram rows.
+
+    Every step is an aggregate or a join with one row per group; windows
+    only run over the at most BUCKETS + 2 bucket rows of a group.
+    """
+    inside = F.col("_side") == INSIDE
+    span = hist.where(inside).groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    h = attach_group_stats(hist, span, keys, params)
+    width = F.col("_hi") - F.col("_lo")
+    bucket = (F.when(F.col("_side") == BELOW, F.lit(-1))
+              .when(F.col("_side") == ABOVE, F.lit(BUCKETS))
+              .when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BUCKETS), F.lit(BUCKETS - 1)))
+              .otherwise(F.lit(0))).cast("int")
+    h = h.withColumn("_b", bucket)
+    b = h.groupBy(*keys, "_n", "_b").agg(F.sum("_c").alias("_bc"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
+    k_lo, k_hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_bc"))
+    keep = b.groupBy(*keys).agg(
+        F.min(F.when(holds(k_lo), F.col("_b"))).alias("_b1"),
+        F.max(F.when(holds(k_hi), F.col("_b"))).alias("_b2"))
+    j = attach_group_stats(h, keep, keys, params)
+    side = (F.when(F.col("_b") < F.col("_b1"), F.lit(BELOW))
+            .when(F.col("_b") > F.col("_b2"), F.lit(ABOVE)).otherwise(F.lit(INSIDE)))
+    return j.groupBy(*keys, "_n", side.alias("_side"), F.when(side == INSIDE, F.col("_v")).alias("_v")).agg(
+        F.sum("_c").alias("_c"))
 
 
 def exact_median(long: DataFrame, keys: list[str], value: str = "value", params: Params | None = None,
-                 out: str = "median", extra: list | None = None) -> DataFrame:
+                 out: str = "median", extra: list | None = None, max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """(keys..., median[, extra...]) for every group of ``long`` with a non-null value.
 
     ``extra``: further aggregate columns over ``_x`` (the value as double),
     computed in the same first pass as the sketch.
     """
     params = params or Params()
+    spark = long.sparkSession
+    shared_dir(spark)
     v = F.col(value)
     base = long.where(v.isNotNull()).select(*keys, v.cast("double").alias("_x"))
     x = F.col("_x")
@@ -48,14 +95,20 @@ def exact_median(long: DataFrame, keys: list[str], value: str = "value", params:
     stats = stats.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), *extras)
     # one row per group: broadcast when the group count is small (checked)
     tagged = attach_group_stats(base, stats.select(*keys, "_n", "_lo", "_hi"), keys, params)
-    side = F.when(x < F.col("_lo"), 0).when(x > F.col("_hi"), 2).otherwise(1)
-    hist = tagged.groupBy(*keys, "_n", side.alias("_side"), F.when(side == 1, x).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
+    side = F.when(x < F.col("_lo"), BELOW).when(x > F.col("_hi"), ABOVE).otherwise(INSIDE)
+    hist = tagged.groupBy(*keys, "_n", side.alias("_side"), F.when(side == INSIDE, x).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+    for _ in range(MAX_ROUNDS):
+        widest = (hist.where(F.col("_side") == INSIDE).groupBy(*keys).count()
+                  .agg(F.max("count")).first()[0])
+        if widest is None or widest <= max_distinct:
+            break
+        hist = _narrow(hist, keys, params).checkpoint(eager=True)
     w = Window.partitionBy(*keys).orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     k_lo = F.floor((F.col("_n") - 1) / 2)
     k_hi = F.ceil((F.col("_n") - 1) / 2)
-    inside = lambda k: (F.col("_side") == 1) & (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
+    inside = lambda k: (F.col("_side") == INSIDE) & (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
     res = ranked.groupBy(*keys).agg(
         F.max(F.when(inside(k_lo), F.col("_v"))).alias("_vlo"),
         F.max(F.when(inside(k_hi), F.col("_v"))).alias("_vhi"),

@@ -138,3 +138,21 @@ def test_exact_median_matches_numpy_on_skewed_groups(spark):
     for g in ("hot", "cont", "two", "one"):
         want = float(np.median([v for k, v in rows if k == g]))
         assert abs(got[g] - want) <= 1e-9 * max(1.0, abs(want)), g
+
+
+def test_exact_median_refinement_rounds(spark):
+    """Force the bucket refinement (tiny distinct budget) on skewed and tied data."""
+    import random
+
+    import numpy as np
+
+    from shiftlake.operators.stats import exact_median
+    rnd_ = random.Random(11)
+    rows = [("exp", rnd_.expovariate(0.01)) for _ in range(4000)]          # long tail
+    rows += [("tie", float(rnd_.choice([1, 2, 2, 2, 3, 1000]))) for _ in range(3000)]
+    rows += [("neg", rnd_.uniform(-5, 5)) for _ in range(2999)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], max_distinct=3).collect()}
+    for g in ("exp", "tie", "neg"):
+        want = float(np.median([v for k, v in rows if k == g]))
+        assert abs(got[g] - want) <= 1e-9 * max(1.0, abs(want)), g
