@@ -59,13 +59,13 @@ def analyse(current: DataFrame, previous: DataFrame | None, params: Params, hist
 
 def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params,
               out_dir: str | None = None, batch_id: int | None = None) -> dict[str, DataFrame]:
-    """One daily run over landed CSV files.
+    """One daily run over landed files (CSV, Parquet or JSON).
 
     load -> clean -> filter -> upsert into the master -> previous snapshot
     from the master (latest Date before the current one) -> analyses. The
     monthly section reads the master itself (all accumulated days).
     """
-    raw = files.read_csv(spark, input_paths)
+    raw = files.read_landed(spark, input_paths)
     current = cleaning.prepare(raw, params)
     current_date = current.select(F.max("Date")).first()[0]
     bid = batch_id if batch_id is not None else int(current_date.strftime("%Y%m%d")) if current_date else 0

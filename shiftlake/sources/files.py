@@ -52,6 +52,30 @@ def read_csv(spark: SparkSession, paths, with_file_order: bool = False) -> DataF
     return na_to_null(df)
 
 
+def read_landed(spark: SparkSession, paths) -> DataFrame:
+    """Scan landed daily files, choosing the reader by extension (case-insensitive).
+
+    ``.csv`` -> text columns (typed later by the cleaning step); ``.parquet``
+    and ``.json`` keep their own types. Mixed extensions are read per
+    format and unioned by column name.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    by_fmt: OrderedDict = OrderedDict()
+    for p in paths:
+        low = p.lower()
+        fmt = "parquet" if low.endswith(".parquet") else "json" if low.endswith((".json", ".jsonl")) else "csv"
+        by_fmt.setdefault(fmt, []).append(p)
+    frames = []
+    for fmt, ps in by_fmt.items():
+        if fmt == "csv":
+            frames.append(read_csv_groups(spark, ps, with_file_order=False))
+        elif fmt == "parquet":
+            frames.append(spark.read.parquet(*ps))
+        else:
+            frames.append(na_to_null(spark.read.json(ps)))
+    return union_by_name(frames)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -29,3 +29,16 @@ def test_two_daily_runs(spark, tmp_shared):
     assert {r["Date"] for r in second["insights"].collect()} == {d2}
     assert spark.read.parquet(tmp_shared + "/master").count() == want_cur + want_prev
     assert spark.read.parquet(tmp_shared + "/out/location_performance").count() > 0
+
+
+def test_cli_daily_run_and_format_dispatch(spark, tmp_shared):
+    from shiftlake.__main__ import main
+    raw = tables.driver_day(spark, SF_SMALL).where(F.col("Date") == dt.date(2024, 1, 3))
+    raw.coalesce(1).write.parquet(tmp_shared + "/in/p")
+    paths = [p for p in files.list_files(spark, tmp_shared + "/in/p", "*.parquet")]
+    code = main(["daily", "--input", *paths, "--master", tmp_shared + "/m", "--out", tmp_shared + "/o",
+                 "--exclude-vehicle-type", "MACHINERY"])
+    assert code == 0
+    want = raw.where(F.col("vehicle_type") != "MACHINERY").count()
+    assert spark.read.parquet(tmp_shared + "/m").count() == want
+    assert spark.read.parquet(tmp_shared + "/o/driver_overview").first()["total_drivers"] == want
