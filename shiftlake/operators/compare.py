@@ -29,12 +29,17 @@ def snapshot_dates(df: DataFrame) -> DataFrame:
 def previous_snapshot(df: DataFrame, current_date=None) -> DataFrame:
     """Rows of the latest Date before ``current_date`` (default: the latest Date).
 
-    Empty (same schema) when there is no earlier date. Expressed as a
-    filter on a scalar, so on a Date-partitioned table it prunes partitions.
+    Empty (same schema) when there is no earlier date. The previous date is
+    one scalar from one pass (the two largest distinct dates, a top-2 over
+    one row per date); the row filter on it prunes partitions of a
+    Date-partitioned table.
     """
     dated = df.where(F.col("Date").isNotNull())
-    cur = F.lit(current_date).cast("date") if current_date is not None else dated.select(F.max("Date")).scalar()
-    prev = dated.where(F.col("Date") < cur).select(F.max("Date")).scalar()
+    if current_date is not None:
+        prev = dated.where(F.col("Date") < F.lit(current_date).cast("date")).select(F.max("Date")).scalar()
+    else:
+        top2 = dated.select("Date").distinct().orderBy(F.col("Date").desc()).limit(2)
+        prev = top2.select(F.when(F.count(F.lit(1)) == 2, F.min("Date"))).scalar()
     return df.where(F.col("Date") == prev)
 
 
@@ -70,11 +75,10 @@ def _overall(cur_prev: DataFrame, keys: list) -> DataFrame:
 def dod_overall(current: DataFrame, previous: DataFrame, params: Params) -> DataFrame:
     """Overall totals of one snapshot against another (one output row)."""
     cur = _totals(current, params)
-    prv = _totals(previous, params).select(
-        F.col("o").alias("po"), F.col("c").alias("pc"), F.col("k").alias("pk"))
-    both = cur
-    for name in ("po", "pc", "pk"):
-        both = both.withColumn(name, prv.select(name).scalar())
+    # the previous totals as one struct-valued scalar subquery (one pass)
+    prv = _totals(previous, params).select(F.struct("o", "c", "k")).scalar()
+    both = cur.select("*", prv.getField("o").alias("po"), prv.getField("c").alias("pc"),
+                      prv.getField("k").alias("pk"))
     return _overall(both, [])
 
 
@@ -136,9 +140,17 @@ def dod_region_by_day(df: DataFrame, params: Params) -> DataFrame:
 
     A self-join on (previous date, region) rather than ``lag``: ``lag``
     would skip a day on which a region is absent, the comparison needs 0.
+    The snapshot calendar comes from the same (Date, region) aggregate
+    (NULL regions included, so a date whose rows all lack a region still
+    counts as a snapshot): the rows are read once.
     """
-    rt = _region_totals(df.where(F.col("Date").isNotNull()), params, ("Date",))
-    pairs = snapshot_dates(df).where(F.col("prev_Date").isNotNull())
+    d = with_total_orders(df.where(F.col("Date").isNotNull()), params)
+    region = F.col(REGION) if REGION in d.columns else F.lit(None).cast("string")
+    rt_all = d.groupBy("Date", region.alias("region")).agg(exact_sum("total_orders").alias("o"))
+    dates = rt_all.groupBy("Date").agg(F.sum("o").alias("_all"))  # one row per snapshot date
+    pairs = dates.select("Date", F.lag("Date").over(Window.orderBy("Date")).alias("prev_Date")) \
+        .where(F.col("prev_Date").isNotNull())
+    rt = rt_all.where(F.col("region").isNotNull())
     cur = rt.join(pairs, "Date")
     prv = rt.select(F.col("Date").alias("prev_Date"), "region", F.col("o").alias("p"))
     return _region_changes(cur, prv, ["Date", "prev_Date"])

@@ -26,8 +26,11 @@ def _who(df: DataFrame, by) -> list:
     ]
 
 
-def driver_overview(df: DataFrame, params: Params, by=()) -> DataFrame:
-    """Row counts and shift-hour buckets (one pass, partial aggregation)."""
+def driver_overview(df: DataFrame, params: Params, by=(), extra: list | None = None) -> DataFrame:
+    """Row counts and shift-hour buckets (one pass, partial aggregation).
+
+    ``extra``: further aggregate columns computed in the same pass.
+    """
     hc = roles(df, params)["hours"]
     if hc:
         h = metric(df, hc)
@@ -44,6 +47,7 @@ def driver_overview(df: DataFrame, params: Params, by=()) -> DataFrame:
         under.cast("bigint").alias("drivers_under_8_hours"),
         mid.cast("bigint").alias("drivers_8_to_12_hours"),
         F.count_distinct(mobile).alias("unique_drivers"),
+        *(extra or []),
     )
 
 

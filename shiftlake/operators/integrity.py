@@ -185,19 +185,20 @@ def integrity_scores(act: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def integrity_exec_summary(act: DataFrame, params: Params, by=()) -> DataFrame:
-    """Drivers analysed, mean cancel %, mean idle %, number of flagged rows."""
+    """Drivers analysed, mean cancel %, mean idle %, number of flagged rows.
+
+    Two passes: the fleet average, then one aggregate that counts rows,
+    sums the percentages and counts the rows whose flag list is non-empty.
+    """
+    fleet = fleet_km_per_order(act, by)
+    flagged = attach_group_stats(act, fleet, by, params).withColumn("flags", _flags_expr())
     n = F.count(F.lit(1))
-    base = act.groupBy(*by).agg(
+    out = flagged.groupBy(*by).agg(
         n.alias("total_drivers"),
         (F.sum(F.col("cancel_pct").cast("decimal(18,2)")).cast("double") / n).alias("avg_cancel_pct"),
         (F.sum(F.col("idle_pct").cast("decimal(18,2)")).cast("double") / n).alias("avg_idle_pct"),
+        F.count_if(F.size("flags") > 0).alias("risk_count"),
     )
-    risk = risk_flags(act, params, by).groupBy(*by).agg(F.count(F.lit(1)).alias("risk_count"))
-    if not by:
-        out = base.withColumn("risk_count", risk.select("risk_count").scalar())
-    else:
-        # both sides hold one row per group
-        out = base.join(risk, list(by), "left").withColumn("risk_count", F.coalesce("risk_count", F.lit(0)))
     return out.select(
         *by, "total_drivers", "avg_cancel_pct", "avg_idle_pct",
         rnd("avg_cancel_pct", 1).alias("avg_cancel_pct_1dp"), rnd("avg_idle_pct", 1).alias("avg_idle_pct_1dp"),

@@ -48,6 +48,13 @@ def location_performance(df: DataFrame, params: Params, by=()) -> DataFrame:
     )
 
 
+def region_count_expr(df: DataFrame):
+    """Distinct non-NULL regions as an aggregate expression (0 without the column)."""
+    if REGION not in df.columns:
+        return F.lit(0).cast("bigint")
+    return F.count_distinct(REGION)
+
+
 def region_count(df: DataFrame, by=()) -> DataFrame:
     """Distinct non-NULL regions (A5)."""
     if REGION not in df.columns:

@@ -9,7 +9,7 @@ that Spark derives from the tables in the shared folder first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlake.operators import cleaning, compare, drivers, integrity, master, regions, shifts
@@ -243,16 +243,17 @@ def q_dod_region(spark, sf):
 
 
 def q_dod_latest(spark, sf):
-    """The reference's single comparison: latest snapshot vs the one before."""
-    d = _dd(spark, sf)
-    latest = d.where(F.col("Date") == d.select(F.max("Date")).scalar())
-    return compare.dod_overall(latest, compare.previous_snapshot(d), P)
+    """The reference's single comparison: the latest snapshot against the one before,
+    taken from the all-days comparison (one pass; a top-1 over one row per date)."""
+    by_day = compare.dod_overall_by_day(_dd(spark, sf), P)
+    return by_day.orderBy(F.col("Date").desc()).limit(1).drop("Date", "prev_Date")
 
 
 def q_dod_region_latest(spark, sf):
-    d = _dd(spark, sf)
-    latest = d.where(F.col("Date") == d.select(F.max("Date")).scalar())
-    return compare.dod_region(latest, compare.previous_snapshot(d), P)
+    by_day = compare.dod_region_by_day(_dd(spark, sf), P)
+    # the result holds one row per (date, region): a max over it is small
+    latest = by_day.withColumn("_last", F.max("Date").over(Window.partitionBy()))
+    return latest.where(F.col("Date") == F.col("_last")).drop("Date", "prev_Date", "_last")
 
 
 # --- master dataset ----------------------------------------------------------------------

@@ -55,14 +55,11 @@ def _fmt(template: str, **cols) -> F.Column:
 
 
 def summary_cards(df: DataFrame, params: Params, by=()) -> DataFrame:
-    """Active, >12 h, <8 h, 8-12 h, regions as (card, ord, label, value) rows."""
-    ov = drivers.driver_overview(df, params, by)
-    rc = regions.region_count(df, by)
-    both = ov.withColumn("total_regions", rc.select("total_regions").scalar()) if not by \
-        else ov.join(rc, list(by), "left")
+    """Active, >12 h, <8 h, 8-12 h, regions as (card, ord, label, value) rows (one aggregate)."""
+    ov = drivers.driver_overview(df, params, by, extra=[regions.region_count_expr(df).alias("total_regions")])
     stack = "stack(%d, %s) as (card, ord, label, value)" % (len(CARDS), ", ".join(
         f"'{k}', {i + 1}, '{lab}', cast({k} as bigint)" for i, (k, lab) in enumerate(CARDS)))
-    return both.select(*by, F.expr(stack)).withColumn("ord", F.col("ord").cast("int"))
+    return ov.select(*by, F.expr(stack)).withColumn("ord", F.col("ord").cast("int"))
 
 
 def top_performers_table(df: DataFrame, params: Params, by=()) -> DataFrame:
