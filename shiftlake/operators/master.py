@@ -81,13 +81,11 @@ def write_by_date(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bo
 MAX_LITERAL_DATES = 10_000
 
 
-def _touched_filter(existing: DataFrame, staged: DataFrame) -> DataFrame:
+def _touched_filter(existing: DataFrame, staged: DataFrame, dates: list, has_null: bool) -> DataFrame:
     """Existing master rows of the Dates the batch touches (NULL Date included)."""
-    touched = staged.select("Date").distinct().limit(MAX_LITERAL_DATES + 1).collect()
-    if len(touched) <= MAX_LITERAL_DATES:
-        dates = [r["Date"] for r in touched if r["Date"] is not None]
+    if len(dates) <= MAX_LITERAL_DATES:
         cond = F.col("Date").isin(dates) if dates else F.lit(False)
-        if any(r["Date"] is None for r in touched):
+        if has_null:
             cond = cond | F.col("Date").isNull()
         return existing.where(cond)
     keys = staged.select(F.col("Date").alias("_d")).distinct()
@@ -99,21 +97,29 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
 
     The batch is tagged with its arrival order and checkpointed once into
     the shared checkpoint folder: it is computed a single time, its order
-    is stable if an executor is lost later, and it feeds both the list of
-    touched Dates and the merge. Only the touched Date partitions of the
-    master are read (a literal partition filter, so the scan prunes
-    directories) and rewritten (dynamic partition overwrite). An empty
-    batch returns False and writes nothing.
+    is stable if an executor is lost later, and the same job observes its
+    row count and the set of Dates it touches (one entry per calendar day).
+    Only the touched Date partitions of the master are read (a literal
+    partition filter, so the scan prunes directories) and rewritten
+    (dynamic partition overwrite). An empty batch returns False and writes
+    nothing.
     """
     spark = batch.sparkSession
     from shiftlake.session import shared_dir
     shared_dir(spark)  # make sure a checkpoint folder is registered
     seen = Observation("upsert_batch")
-    staged = with_arrival_order(batch, batch_id).observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    if int(seen.get.get("rows", 0) or 0) == 0:
+    staged = with_arrival_order(batch, batch_id).observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.collect_set("Date").alias("dates"),
+        F.count_if(F.col("Date").isNull()).alias("null_dates"),
+    ).checkpoint(eager=True)
+    got = seen.get
+    if int(got.get("rows", 0) or 0) == 0:
         return False
     if _exists(spark, master_path):
-        old = _touched_filter(spark.read.parquet(master_path), staged)
+        old = _touched_filter(spark.read.parquet(master_path), staged, sorted(got["dates"] or []),
+                              int(got.get("null_dates", 0) or 0) > 0)
         old = old.withColumn(BATCH, F.lit(-1).cast("bigint")).withColumn(SEQ, F.lit(0).cast("bigint"))
         combined = union_by_name([old, staged])
     else:
