@@ -96,14 +96,24 @@ def score_band(score) -> Column:
 
 
 def py_float_text(x) -> Column:
-    """Text of a double as Python's ``str(float)`` prints it for normal magnitudes."""
-    return _c(x).cast("double").cast("string")
+    """Text of a double as Python's ``str(float)`` prints it.
+
+    Spark and Python agree below 1e7 ('30.0', '12.35'); from 1e7 up to 1e16
+    Spark switches to scientific notation ('1.0E7') where Python keeps the
+    positional form ('10000000.0'), which is rebuilt here from the exact
+    decimal expansion of the shortest representation.
+    """
+    d = _c(x).cast("double")
+    big = (F.abs(d) >= F.lit(1e7)) & (F.abs(d) < F.lit(1e16))
+    positional = F.regexp_replace(
+        F.regexp_replace(d.cast("decimal(38,10)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    return F.when(big, positional).otherwise(d.cast("string"))
 
 
 def signed_1dp_text(x) -> Column:
     """``f'{x:+.1f}'`` built from the half-up 1-dp value (see :func:`rnd`)."""
     r = rnd(x, 1)
-    return F.concat(F.when(r >= 0, F.lit("+")).otherwise(F.lit("")), r.cast("string"))
+    return F.concat(F.when(r >= 0, F.lit("+")).otherwise(F.lit("")), py_float_text(r))
 
 
 def safe_corr(x, y) -> Column:

@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
+_warned: set = set()
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (names, alias priorities,
@@ -108,8 +109,10 @@ def resolve_column(columns: list[str], names: list[str], role: str | None = None
                 return c
         hits = [c for c in columns if low in c.lower()]
         if hits:
-            if len(hits) > 1:
-                log.debug("alias %r matches several columns %s; using %r", name, hits, hits[0])
+            if len(hits) > 1 and (name, tuple(hits)) not in _warned:
+                _warned.add((name, tuple(hits)))  # once per ambiguity, not once per call
+                log.warning("alias %r matches several columns %s; using %r (set Params.column_overrides "
+                            "to choose)", name, hits, hits[0])
             return hits[0]
     return None
 

@@ -58,12 +58,15 @@ def analyse(current: DataFrame, previous: DataFrame | None, params: Params, hist
 
 
 def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params,
-              out_dir: str | None = None, batch_id: int | None = None) -> dict[str, DataFrame]:
+              out_dir: str | None = None, batch_id: int | None = None,
+              archive_root: str | None = None) -> dict[str, DataFrame]:
     """One daily run over landed files (CSV, Parquet or JSON).
 
     load -> clean -> filter -> upsert into the master -> previous snapshot
     from the master (latest Date before the current one) -> analyses. The
-    monthly section reads the master itself (all accumulated days).
+    monthly section reads the master itself (all accumulated days). With
+    ``archive_root`` the raw rows are also kept under
+    ``snapshot_date=<yyyyMMdd of the batch's latest Date>`` (a rerun replaces it).
     """
     raw = files.read_landed(spark, input_paths)
     current = cleaning.prepare(raw, params)
@@ -76,6 +79,8 @@ def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params
         previous = None
     results = analyse(current, previous, params, history=history)
     results["insights"] = report.insights(history, params).where(F.col("Date") == F.lit(current_date))
+    if archive_root and current_date:
+        master.archive_snapshot(raw, archive_root, current_date.strftime("%Y%m%d"))
     if out_dir:
         for name, df in results.items():
             df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")

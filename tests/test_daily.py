@@ -21,7 +21,7 @@ def test_two_daily_runs(spark, tmp_shared):
     first = run_daily(spark, files.list_files(spark, tmp_shared + "/in/d1"), m, p)
     assert "dod_overall" not in first                      # no history yet: section absent
     second = run_daily(spark, files.list_files(spark, tmp_shared + "/in/d2"), m, p,
-                       out_dir=tmp_shared + "/out")
+                       out_dir=tmp_shared + "/out", archive_root=tmp_shared + "/archive")
     ov = second["dod_overall"].first()
     want_cur = raw.where((F.col("Date") == d2) & (F.col("vehicle_type") != "MACHINERY")).count()
     want_prev = raw.where((F.col("Date") == d1) & (F.col("vehicle_type") != "MACHINERY")).count()
@@ -29,6 +29,8 @@ def test_two_daily_runs(spark, tmp_shared):
     assert {r["Date"] for r in second["insights"].collect()} == {d2}
     assert spark.read.parquet(tmp_shared + "/master").count() == want_cur + want_prev
     assert spark.read.parquet(tmp_shared + "/out/location_performance").count() > 0
+    arch = spark.read.parquet(tmp_shared + "/archive")
+    assert arch.select("snapshot_date").distinct().count() == 1
 
 
 def test_cli_daily_run_and_format_dispatch(spark, tmp_shared):

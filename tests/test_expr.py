@@ -72,3 +72,9 @@ def test_change_and_score_classes(spark):
     assert [r[0] for r in df.select(X.change_class("x")).collect()] == ["positive", "negative", "negative"]
     df = spark.createDataFrame([(39.9,), (40.0,), (59.9,), (60.0,)], "x double")
     assert [r[0] for r in df.select(X.score_band("x")).collect()] == ["negative", "warning", "warning", "positive"]
+
+
+def test_py_float_text_matches_python_str(spark):
+    xs = [30.0, 12.35, 0.0, 10000000.0, 12345678.9, -98765432.25, 123456789012.5, 9999999.99]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(X.py_float_text("x")).collect()]
+    assert got == [str(x) for x in xs]
