@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,27 @@ def test_load_audit_one_row_per_file(spark, tmp_shared):
     files.land_csv(raw.repartition(2), tmp_shared, files=None)
     audit = files.load_audit(spark, tmp_shared).collect()
     assert sum(r["total_rows"] for r in audit) == 2 and all(r["total_columns"] == 5 for r in audit)
+
+
+def test_stream_late_file_rewrites_only_its_date(spark, tmp_shared):
+    cols = ["Date", "driver_name", "driver_mobile", "vehicle_number", "cash_collected"]
+    p = Params(exclude_vehicle_type=None)
+    land, out, ck = tmp_shared + "/land", tmp_shared + "/master", tmp_shared + "/ck"
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    for i, d in enumerate(days):
+        files.land_csv(spark.createDataFrame([(d, "a", "1", "v", float(i))], SCHEMA), f"{land}/{i}", files=1)
+    run_available_now(spark, land, out, ck, p, cols, max_files_per_trigger=1)
+    base = out.replace("file:", "")
+
+    def snapshot(day):
+        part = os.path.join(base, f"Date={day}")
+        return {f: os.path.getmtime(os.path.join(part, f)) for f in os.listdir(part) if f.endswith(".parquet")}
+
+    before = {d: snapshot(d) for d in days}
+    time.sleep(1.1)
+    files.land_csv(spark.createDataFrame([(days[0], "a", "1", "v", 99.0)], SCHEMA), f"{land}/late", files=1)
+    run_available_now(spark, land, out, ck, p, cols, max_files_per_trigger=1)
+    assert snapshot(days[1]) == before[days[1]] and snapshot(days[2]) == before[days[2]]
+    assert snapshot(days[0]) != before[days[0]]
+    assert rows_of(spark.read.parquet(out)) == [
+        ("2024-01-01", "a", "1", 99.0), ("2024-01-02", "a", "1", 1.0), ("2024-01-03", "a", "1", 2.0)]
