@@ -110,10 +110,23 @@ def py_float_text(x) -> Column:
     return F.when(big, positional).otherwise(d.cast("string"))
 
 
+def py_fixed(x, decimals: int, commas: bool = True, sign: bool = False) -> Column:
+    """Python's fixed-point format: ``f'{x:,.Nf}'`` (``commas``), ``f'{x:.Nf}'``, ``f'{x:+.Nf}'`` (``sign``).
+
+    ``format_number`` rounds the exact binary value half-even, as Python's
+    formatter does (12.25 -> '12.2', 2.675 -> '2.67', -0.04 -> '-0.0').
+    """
+    t = F.format_number(_c(x).cast("double"), decimals)
+    if not commas:
+        t = F.regexp_replace(t, ",", "")
+    if sign:
+        t = F.when(t.startswith("-"), t).otherwise(F.concat(F.lit("+"), t))
+    return t
+
+
 def signed_1dp_text(x) -> Column:
-    """``f'{x:+.1f}'`` built from the half-up 1-dp value (see :func:`rnd`)."""
-    r = rnd(x, 1)
-    return F.concat(F.when(r >= 0, F.lit("+")).otherwise(F.lit("")), py_float_text(r))
+    """``f'{x:+.1f}'`` exactly as Python prints it."""
+    return py_fixed(x, 1, commas=False, sign=True)
 
 
 def safe_corr(x, y) -> Column:

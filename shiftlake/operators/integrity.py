@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlake.functions.expr import py_float_text, ratio_if_pos, rnd, score_band, trunc_int
+from shiftlake.functions.expr import py_fixed, py_float_text, ratio_if_pos, rnd, score_band, trunc_int
 from shiftlake.operators.common import attach_group_stats, metric, text_or, tie_break, top_k
 from shiftlake.params import Params
 
@@ -202,4 +202,6 @@ def integrity_exec_summary(act: DataFrame, params: Params, by=()) -> DataFrame:
     return out.select(
         *by, "total_drivers", "avg_cancel_pct", "avg_idle_pct",
         rnd("avg_cancel_pct", 1).alias("avg_cancel_pct_1dp"), rnd("avg_idle_pct", 1).alias("avg_idle_pct_1dp"),
+        F.concat(py_fixed("avg_cancel_pct", 1, commas=False), F.lit("%")).alias("avg_cancel_pct_text"),
+        F.concat(py_fixed("avg_idle_pct", 1, commas=False), F.lit("%")).alias("avg_idle_pct_text"),
         F.col("risk_count").cast("bigint").alias("risk_count"))

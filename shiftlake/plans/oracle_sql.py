@@ -365,7 +365,8 @@ base AS (
   FROM act
 )
 SELECT total_drivers, avg_cancel_pct, avg_idle_pct, {rnd('avg_cancel_pct', 1)} AS avg_cancel_pct_1dp,
-  {rnd('avg_idle_pct', 1)} AS avg_idle_pct_1dp, risk_count FROM base, risk""")
+  {rnd('avg_idle_pct', 1)} AS avg_idle_pct_1dp, format('{{:.1f}}', avg_cancel_pct) || '%' AS avg_cancel_pct_text,
+  format('{{:.1f}}', avg_idle_pct) || '%' AS avg_idle_pct_text, risk_count FROM base, risk""")
 
 
 def _shift(by_day: bool) -> str:
@@ -438,32 +439,47 @@ UNION ALL SELECT 'drivers_under_8_hours', 3, 'Logged in < 8 Hours', u8 FROM o
 UNION ALL SELECT 'drivers_8_to_12_hours', 4, 'Logged in 8-12 Hours', m FROM o
 UNION ALL SELECT 'total_regions', 5, 'Active Regions', r FROM o""")
 ORACLE["report_top_performers"] = q(f"""SELECT CAST(row_number() OVER (ORDER BY total_orders DESC, {TIE}) AS INTEGER)
-  AS rank, {WHO}, {trunc_int('total_orders')} AS orders, cash_collected, substring(driver_name, 1, 20) AS chart_label
+  AS rank, {WHO}, {trunc_int('total_orders')} AS orders, cash_collected, substring(driver_name, 1, 20) AS chart_label,
+  '₹' || format('{{:,.2f}}', cash_collected) AS cash_text
 FROM dd QUALIFY rank <= 10""")
 ORACLE["report_regions"] = q(_locperf(False) + """
-SELECT *, rank <= 10 AS in_chart FROM (
+SELECT *, rank <= 10 AS in_chart, format('{:.1f}', avg_orders_per_driver) AS avg_orders_text,
+  '₹' || format('{:,.2f}', total_cash) AS total_cash_text,
+  format('{:.1f}', CAST(cancellation_rate AS DOUBLE)) || '%' AS cancellation_rate_text FROM (
   SELECT *, CAST(row_number() OVER (ORDER BY total_orders DESC, region ASC NULLS FIRST) AS INTEGER) AS rank FROM lp
   QUALIFY rank <= 15)""")
 ORACLE["report_dod"] = q(DOD_OVERALL + """
 SELECT "Date", prev_Date, 'total_orders' AS metric, 1 AS ord, 'Total Orders' AS label, 'Total Orders' AS chart_label,
   CAST(orders_previous AS DOUBLE) AS previous, CAST(orders_current AS DOUBLE) AS current,
   CAST(orders_change AS DOUBLE) AS change, orders_pct_change AS pct_change,
-  CASE WHEN orders_change > 0 THEN 'positive' ELSE 'negative' END AS change_class, TRUE AS in_table FROM dod
+  CASE WHEN orders_change > 0 THEN 'positive' ELSE 'negative' END AS change_class, TRUE AS in_table,
+  format('{:,.0f}', CAST(orders_previous AS DOUBLE)) AS previous_text,
+  format('{:,.0f}', CAST(orders_current AS DOUBLE)) AS current_text,
+  CASE WHEN orders_change > 0 THEN '+' ELSE '' END || format('{:,.0f}', CAST(orders_change AS DOUBLE)) AS change_text,
+  format('{:+.1f}', orders_pct_change) || '%' AS pct_text FROM dod
 UNION ALL SELECT "Date", prev_Date, 'total_cash', 2, 'Total Cash', 'Total Cash', cash_previous, cash_current,
-  cash_change, cash_pct_change, CASE WHEN cash_change > 0 THEN 'positive' ELSE 'negative' END, TRUE FROM dod
+  cash_change, cash_pct_change, CASE WHEN cash_change > 0 THEN 'positive' ELSE 'negative' END, TRUE,
+  format('{:,.0f}', cash_previous), format('{:,.0f}', cash_current),
+  CASE WHEN cash_change > 0 THEN '+' ELSE '' END || format('{:,.0f}', cash_change),
+  format('{:+.1f}', cash_pct_change) || '%' FROM dod
 UNION ALL SELECT "Date", prev_Date, 'driver_count', 3, 'Driver Count', 'Active Drivers',
   CAST(drivers_previous AS DOUBLE), CAST(drivers_current AS DOUBLE), CAST(drivers_change AS DOUBLE), NULL,
-  CASE WHEN drivers_change > 0 THEN 'positive' ELSE 'negative' END, FALSE FROM dod""")
+  CASE WHEN drivers_change > 0 THEN 'positive' ELSE 'negative' END, FALSE,
+  format('{:,.0f}', CAST(drivers_previous AS DOUBLE)), format('{:,.0f}', CAST(drivers_current AS DOUBLE)),
+  CASE WHEN drivers_change > 0 THEN '+' ELSE '' END || format('{:,.0f}', CAST(drivers_change AS DOUBLE)),
+  NULL FROM dod""")
 ORACLE["report_region_changes"] = q(DOD_REGION + """
-SELECT *, CASE WHEN change > 0 THEN 'positive' ELSE 'negative' END AS change_class FROM rc WHERE rank <= 10""")
+SELECT *, CASE WHEN change > 0 THEN 'positive' ELSE 'negative' END AS change_class,
+  CASE WHEN change > 0 THEN '+' ELSE '' END || CAST(change AS VARCHAR) AS change_text,
+  format('{:+.1f}', pct_change) || '%' AS pct_text FROM rc WHERE rank <= 10""")
 ORACLE["report_cash_regions"] = q(LOCBREAK + """
-SELECT *, CAST(row_number() OVER (ORDER BY total_cash DESC, region ASC NULLS FIRST) AS INTEGER) AS rank FROM lb
+SELECT *, CAST(row_number() OVER (ORDER BY total_cash DESC, region ASC NULLS FIRST) AS INTEGER) AS rank,
+  '₹' || CAST(total_cash AS VARCHAR) AS total_cash_text, '₹' || CAST(avg_cash AS VARCHAR) AS avg_cash_text FROM lb
 QUALIFY rank <= 10""")
 
 
 def _signed(x: str) -> str:
-    r = rnd(x, 1)
-    return f"(CASE WHEN {r} >= 0 THEN '+' ELSE '' END || CAST({r} AS VARCHAR))"
+    return f"format('{{:+.1f}}', CAST({x} AS DOUBLE))"
 
 
 ORACLE["insights"] = q(f"""{DOD_OVERALL},
@@ -563,7 +579,8 @@ base AS (
   FROM act GROUP BY 1
 )
 SELECT "Date", total_drivers, avg_cancel_pct, avg_idle_pct, {rnd('avg_cancel_pct', 1)} AS avg_cancel_pct_1dp,
-  {rnd('avg_idle_pct', 1)} AS avg_idle_pct_1dp, coalesce(risk_count, 0) AS risk_count
+  {rnd('avg_idle_pct', 1)} AS avg_idle_pct_1dp, format('{{:.1f}}', avg_cancel_pct) || '%' AS avg_cancel_pct_text,
+  format('{{:.1f}}', avg_idle_pct) || '%' AS avg_idle_pct_text, coalesce(risk_count, 0) AS risk_count
 FROM base LEFT JOIN risk USING ("Date")""")
 ORACLE["location_breakdown_by_day"] = q(LOCBREAK.replace(
     "SELECT driver_geo_region AS region", 'SELECT "Date", driver_geo_region AS region').replace(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlake.functions.expr import change_class, py_float_text, rnd, signed_1dp_text
+from shiftlake.functions.expr import change_class, py_fixed, py_float_text, rnd, signed_1dp_text
 from shiftlake.operators import drivers, regions
 from shiftlake.operators.cleaning import with_cancellation_rate
 from shiftlake.operators.common import metric, roles, top_k
@@ -33,6 +33,7 @@ DOD_METRICS = [
     ("total_cash", "Total Cash"),
     ("driver_count", "Active Drivers"),
 ]
+CURRENCY = "₹"
 INSIGHT_OVER_12 = "⏰ {n} drivers logged in for 12+ hours (High Duty)"
 INSIGHT_UNDER_8 = "⏳ {n} drivers logged in for < 8 hours (Part Time)"
 INSIGHT_HIGH_CANCEL = "⚠️ {n} drivers have cancellation rates above {t}% - requires attention"
@@ -65,14 +66,19 @@ def summary_cards(df: DataFrame, params: Params, by=()) -> DataFrame:
 def top_performers_table(df: DataFrame, params: Params, by=()) -> DataFrame:
     """R2: ranked top-N table plus the 20-character chart label."""
     t = drivers.top_performers(df, params, by)
-    return t.withColumn("chart_label", F.substring("driver_name", 1, CHART_NAME_CHARS))
+    return t.withColumn("chart_label", F.substring("driver_name", 1, CHART_NAME_CHARS)).withColumn(
+        "cash_text", F.concat(F.lit(CURRENCY), py_fixed("cash_collected", 2)))
 
 
 def regions_table(df: DataFrame, params: Params, by=()) -> DataFrame:
     """Top 15 regions by orders for the table; the first 10 feed the chart."""
     lp = regions.location_performance(df, params, by)
     ranked = top_k(lp, [F.col("total_orders").desc(), F.col("region").asc_nulls_first()], REGION_TABLE_ROWS, by)
-    return ranked.withColumn("in_chart", F.col("rank") <= REGION_CHART_ROWS)
+    return ranked.select(
+        "*", (F.col("rank") <= REGION_CHART_ROWS).alias("in_chart"),
+        py_fixed("avg_orders_per_driver", 1, commas=False).alias("avg_orders_text"),
+        F.concat(F.lit(CURRENCY), py_fixed("total_cash", 2)).alias("total_cash_text"),
+        F.concat(py_fixed("cancellation_rate", 1, commas=False), F.lit("%")).alias("cancellation_rate_text"))
 
 
 def dod_table(overall: DataFrame) -> DataFrame:
@@ -99,18 +105,29 @@ def dod_table(overall: DataFrame) -> DataFrame:
         "previous", "current", "change", "pct_change",
         change_class("change").alias("change_class"),
         (F.col("metric") != "driver_count").alias("in_table"),
+        py_fixed("previous", 0).alias("previous_text"),
+        py_fixed("current", 0).alias("current_text"),
+        F.concat(F.when(F.col("change") > 0, F.lit("+")).otherwise(F.lit("")), py_fixed("change", 0)).alias("change_text"),
+        F.concat(signed_1dp_text("pct_change"), F.lit("%")).alias("pct_text"),
     )
 
 
 def region_changes_table(region_changes: DataFrame, n: int = 10) -> DataFrame:
     """Top-N region changes (by |change|) with direction class."""
-    return region_changes.where(F.col("rank") <= n).withColumn("change_class", change_class("change"))
+    return region_changes.where(F.col("rank") <= n).select(
+        "*", change_class("change").alias("change_class"),
+        F.concat(F.when(F.col("change") > 0, F.lit("+")).otherwise(F.lit("")), F.col("change").cast("string"))
+        .alias("change_text"),
+        F.concat(signed_1dp_text("pct_change"), F.lit("%")).alias("pct_text"))
 
 
 def cash_regions_table(df: DataFrame, params: Params, by=(), n: int = 10) -> DataFrame:
     """Top-N regions by total cash from the monthly breakdown."""
     lb = regions.location_breakdown(df, params, by)
-    return top_k(lb, [F.col("total_cash").desc(), F.col("region").asc_nulls_first()], n, by)
+    ranked = top_k(lb, [F.col("total_cash").desc(), F.col("region").asc_nulls_first()], n, by)
+    return ranked.select(
+        "*", F.concat(F.lit(CURRENCY), py_float_text("total_cash")).alias("total_cash_text"),
+        F.concat(F.lit(CURRENCY), py_float_text("avg_cash")).alias("avg_cash_text"))
 
 
 def insights(df: DataFrame, params: Params) -> DataFrame:
