@@ -161,8 +161,10 @@ def rankings(act: DataFrame, params: Params, by=()) -> DataFrame:
     top = top_k(active.withColumn("rank_key", top_key), [c("rank_key").desc(), *_tie(active)], n, by)
     bot = top_k(active.withColumn("rank_key", bot_key), [c("rank_key").desc(), *_tie(active)], n, by)
     cols = ["rank", *IDENT, *ACTIVITY_COLUMNS, "rank_key"]
-    return (top.select(F.lit("top_5").alias("rank_type"), *cols)
-            .unionByName(bot.select(F.lit("bottom_5").alias("rank_type"), *cols)))
+    top_label = F.concat(c("driver_name"), F.lit(" ("), py_float_text("orders_per_hour"), F.lit(" orders/hr)"))
+    bot_label = F.concat(c("driver_name"), F.lit(" ("), py_float_text("idle_pct"), F.lit("% idle)"))
+    return (top.select(F.lit("top_5").alias("rank_type"), *cols, top_label.alias("label"))
+            .unionByName(bot.select(F.lit("bottom_5").alias("rank_type"), *cols, bot_label.alias("label"))))
 
 
 def integrity_scores(act: DataFrame, params: Params | None = None) -> DataFrame:

@@ -340,8 +340,10 @@ def _rankings(by_day: bool) -> str:
 a AS (SELECT * FROM act WHERE working_window > 1),
 t AS (SELECT 'top_5' AS rank_type, *, orders_per_hour - cancel_pct / 100 - idle_pct / 100 AS rank_key FROM a),
 b AS (SELECT 'bottom_5' AS rank_type, *, idle_pct + cancel_pct - orders_per_hour * 10 AS rank_key FROM a),
-tr AS (SELECT *, CAST(row_number() OVER ({part}ORDER BY rank_key DESC, {ITIE}) AS INTEGER) AS rank FROM t QUALIFY rank <= 5),
-br AS (SELECT *, CAST(row_number() OVER ({part}ORDER BY rank_key DESC, {ITIE}) AS INTEGER) AS rank FROM b QUALIFY rank <= 5)
+tr AS (SELECT *, CAST(row_number() OVER ({part}ORDER BY rank_key DESC, {ITIE}) AS INTEGER) AS rank,
+  driver_name || ' (' || CAST(orders_per_hour AS VARCHAR) || ' orders/hr)' AS label FROM t QUALIFY rank <= 5),
+br AS (SELECT *, CAST(row_number() OVER ({part}ORDER BY rank_key DESC, {ITIE}) AS INTEGER) AS rank,
+  driver_name || ' (' || CAST(idle_pct AS VARCHAR) || '% idle)' AS label FROM b QUALIFY rank <= 5)
 SELECT * FROM tr UNION ALL SELECT * FROM br""")
 
 
