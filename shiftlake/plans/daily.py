@@ -57,6 +57,29 @@ def analyse(current: DataFrame, previous: DataFrame | None, params: Params, hist
     return out
 
 
+def previous_from_files(spark: SparkSession, history_dir: str, params: Params,
+                        patterns=("*.csv", "*.parquet", "*.json")) -> DataFrame | None:
+    """The previous snapshot as the newest file of a history folder (S4, file rule).
+
+    Picks the file with the latest modification time (a listing, no data
+    read), then loads, cleans and filters it. None when the folder holds
+    no file, so the day-over-day section is skipped.
+    """
+    newest = None
+    for pat in patterns:
+        try:
+            cand = files.latest_file(spark, history_dir, pat)
+        except Exception:  # noqa: BLE001 - an empty or missing folder
+            cand = None
+        if cand is not None:
+            st = files.modification_time(spark, cand)
+            if newest is None or st > newest[1]:
+                newest = (cand, st)
+    if newest is None:
+        return None
+    return cleaning.prepare(files.read_landed(spark, [newest[0]]), params)
+
+
 def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params,
               out_dir: str | None = None, batch_id: int | None = None,
               archive_root: str | None = None) -> dict[str, DataFrame]:

@@ -144,6 +144,12 @@ def latest_file(spark: SparkSession, directory: str, pattern: str = "*.csv") ->
     return row["p"] if row else None
 
 
+def modification_time(spark: SparkSession, path: str) -> int:
+    """Modification time (ms) of one file through the Hadoop FileSystem."""
+    p, fs = _fs(spark, path)
+    return int(fs.getFileStatus(p).getModificationTime())
+
+
 def land_csv(df: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Write a frame as headed CSV text (timestamps to the microsecond)."""
     out = df.coalesce(files) if files else df

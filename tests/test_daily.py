@@ -44,3 +44,23 @@ def test_cli_daily_run_and_format_dispatch(spark, tmp_shared):
     want = raw.where(F.col("vehicle_type") != "MACHINERY").count()
     assert spark.read.parquet(tmp_shared + "/m").count() == want
     assert spark.read.parquet(tmp_shared + "/o/driver_overview").first()["total_drivers"] == want
+
+
+def test_previous_from_files_picks_newest(spark, tmp_shared):
+    import os
+    import time
+
+    from shiftlake.plans.daily import previous_from_files
+    p = Params(exclude_vehicle_type="MACHINERY")
+    hist = tmp_shared.replace("file:", "") + "/hist"
+    os.makedirs(hist)
+    assert previous_from_files(spark, hist, p) is None
+    raw = tables.driver_day(spark, SF_SMALL)
+    for i, d in enumerate((dt.date(2024, 1, 1), dt.date(2024, 1, 2))):
+        out = tmp_shared + f"/tmp{i}"
+        files.land_csv(raw.where(F.col("Date") == d), out, files=1)
+        src = files.list_files(spark, out)[0].replace("file:", "")
+        os.link(src, f"{hist}/day{i}.csv")
+        os.utime(f"{hist}/day{i}.csv", (time.time() - 100 + 50 * i,) * 2)
+    prev = previous_from_files(spark, hist, p)
+    assert {r["Date"] for r in prev.select("Date").distinct().collect()} == {dt.date(2024, 1, 2)}
