@@ -20,7 +20,8 @@ day holding a third of all rows) ends up whole in one task. Here:
    values at ranks floor((n-1)/2) and ceil((n-1)/2); the median
    interpolates them as Spark's ``median`` does.
 
-The loop decides on one number per round (the largest distinct count), so
+The (keys, value) input is checkpointed once, so the source pipeline runs
+a single time. The loop decides on one number per round (the largest distinct count), so
 it runs on Spark; the driver never sees the data.
 """
 
@@ -33,7 +34,7 @@ from shiftlake.operators.common import attach_group_stats
 from shiftlake.params import Params
 from shiftlake.session import shared_dir
 
-ACCURACY = 100_000
+ACCURACY = 10_000  # Spark's default; wider brackets are narrowed by the rounds below
 MARGIN_RANKS = 8.0
 BUCKETS = 4096
 MAX_DISTINCT = 100_000
@@ -83,7 +84,9 @@ def exact_median(long: DataFrame, keys: list[str], value: str = "value", params:
     spark = long.sparkSession
     shared_dir(spark)
     v = F.col(value)
-    base = long.where(v.isNotNull()).select(*keys, v.cast("double").alias("_x"))
+    # the narrow (keys, value) input is stored once: both passes below read it
+    # instead of recomputing whatever pipeline produced ``long``
+    base = long.where(v.isNotNull()).select(*keys, v.cast("double").alias("_x")).checkpoint(eager=True)
     x = F.col("_x")
     m = MARGIN_RANKS / ACCURACY
     stats = base.groupBy(*keys).agg(
@@ -92,7 +95,10 @@ def exact_median(long: DataFrame, keys: list[str], value: str = "value", params:
         *(extra or []),
     )
     extras = [c for c in stats.columns if c not in (*keys, "_n", "_b")]
-    stats = stats.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), *extras)
+    # one row per group, stored once: the bracket and the extra aggregates are
+    # read from here, so the input is scanned twice in all (sketch, histogram)
+    stats = stats.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), *extras) \
+        .checkpoint(eager=True)
     # one row per group: broadcast when the group count is small (checked)
     tagged = attach_group_stats(base, stats.select(*keys, "_n", "_lo", "_hi"), keys, params)
     side = F.when(x < F.col("_lo"), BELOW).when(x > F.col("_hi"), ABOVE).otherwise(INSIDE)
