@@ -61,3 +61,31 @@ def test_latest_file_by_modification_time(spark, tmp_shared):
             fh.write("x\n1\n")
         os.utime(os.path.join(d, name), (time.time() - 100 + i * 10, time.time() - 100 + i * 10))
     assert files.latest_file(spark, d).endswith("c.csv")
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.sampled_from(["a", "b", None]),
+                                   st.integers(0, 99)), min_size=0, max_size=6), min_size=1, max_size=3))
+def test_upsert_sequence_equals_keep_last_model(spark, batches):
+    """Any sequence of batches (in-batch duplicates, NULL key parts, NULL dates)
+    gives the master a pandas keep-last over the concatenation would give."""
+    import datetime as dt
+    import uuid
+
+    from shiftlake.operators import master
+    from shiftlake.session import scratch_path
+    path = scratch_path(spark, "prop") + uuid.uuid4().hex
+    model = {}
+    schema = "Date date, driver_name string, driver_mobile string, vehicle_number string, cash_collected double"
+    for bid, batch in enumerate(batches):
+        rows = [(dt.date(2024, 1, d) if d else None, n, "m", "v", float(c)) for d, n, c in batch]
+        # one partition keeps input order = arrival order for in-batch duplicates
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        wrote = master.upsert(path, df, bid)
+        assert wrote == bool(rows)
+        for r in rows:
+            model[(r[0], r[1])] = r[4]
+    if not model:
+        return
+    got = {(r["Date"], r["driver_name"]): r["cash_collected"] for r in spark.read.parquet(path).collect()}
+    assert got == model
