@@ -411,6 +411,10 @@ def q_report_region_changes(spark, sf):
     return report.region_changes_table(compare.dod_region_by_day(_dd(spark, sf), P))
 
 
+def q_report_activity(spark, sf):
+    return report.activity_table(_act(spark, sf))
+
+
 def q_report_cash_regions(spark, sf):
     return report.cash_regions_table(_dd(spark, sf), P)
 

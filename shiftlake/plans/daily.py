@@ -37,6 +37,7 @@ def analyse(current: DataFrame, previous: DataFrame | None, params: Params, hist
         "report_summary_cards": report.summary_cards(current, params, by),
         "report_regions": report.regions_table(current, params, by),
         "activity_summary": act,
+        "report_activity": report.activity_table(act),
         "risk_flags": integrity.risk_flags(act, params, by),
         "rogue_detection": integrity.rogue_detection(current, params),
         "rankings": integrity.rankings(act, params, by),

@@ -606,3 +606,7 @@ UNION ALL SELECT "Date", 'drivers_over_12_hours', 2, 'Logged in 12+ Hours', o12
 UNION ALL SELECT "Date", 'drivers_under_8_hours', 3, 'Logged in < 8 Hours', u8 FROM o
 UNION ALL SELECT "Date", 'drivers_8_to_12_hours', 4, 'Logged in 8-12 Hours', m FROM o
 UNION ALL SELECT "Date", 'total_regions', 5, 'Active Regions', r FROM o""")
+
+ORACLE["report_activity"] = q(ACT + """
+SELECT *, CASE WHEN cancel_pct > 20 THEN 'negative' ELSE '' END AS cancel_class,
+  CASE WHEN idle_pct > 40 THEN 'negative' ELSE '' END AS idle_class FROM act""")

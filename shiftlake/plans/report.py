@@ -121,6 +121,16 @@ def region_changes_table(region_changes: DataFrame, n: int = 10) -> DataFrame:
         F.concat(signed_1dp_text("pct_change"), F.lit("%")).alias("pct_text"))
 
 
+def activity_table(act: DataFrame) -> DataFrame:
+    """R7 activity table: the activity rows with the highlight classes
+    (cancel % over 20 and idle % over 40 are shown as negative)."""
+    return act.select(
+        "*",
+        F.when(F.col("cancel_pct") > 20, F.lit("negative")).otherwise(F.lit("")).alias("cancel_class"),
+        F.when(F.col("idle_pct") > 40, F.lit("negative")).otherwise(F.lit("")).alias("idle_class"),
+    )
+
+
 def cash_regions_table(df: DataFrame, params: Params, by=(), n: int = 10) -> DataFrame:
     """Top-N regions by total cash from the monthly breakdown."""
     lb = regions.location_breakdown(df, params, by)
