@@ -66,12 +66,6 @@ def exact_sum(x) -> Column:
     return F.coalesce(F.sum(_c(x).cast("decimal(18,4)")), F.lit(0).cast("decimal(18,4)")).cast("double")
 
 
-def exact_avg(x) -> Column:
-    """Mean from the exact sum and the non-null count (NULL on no rows)."""
-    cnt = F.count(_c(x))
-    return F.when(cnt > 0, exact_sum(x) / cnt)
-
-
 def hours_bucket(hours) -> Column:
     """Shift-duration bucket: <8, 8..12 inclusive, >12 (NULL hours count as 0)."""
     h = num0(hours)
@@ -136,10 +130,3 @@ def safe_corr(x, y) -> Column:
     the covariance / (sd * sd) form with ``try_divide`` returns NULL instead.
     """
     return F.try_divide(F.covar_samp(_c(x), _c(y)), F.stddev_samp(_c(x)) * F.stddev_samp(_c(y)))
-
-
-def col_or(df, name: str | None, default) -> Column:
-    """Column ``name`` if the frame has it, else a literal default."""
-    if name is not None and name in df.columns:
-        return F.col(name)
-    return F.lit(default)

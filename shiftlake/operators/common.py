@@ -88,7 +88,3 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, by, params: Params) -> D
     n = stats.count()
     side = F.broadcast(stats) if n <= params.broadcast_max_rows else stats
     return df.join(side, list(by), "left")
-
-
-def empty_like(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)

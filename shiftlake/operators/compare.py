@@ -16,16 +16,6 @@ from shiftlake.params import Params
 REGION = "driver_geo_region"
 
 
-def snapshot_dates(df: DataFrame) -> DataFrame:
-    """(Date, prev_Date): each snapshot date with the latest earlier one.
-
-    ``lag`` runs over the *distinct dates* only (one row per calendar day,
-    36,525 rows per century), never over the driver rows.
-    """
-    d = df.where(F.col("Date").isNotNull()).select("Date").distinct()
-    return d.withColumn("prev_Date", F.lag("Date").over(Window.orderBy("Date")))
-
-
 def previous_snapshot(df: DataFrame, current_date=None) -> DataFrame:
     """Rows of the latest Date before ``current_date`` (default: the latest Date).
 
