@@ -93,7 +93,11 @@ def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params
     ``snapshot_date=<yyyyMMdd of the batch's latest Date>`` (a rerun replaces it).
     """
     raw = files.read_landed(spark, input_paths)
-    current = cleaning.prepare(raw, params)
+    # every analysis below reads the cleaned batch: store it once in the shared
+    # checkpoint folder instead of re-parsing the landed files per analysis
+    from shiftlake.session import shared_dir
+    shared_dir(spark)
+    current = cleaning.prepare(raw, params).checkpoint(eager=True)
     current_date = current.select(F.max("Date")).first()[0]
     bid = batch_id if batch_id is not None else int(current_date.strftime("%Y%m%d")) if current_date else 0
     master.upsert(master_path, current, bid, params)
