@@ -86,5 +86,9 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, by, params: Params) -> D
     shared_dir(stats.sparkSession)
     stats = stats.checkpoint(eager=True)
     n = stats.count()
-    side = F.broadcast(stats) if n <= params.broadcast_max_rows else stats
-    return df.join(side, list(by), "left")
+    # null-safe keys: a NULL group (e.g. rows without a Date) gets its own statistics
+    keyed = stats.select(*[F.col(k).alias(f"_gk{i}") for i, k in enumerate(by)],
+                         *[c for c in stats.columns if c not in by])
+    side = F.broadcast(keyed) if n <= params.broadcast_max_rows else keyed
+    cond = [df[k].eqNullSafe(keyed[f"_gk{i}"]) for i, k in enumerate(by)]
+    return df.join(side, cond, "left").drop(*[f"_gk{i}" for i in range(len(by))])

@@ -122,5 +122,7 @@ def exact_median(long: DataFrame, keys: list[str], value: str = "value", params:
     res = res.select(*keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.lit(0.5)).alias(out))
     if extras:
         # both sides hold one row per group
-        res = res.join(stats.select(*keys, *extras), list(keys), "left")
+        ex = stats.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(keys)], *extras)
+        cond = [res[k].eqNullSafe(ex[f"_ek{i}"]) for i, k in enumerate(keys)]  # NULL groups match
+        res = res.join(ex, cond, "left").drop(*[f"_ek{i}" for i in range(len(keys))])
     return res

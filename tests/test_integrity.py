@@ -1,6 +1,7 @@
 """Integrity chain: activity ratios, flag rules and edges, rogue rule, rankings, scores."""
 
 from fixtures import frame
+from pyspark.sql import functions as F
 
 from shiftlake.operators import integrity as I
 from shiftlake.params import Params
@@ -112,3 +113,17 @@ def test_exec_summary_counts_flagged(spark):
     rows = [dict(driver_name="x", allocated_orders=10, partner_cancellation=5), dict(driver_name="y")]
     s = I.integrity_exec_summary(act(spark, rows), P).first()
     assert (s["total_drivers"], s["avg_cancel_pct"], s["risk_count"]) == (2, 25.0, 1)
+
+
+def test_fleet_average_for_rows_without_date(spark):
+    rows = [dict(driver_name="p", completed_orders=10, total_distance_in_kms=10, trip_fare=10000, Date=None),
+            dict(driver_name="q", completed_orders=10, total_distance_in_kms=40, trip_fare=10000, Date=None)]
+    # the NULL-Date rows form their own snapshot: average 2.5, q at 4.0 > 3.75 is flagged
+    assert flags_by_name(spark, rows, ("Date",)) == {"q": [I.FLAG_SUSPICIOUS_KM]}
+
+
+def test_exact_median_null_group(spark):
+    from shiftlake.operators.stats import exact_median
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, value double")
+    out = exact_median(df, ["g"], extra=[F.max("_x").alias("mx")]).collect()
+    assert {r["g"]: (r["median"], r["mx"]) for r in out} == {None: (2.0, 3.0), "a": (5.0, 5.0)}
