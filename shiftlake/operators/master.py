@@ -17,6 +17,8 @@ from shiftlake.params import Params
 
 BATCH = "_batch"
 SEQ = "_seq"
+# arrival order of rows read from files (modification time, path, block), set by the scans
+FILE_ORDER = ["_mtime", "_path", "_block"]
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -49,8 +51,9 @@ def dedup_keys(df: DataFrame) -> list[str]:
 def with_arrival_order(df: DataFrame, batch_id: int) -> DataFrame:
     """Tag rows with (batch, position) at the source, before any shuffle.
 
-    File scans order by file modification time, path, block and row;
-    other frames by ``monotonically_increasing_id`` of their partitions.
+    Rows read from files also carry ``_mtime``, ``_path``, ``_block`` (see
+    ``sources.files``), which rank before the position; other frames are
+    ordered by ``monotonically_increasing_id`` of their partitions.
     """
     out = df.withColumn(BATCH, F.lit(int(batch_id)).cast("bigint"))
     return out.withColumn(SEQ, F.monotonically_increasing_id())
@@ -124,7 +127,8 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
         combined = union_by_name([old, staged])
     else:
         combined = staged
-    out = keep_last(combined, dedup_keys(combined), [BATCH, SEQ])
+    order = [BATCH] + [c for c in FILE_ORDER if c in combined.columns] + [SEQ]
+    out = keep_last(combined, dedup_keys(combined), order).drop(*FILE_ORDER)
     write_by_date(out, master_path)
     return True
 
@@ -135,9 +139,9 @@ def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
         return None
     tagged = [f if BATCH in f.columns else with_arrival_order(f, i) for i, f in enumerate(frames)]
     combined = union_by_name(tagged)
-    out = keep_last(combined, dedup_keys(combined), [c for c in (BATCH, "_mtime", "_path", "_block", SEQ)
+    out = keep_last(combined, dedup_keys(combined), [c for c in (BATCH, *FILE_ORDER, SEQ)
                                                      if c in combined.columns])
-    out = out.drop("_mtime", "_path", "_block")
+    out = out.drop(*FILE_ORDER)
     write_by_date(out, master_path, dynamic=False)
     return out.sparkSession.read.parquet(master_path)
 

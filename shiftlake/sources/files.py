@@ -41,15 +41,21 @@ def read_csv(spark: SparkSession, paths, with_file_order: bool = False) -> DataF
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
           .option("enforceSchema", False).csv(paths))
-    cols = [c for c in df.columns]
-    if with_file_order:
-        df = df.select(
-            *cols,
-            F.col("_metadata.file_modification_time").alias("_mtime"),
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-        )
-    return na_to_null(df)
+    return na_to_null(with_file_order_columns(df) if with_file_order else df)
+
+
+def with_file_order_columns(df: DataFrame) -> DataFrame:
+    """Add the arrival order of file rows: modification time, path, block start.
+
+    Keep-last ranks rows by these before their position, so on a key that
+    occurs in several files of one batch the newest file wins.
+    """
+    return df.select(
+        *df.columns,
+        F.col("_metadata.file_modification_time").alias("_mtime"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
 
 
 def read_landed(spark: SparkSession, paths) -> DataFrame:
@@ -57,7 +63,8 @@ def read_landed(spark: SparkSession, paths) -> DataFrame:
 
     ``.csv`` -> text columns (typed later by the cleaning step); ``.parquet``
     and ``.json`` keep their own types. Mixed extensions are read per
-    format and unioned by column name.
+    format and unioned by column name. Rows carry their file arrival order
+    (``_mtime``, ``_path``, ``_block``) for keep-last; the upsert drops it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     by_fmt: OrderedDict = OrderedDict()
@@ -68,11 +75,11 @@ def read_landed(spark: SparkSession, paths) -> DataFrame:
     frames = []
     for fmt, ps in by_fmt.items():
         if fmt == "csv":
-            frames.append(read_csv_groups(spark, ps, with_file_order=False))
+            frames.append(read_csv_groups(spark, ps, with_file_order=True))
         elif fmt == "parquet":
-            frames.append(spark.read.parquet(*ps))
+            frames.append(with_file_order_columns(spark.read.parquet(*ps)))
         else:
-            frames.append(na_to_null(spark.read.json(ps)))
+            frames.append(na_to_null(with_file_order_columns(spark.read.json(ps))))
     return union_by_name(frames)
 
 

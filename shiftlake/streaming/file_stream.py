@@ -41,6 +41,9 @@ def start(spark: SparkSession, landing: str, master_path: str, checkpoint: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(landing)
+    # file arrival order inside a micro-batch (newest file wins on a duplicate key)
+    from shiftlake.sources.files import with_file_order_columns
+    src = with_file_order_columns(src)
     return (src.writeStream.foreachBatch(upsert_batch(master_path, params))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 

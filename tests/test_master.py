@@ -136,3 +136,21 @@ def test_stream_late_file_rewrites_only_its_date(spark, tmp_shared):
     assert snapshot(days[0]) != before[days[0]]
     assert rows_of(spark.read.parquet(out)) == [
         ("2024-01-01", "a", "1", 99.0), ("2024-01-02", "a", "1", 1.0), ("2024-01-03", "a", "1", 2.0)]
+
+
+def test_newest_file_wins_inside_one_batch(spark, tmp_shared):
+    """Two files in one daily batch hold the same key: the later-modified file wins,
+    whatever order Spark packs the file splits in."""
+    from shiftlake.operators.cleaning import prepare
+    big = spark.createDataFrame([(D1, "a", "1", "v", 1.0)] + [(D1, f"x{i}", str(i), "v", 0.0) for i in range(2, 300)],
+                                SCHEMA)
+    small = spark.createDataFrame([(D1, "a", "1", "v", 2.0)], SCHEMA)
+    files.land_csv(small, tmp_shared + "/in/s", files=1)
+    time.sleep(1.1)
+    files.land_csv(big, tmp_shared + "/in/b", files=1)      # newer (and larger) file
+    paths = files.list_files(spark, tmp_shared + "/in/s") + files.list_files(spark, tmp_shared + "/in/b")
+    batch = prepare(files.read_landed(spark, paths), Params(exclude_vehicle_type=None))
+    master.upsert(tmp_shared + "/m", batch, 1)
+    got = spark.read.parquet(tmp_shared + "/m")
+    assert "_mtime" not in got.columns
+    assert got.where("driver_name = 'a'").first()["cash_collected"] == 1.0
