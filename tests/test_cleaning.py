@@ -77,3 +77,9 @@ def test_cancellation_rate_zero_denominators(spark):
     df = spark.createDataFrame([(0.0, 3.0), (0.0, 0.0), (10.0, 2.0)], "total_orders double, orders_cancelled double")
     got = [r["cancellation_rate"] for r in cleaning.with_cancellation_rate(df, Params()).collect()]
     assert got == [0.0, 0.0, 20.0]
+
+
+def test_params_from_string_config():
+    p = Params.from_strings({"MIN_ORDERS_THRESHOLD": "7", "IDLE_HOURS_WARNING": "3.5"})
+    assert (p.min_orders, p.idle_hours_warning, p.cancellation_rate_warning) == (7, 3.5, 15.0)
+    assert Params.from_strings({}) == Params()
