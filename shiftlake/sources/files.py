@@ -6,6 +6,7 @@ typed afterwards by ``clean_driver_day`` from the canonical schema.
 
 from __future__ import annotations
 
+import logging
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from shiftlake.functions.schema import NA_TOKENS
 from shiftlake.operators.master import union_by_name
 
+log = logging.getLogger(__name__)
+
 # Text layout used when this library lands CSV files itself.
 TS_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DATE_TEXT_FORMAT = "yyyy-MM-dd"
@@ -32,7 +35,7 @@ def na_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_csv(spark: SparkSession, paths, with_file_order: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, paths, with_file_order: bool = False, skip_bad_files: bool = False) -> DataFrame:
     """Scan CSV files sharing one header as text columns.
 
     ``with_file_order`` adds ``_mtime``, ``_path``, ``_block`` from the hidden
@@ -40,7 +43,7 @@ def read_csv(spark: SparkSession, paths, with_file_order: bool = False) -> DataF
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("enforceSchema", False).csv(paths))
+          .option("enforceSchema", False).option("ignoreCorruptFiles", skip_bad_files).csv(paths))
     return na_to_null(with_file_order_columns(df) if with_file_order else df)
 
 
@@ -114,12 +117,19 @@ def read_csv_groups(spark: SparkSession, paths: list[str], with_file_order: bool
     """Scan files whose headers differ: one scan per distinct header, unioned by name.
 
     A single CSV scan binds columns by position, so files are grouped by
-    header first; columns absent from a group become NULL.
+    header first; columns absent from a group become NULL. Files that
+    cannot be read are skipped with a warning (the others still load);
+    ``None`` when no file is left.
     """
     groups: OrderedDict = OrderedDict()
     for path in paths:
-        groups.setdefault(read_header(spark, path), []).append(path)
-    frames = [read_csv(spark, ps, with_file_order) for ps in groups.values()]
+        try:
+            header = read_header(spark, path)
+        except Exception as e:  # noqa: BLE001 - an unreadable file is skipped, the rest load
+            log.warning("skipping unreadable file %s: %s", path, str(e).splitlines()[0] if str(e) else e)
+            continue
+        groups.setdefault(header, []).append(path)
+    frames = [read_csv(spark, ps, with_file_order, skip_bad_files=True) for ps in groups.values()]
     return union_by_name(frames) if frames else None
 
 

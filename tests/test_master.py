@@ -154,3 +154,12 @@ def test_newest_file_wins_inside_one_batch(spark, tmp_shared):
     got = spark.read.parquet(tmp_shared + "/m")
     assert "_mtime" not in got.columns
     assert got.where("driver_name = 'a'").first()["cash_collected"] == 1.0
+
+
+def test_backfill_skips_unreadable_files(spark, tmp_shared):
+    a = spark.createDataFrame([(D1, "a", "1", "v", 1.0)], SCHEMA)
+    files.land_csv(a, tmp_shared + "/in/a", files=1)
+    paths = files.list_files(spark, tmp_shared + "/in/a") + [tmp_shared + "/in/missing.csv"]
+    got = files.read_csv_groups(spark, paths)
+    assert got.count() == 1
+    assert files.read_csv_groups(spark, [tmp_shared + "/in/missing.csv"]) is None
