@@ -83,6 +83,9 @@ def read_landed(spark: SparkSession, paths) -> DataFrame:
             frames.append(with_file_order_columns(spark.read.parquet(*ps)))
         else:
             frames.append(na_to_null(with_file_order_columns(spark.read.json(ps))))
+    frames = [f for f in frames if f is not None]
+    if not frames:
+        raise FileNotFoundError(f"no readable input file among {len(paths)} path(s)")
     return union_by_name(frames)
 
 

@@ -64,3 +64,8 @@ def test_previous_from_files_picks_newest(spark, tmp_shared):
         os.utime(f"{hist}/day{i}.csv", (time.time() - 100 + 50 * i,) * 2)
     prev = previous_from_files(spark, hist, p)
     assert {r["Date"] for r in prev.select("Date").distinct().collect()} == {dt.date(2024, 1, 2)}
+
+
+def test_cli_fails_cleanly_without_readable_input(spark, tmp_shared):
+    from shiftlake.__main__ import main
+    assert main(["daily", "--input", tmp_shared + "/nothing.csv", "--master", tmp_shared + "/m"]) == 1
