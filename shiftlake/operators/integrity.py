@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import py_fixed, py_float_text, ratio_if_pos, rnd, score_band, trunc_int
-from shiftlake.operators.common import attach_group_stats, metric, text_or, tie_break, top_k
+from shiftlake.operators.common import attach_group_stats, metric, text_or, top_k
 from shiftlake.params import Params
 
 # ---------------------------------------------------------------------------
