@@ -157,3 +157,13 @@ def test_exact_median_refinement_rounds(spark):
     for g in ("exp", "tie", "neg"):
         want = float(np.median([v for k, v in rows if k == g]))
         assert abs(got[g] - want) <= 1e-9 * max(1.0, abs(want)), g
+
+
+def test_column_override_steers_role_resolution(spark):
+    """'orders' substring-matches allocated_orders first; an override picks the intended column."""
+    df = spark.createDataFrame([("a", 10.0, 3.0), ("b", 1.0, 7.0)],
+                               "driver_name string, allocated_orders double, orders_done double")
+    by_alias = drivers.top_performers(df, Params(top_n=1)).first()
+    assert (by_alias["driver_name"], by_alias["orders"]) == ("a", 10)
+    pinned = drivers.top_performers(df, Params(top_n=1, column_overrides={"orders": "orders_done"})).first()
+    assert (pinned["driver_name"], pinned["orders"]) == ("b", 7)
