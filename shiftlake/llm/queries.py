@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlake.llm import bpe, langid, records, secrets, token_counts, topk
+from shiftlake.llm import bpe, decontam, langid, licenses, lines, records, secrets, simhash, token_counts, topk
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op1_token_counts(spark, sf):
     return token_counts.count_tokens(_docs(spark, sf), public_tokenizers.path(PIECES))
 
 
+def op2_decontamination(spark, sf):
+    return decontam.find_items(_docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def op3_language_id(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text", "lang")
     held = (langid.fold(F.col("doc_id")) == 0).alias("held_out")
@@ -28,11 +32,23 @@ def op3_language_id(spark, sf):
     return langid.predict(docs, model).select("doc_id", held, "lang_pred", "score")
 
 
+def op4_simhash_dedup(spark, sf):
+    return simhash.near_duplicates(_docs(spark, sf), shingle=3, max_bits=2)
+
+
+def op5_line_dedup(spark, sf):
+    return lines.line_digest(lines.dedup_lines(_docs(spark, sf).select("doc_id", "text")))
+
+
 def op6_token_records(spark, sf):
     out = records.written(_docs(spark, sf), public_tokenizers.path(BYTE_BPE))
     return records.record_digest(spark, out)
 
 
+def op7_license_scan(spark, sf):
+    return licenses.scan(_docs(spark, sf))
+
+
 def op8_byte_bpe(spark, sf):
     path = public_tokenizers.path(BYTE_RANKS)
     encoded = bpe.encode(_docs(spark, sf), path, public_tokenizers.PATTERN)
@@ -62,4 +78,5 @@ WITH fine AS (
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op7_license_scan": licenses.scan_sql(),
 }

@@ -14,8 +14,8 @@ its thresholds are ever on the driver or broadcast.
 Edge cases: vectors that are null or hold a null or non-finite component,
 and rows without a vec_id, take no part. Only vectors of one length meet.
 vec_id names a row: rows with the query's vec_id are its own and never its
-results; a repeated query row is searched once. With fewer than k others all
-are returned. Empty tables give an empty result. Scores that may pass 2^55 raise.
+results; a repeated row counts once. With fewer than k others all
+are returned. Empty tables give an empty result. Scores that may pass 2^61 raise.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _scores(queries: np.ndarray, block: np.ndarray, whole: bool) -> np.ndarray:
 
 def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row that ``is_query`` (a condition on vec_id) names."""
-    rows = stored(quantised(df, id_col, vec_col), "vectors")
+    rows = stored(quantised(df, id_col, vec_col).dropDuplicates(), "vectors")  # repeated rows are one
     spark = rows.sparkSession
     out = None
     facts = (rows.groupBy(F.size("q").alias("dim"))
@@ -72,10 +72,10 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
                   F.sum(F.when(is_query, 1).otherwise(0)).alias("queries")).collect())  # a row per vector length
     for dim, largest, n in [tuple(x) for x in facts]:
         bound = int(largest) ** 2 * dim
-        if bound >= 1 << 55:
-            raise ValueError("scores may pass 2^55")
+        if bound >= 1 << 61:
+            raise ValueError("scores may pass 2^61")
         n_blocks = max(1, math.ceil(n * dim * 8 / QUERY_BYTES))
-        queries = rows.where(is_query & (F.size("q") == dim)).dropDuplicates()
+        queries = rows.where(is_query & (F.size("q") == dim))
         for b in range(n_blocks if n else 0):
             part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id", "q").toArrow()
             if part.num_rows:
@@ -117,7 +117,7 @@ def _counter(shared, low, step, width, above, k, dim, whole):
         line = np.arange(len(ids))[:, None]
         for own, block in _blocks(batches, dim):
             s = _scores(queries, block, whole) - low[:, None]
-            inside = (s >= 0) & (s < width) & (own[None, :] != ids[:, None])
+            inside = (s >= 0) & (s <= min(width - 1, (1 << 63) - 1)) & (own[None, :] != ids[:, None])
             flat = (line * BUCKETS + s // step)[inside]
             hist += np.bincount(flat, minlength=hist.size).reshape(hist.shape)
         # buckets below the one with this task's own k-th best cannot hold the global one
