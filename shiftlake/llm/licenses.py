@@ -74,18 +74,19 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float
     docs = documents(df, id_col, text_col)
     lines = F.split("text", "\n")
     units = docs.select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("u"))
-    words = units.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("u"), NOISE, " ")), " ").alias("w"))
+    # explode(array(x)) computes x once: filters on it are not pushed below and worked out again there
+    words = units.select("doc_id", F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower("u"), NOISE, " ")), " "))).alias("w"))
     sets = {name: template_bigrams(text) for name, text in templates.items()}
     least = min(len(s) for s in sets.values()) * threshold / (2 - threshold)
-    bigrams = words.where(f"size(w) - 1 >= {least} or size(w) <= 2").where("w[0] <> ''").select("doc_id", F.expr(
-        "if(size(w) = 1, w, array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))").alias("a"))
+    bigrams = words.where(f"size(w) - 1 >= {least} or size(w) <= 2").where("w[0] <> ''").select("doc_id", F.explode(F.expr(
+        "array(if(size(w) = 1, w, array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])))))")).alias("a"))
     known = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"))
                       for i, (name, b) in enumerate(sets.items())])
-    able = bigrams.select("doc_id", "a", known.alias("known")).select("doc_id", "a", F.expr(
-        f"filter(known, t -> 2.0D * least(size(a), size(t.b)) >= {threshold}D * (size(a) + size(t.b)))").alias("able"))
-    best = able.where("size(able) > 0").select("doc_id", F.expr(
-        "array_max(transform(able, t -> struct(2.0D * size(array_intersect(a, t.b)) / (size(a) + size(t.b)) as dice, "
-        "t.place as place, t.license as license)))").alias("m"))
+    able = bigrams.select("doc_id", "a", F.explode(F.array(known)).alias("known")).select("doc_id", "a", F.explode(F.expr(
+        f"array(filter(known, t -> 2.0D * least(size(a), size(t.b)) >= {threshold}D * (size(a) + size(t.b))))")).alias("able"))
+    best = able.where("size(able) > 0").select("doc_id", F.explode(F.expr(
+        "array(array_max(transform(able, t -> struct(2.0D * size(array_intersect(a, t.b)) / (size(a) + size(t.b)) as dice, "
+        "t.place as place, t.license as license))))")).alias("m"))
     return (best.where(F.col("m.dice") >= threshold).groupBy("doc_id", F.col("m.license").alias("license"))
             .agg(F.count(F.lit(1)).alias("n_units"), F.round(F.max("m.dice"), 6).alias("best")))
 
