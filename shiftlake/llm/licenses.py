@@ -72,14 +72,19 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float
          text_col: str = "text") -> DataFrame:
     """doc_id, license, n_units (lines or whole texts that match), best (highest coefficient, 6 decimals)."""
     docs = documents(df, id_col, text_col)
-    lines = F.split("text", "\n")
-    units = docs.select("doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("u"))
-    # explode(array(x)) computes x once: filters on it are not pushed below and worked out again there
-    words = units.select("doc_id", F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower("u"), NOISE, " ")), " "))).alias("w"))
+    # every line is cut into words once; the whole text is their concatenation
+    cut = docs.select("doc_id", F.expr(
+        f"transform(split(text, '\n'), l -> array_remove(split(lower(l), r'{NOISE}'), ''))").alias("by_line"))
+    words = cut.select("doc_id", F.explode(F.expr(
+        "if(size(by_line) > 1, concat(by_line, array(flatten(by_line))), by_line)")).alias("w")).where("size(w) > 0")
     sets = {name: template_bigrams(text) for name, text in templates.items()}
-    least = min(len(s) for s in sets.values()) * threshold / (2 - threshold)
-    bigrams = words.where(f"size(w) - 1 >= {least} or size(w) <= 2").where("w[0] <> ''").select("doc_id", F.explode(F.expr(
-        "array(if(size(w) = 1, w, array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])))))")).alias("a"))
+    # sizes: a unit has at most words - 1 bigrams, and at least different words - 1
+    least = min(len(b) for b in sets.values()) * threshold / (2 - threshold)
+    most = max(len(b) for b in sets.values()) * (2 - threshold) / threshold
+    # explode(array(x)) computes x once: filters on it are not pushed below and worked out again there
+    bigrams = (words.where(f"size(w) - 1 >= {least} or size(w) <= 2").where(f"size(w) - 1 <= {most} or size(array_distinct(w)) - 1 <= {most}")
+               .select("doc_id", F.explode(F.expr(
+                   "array(if(size(w) = 1, w, array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])))))")).alias("a")))
     known = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"))
                       for i, (name, b) in enumerate(sets.items())])
     able = bigrams.select("doc_id", "a", F.explode(F.array(known)).alias("known")).select("doc_id", "a", F.explode(F.expr(
