@@ -125,11 +125,10 @@ class Matcher:
                 seen[j] = w
             at += (w * odd[j] >> np.uint64(63)).astype(np.int64)
         for t in use:
-            key = np.zeros(len(at), dtype=np.uint64)
-            for j, m in zip(tables[t][1], mix):
-                key = (key ^ seen[j]) * m
-                key ^= key >> np.uint64(31)
-            yield t, key * np.uint64(0x9E3779B97F4A7C15)
+            key = seen[tables[t][1][0]] * mix[0]
+            for j, m in zip(tables[t][1][1:], mix[1:]):
+                key += seen[j] * m
+            yield t, key
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(start word, item) of the windows that agree with an item in some table."""
