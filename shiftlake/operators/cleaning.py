@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from shiftlake.functions.schema import CANONICAL_TYPES, KEY_COLUMNS, ROLE_FALLBACK_NAMES, is_numeric_name
 from shiftlake.operators.common import metric, roles, text_or, with_total_orders
+from shiftlake.functions.schema import FILE_ORDER
 from shiftlake.params import Params
 
 # Fixed parsing patterns: a plain decimal number (pandas.to_numeric rejects
@@ -93,7 +94,7 @@ def clean_driver_day(df: DataFrame, params: Params | None = None) -> DataFrame:
         exprs.append(e.alias(name))
     out = df.select(*exprs)
     if params.drop_empty_rows:
-        out = out.na.drop(how="all")
+        out = drop_empty_rows(out)
     fills = [f.name for f in out.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
     if fills:
         out = out.select(*[
@@ -106,8 +107,8 @@ def clean_driver_day(df: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    """Remove rows whose every column is NULL (reference step, run before filling)."""
-    return df.na.drop(how="all")
+    """Remove rows whose every data column is NULL (run before filling); the file order columns of a scan are not data."""
+    return df.na.drop(how="all", subset=[f"`{c}`" for c in df.columns if c not in FILE_ORDER])
 
 
 def prepare(df: DataFrame, params: Params) -> DataFrame:

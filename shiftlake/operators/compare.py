@@ -117,8 +117,8 @@ def _region_totals(df: DataFrame, params: Params, by=()) -> DataFrame:
 def dod_region(current: DataFrame, previous: DataFrame, params: Params) -> DataFrame:
     """Region orders of one snapshot against another; regions only in the
     previous snapshot are dropped, regions new today compare against 0."""
-    if REGION not in current.columns:
-        return current.sparkSession.createDataFrame([], "region string")
+    if REGION not in current.columns:  # no region: the full columns, no rows
+        current = current.withColumn(REGION, F.lit(None).cast("string"))
     cur = _region_totals(current, params)
     prv = _region_totals(previous, params).withColumnRenamed("o", "p") if REGION in previous.columns \
         else cur.select("region", F.lit(0.0).alias("p")).where(F.lit(False))

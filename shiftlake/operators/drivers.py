@@ -83,8 +83,9 @@ def summary_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
 
 
 def top_performers(df: DataFrame, params: Params, by=()) -> DataFrame:
-    """Top N rows by orders, with cash."""
-    d = with_total_orders(df, params)
+    """Top N rows by orders, with cash (T1); none where the frame has no orders column."""
+    has_orders = roles(df, params)["orders"] is not None
+    d = with_total_orders(df, params).where(F.lit(has_orders))
     cash = roles(d, params)["cash"]
     ranked = top_k(d, [F.col("total_orders").desc(), *tie_break(d)], params.top_n, by)
     return ranked.select(

@@ -1,8 +1,11 @@
 """Master dataset: keep-last dedup, upsert, backfill, archive.
 
 The master is a Parquet table partitioned by ``Date``. An upsert rewrites
-only the partitions it touches (dynamic partition overwrite), and is
-idempotent: replaying a batch gives the same table.
+only the partitions it touches (dynamic partition overwrite). Replaying the
+latest batch gives the same table; replaying an older one would bring its
+rows back over newer ones. The overwrite replaces partitions at commit: a
+crash inside the commit may lose earlier rows of the touched Dates, which the
+archive or a backfill then restores.
 """
 
 from __future__ import annotations
@@ -12,13 +15,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlake.functions.schema import KEY_COLUMNS
+from shiftlake.functions.schema import FILE_ORDER, KEY_COLUMNS
 from shiftlake.params import Params
 
 BATCH = "_batch"
 SEQ = "_seq"
-# arrival order of rows read from files (modification time, path, block), set by the scans
-FILE_ORDER = ["_mtime", "_path", "_block"]
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -79,20 +80,15 @@ def write_by_date(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bo
     w.partitionBy("Date").parquet(path)
 
 
-# Up to this many touched dates are pushed into the master scan as a literal
-# partition filter (static pruning); beyond it a null-safe semi-join is used.
-MAX_LITERAL_DATES = 10_000
+def read_master(spark: SparkSession, master_path: str) -> DataFrame:
+    """The master with the columns of all its files: a column that came or went with a batch reads as NULL elsewhere."""
+    return spark.read.option("mergeSchema", True).parquet(master_path)
 
 
-def _touched_filter(existing: DataFrame, staged: DataFrame, dates: list, has_null: bool) -> DataFrame:
-    """Existing master rows of the Dates the batch touches (NULL Date included)."""
-    if len(dates) <= MAX_LITERAL_DATES:
-        cond = F.col("Date").isin(dates) if dates else F.lit(False)
-        if has_null:
-            cond = cond | F.col("Date").isNull()
-        return existing.where(cond)
-    keys = staged.select(F.col("Date").alias("_d")).distinct()
-    return existing.join(keys, existing["Date"].eqNullSafe(keys["_d"]), "left_semi")
+def _touched(existing: DataFrame, dates: list, has_null: bool) -> DataFrame:
+    """Existing master rows of the Dates the batch touches (NULL Date included): a literal filter on the partition column."""
+    cond = F.col("Date").isin(dates) if dates else F.lit(False)
+    return existing.where(cond | F.col("Date").isNull() if has_null else cond)
 
 
 def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None) -> bool:
@@ -121,8 +117,7 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
     if int(got.get("rows", 0) or 0) == 0:
         return False
     if _exists(spark, master_path):
-        old = _touched_filter(spark.read.parquet(master_path), staged, sorted(got["dates"] or []),
-                              int(got.get("null_dates", 0) or 0) > 0)
+        old = _touched(read_master(spark, master_path), sorted(got["dates"] or []), int(got.get("null_dates", 0) or 0) > 0)
         old = old.withColumn(BATCH, F.lit(-1).cast("bigint")).withColumn(SEQ, F.lit(0).cast("bigint"))
         combined = union_by_name([old, staged])
     else:
@@ -143,7 +138,7 @@ def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
                                                      if c in combined.columns])
     out = out.drop(*FILE_ORDER)
     write_by_date(out, master_path, dynamic=False)
-    return out.sparkSession.read.parquet(master_path)
+    return read_master(out.sparkSession, master_path)
 
 
 def archive_snapshot(raw: DataFrame, archive_root: str, snapshot_date=None) -> None:
@@ -154,5 +149,5 @@ def archive_snapshot(raw: DataFrame, archive_root: str, snapshot_date=None) -> N
     """
     tag = (F.lit(snapshot_date) if snapshot_date is not None
            else F.date_format(F.col("Date"), "yyyyMMdd"))
-    (raw.withColumn("snapshot_date", tag.cast("string")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(archive_root))
+    (raw.drop(*FILE_ORDER).withColumn("snapshot_date", tag.cast("string")).hint("rebalance", "snapshot_date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(archive_root))

@@ -20,8 +20,8 @@ def location_performance(df: DataFrame, params: Params, by=()) -> DataFrame:
     (decimal) so they do not depend on partitioning; the rate is
     sum(cancelled) / sum(orders) on the truncated integer totals, 2 dp.
     """
-    if REGION not in df.columns:
-        return df.sparkSession.createDataFrame([], "region string")
+    if REGION not in df.columns:  # no region: the full columns, no rows
+        df = df.withColumn(REGION, F.lit(None).cast("string"))
     d = with_total_orders(df, params)
     r = roles(d, params)
     has_orders = r["orders"] is not None
@@ -66,8 +66,8 @@ def location_breakdown(df: DataFrame, params: Params, by=()) -> DataFrame:
     """Monthly region rollup of cash, notifications and orders."""
     r = roles(df, params)
     region = r["region"] or ROLE_FALLBACK_NAMES["region"]
-    if region not in df.columns:
-        return df.sparkSession.createDataFrame([], "region string")
+    if region not in df.columns:  # no region: the full columns, no rows
+        df = df.withColumn(region, F.lit(None).cast("string"))
     cash = metric(df, r["cash"] or ROLE_FALLBACK_NAMES["cash"])
     notif = metric(df, r["notifications"] or ROLE_FALLBACK_NAMES["notifications"])
     orders = metric(df, r["orders"] or ROLE_FALLBACK_NAMES["orders"])

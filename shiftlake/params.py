@@ -25,6 +25,8 @@ class Params:
     null_as_text: bool = False
     # drop rows whose every column is null before filling (off = reference result)
     drop_empty_rows: bool = False
+    # days up to the current snapshot that the monthly section covers
+    monthly_days: int = 60
     # upper bound on rows of a side we are willing to broadcast after counting it
     broadcast_max_rows: int = 2_000_000
 

@@ -7,6 +7,8 @@ Nothing is collected: every result is a DataFrame, optionally written to
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +89,10 @@ def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params
     """One daily run over landed files (CSV, Parquet or JSON).
 
     load -> clean -> filter -> upsert into the master -> previous snapshot
-    from the master (latest Date before the current one) -> analyses. The
-    monthly section reads the master itself (all accumulated days). With
+    from the master (latest Date before the current one) -> analyses of the
+    current snapshot: the batch's rows of its latest Date. The monthly section
+    reads the last ``Params.monthly_days`` days of the master, the insight
+    lines its two latest snapshots (both filters prune partitions). With
     ``archive_root`` the raw rows are also kept under
     ``snapshot_date=<yyyyMMdd of the batch's latest Date>`` (a rerun replaces it).
     """
@@ -101,12 +105,18 @@ def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params
     current_date = current.select(F.max("Date")).first()[0]
     bid = batch_id if batch_id is not None else int(current_date.strftime("%Y%m%d")) if current_date else 0
     master.upsert(master_path, current, bid, params)
-    history = spark.read.parquet(master_path)
-    previous = compare.previous_snapshot(history, current_date) if current_date else None
-    if previous is not None and previous.isEmpty():
-        previous = None
-    results = analyse(current, previous, params, history=history)
-    results["insights"] = report.insights(history, params).where(F.col("Date") == F.lit(current_date))
+    table = master.read_master(spark, master_path)
+    if current_date is None:
+        results = analyse(current, None, params)
+        results["insights"] = report.insights(current, params).limit(0)
+    else:
+        before = table.where(F.col("Date") < F.lit(current_date)).select(F.max("Date")).first()[0]
+        previous = table.where(F.col("Date") == F.lit(before)) if before else None
+        oldest = current_date - datetime.timedelta(days=params.monthly_days - 1)
+        month = table.where(F.col("Date").between(F.lit(oldest), F.lit(current_date)))
+        results = analyse(current.where(F.col("Date") == F.lit(current_date)), previous, params, history=month)
+        pair = table.where(F.col("Date").isin([d for d in (before, current_date) if d]))
+        results["insights"] = report.insights(pair, params).where(F.col("Date") == F.lit(current_date))
     if archive_root and current_date:
         master.archive_snapshot(raw, archive_root, current_date.strftime("%Y%m%d"))
     if out_dir:

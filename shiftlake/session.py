@@ -40,10 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
     Lineage cuts and intermediate tables go here. Only when the session has
-    none (a local test run) a private folder is created and registered.
+    none and runs in one process (a local test run) a private folder is
+    created and registered; on a cluster a missing setting raises, because
+    executors could not see a folder of the driver's machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="shiftlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

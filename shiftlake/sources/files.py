@@ -6,6 +6,7 @@ typed afterwards by ``clean_driver_day`` from the canonical schema.
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections import OrderedDict
 
@@ -29,21 +30,26 @@ def na_to_null(df: DataFrame) -> DataFrame:
     after the scan (exact cell match, as pandas does).
     """
     return df.select(*[
-        F.when(F.col(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-        if t == "string" else F.col(c)
+        F.when(F.col(f"`{c}`").isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`")).alias(c)
+        if t == "string" else F.col(f"`{c}`")
         for c, t in df.dtypes
     ])
 
 
-def read_csv(spark: SparkSession, paths, with_file_order: bool = False, skip_bad_files: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, paths, with_file_order: bool = False, multi_line: bool = False) -> DataFrame:
     """Scan CSV files sharing one header as text columns.
 
+    A doubled quote inside a quoted cell is one quote. ``multi_line`` also
+    reads quoted line breaks as cell text (a file is then not split). A
+    corrupt or missing file fails the job.
+
     ``with_file_order`` adds ``_mtime``, ``_path``, ``_block`` from the hidden
     file metadata, the arrival order used by keep-last dedup.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("enforceSchema", False).option("ignoreCorruptFiles", skip_bad_files).csv(paths))
+          .option("enforceSchema", False).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+          .option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False).csv(paths))
     return na_to_null(with_file_order_columns(df) if with_file_order else df)
 
 
@@ -54,7 +60,7 @@ def with_file_order_columns(df: DataFrame) -> DataFrame:
     occurs in several files of one batch the newest file wins.
     """
     return df.select(
-        *df.columns,
+        *[f"`{c}`" for c in df.columns],
         F.col("_metadata.file_modification_time").alias("_mtime"),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -78,7 +84,7 @@ def read_landed(spark: SparkSession, paths) -> DataFrame:
     frames = []
     for fmt, ps in by_fmt.items():
         if fmt == "csv":
-            frames.append(read_csv_groups(spark, ps, with_file_order=True))
+            frames.append(read_csv_groups(spark, ps, with_file_order=True, skip_unreadable=False))
         elif fmt == "parquet":
             frames.append(with_file_order_columns(spark.read.parquet(*ps)))
         else:
@@ -104,35 +110,43 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> l
 
 
 def read_header(spark: SparkSession, path: str) -> tuple:
-    """First line of a file: reads only its first bytes through the Hadoop FS."""
+    """Column names of a CSV file: reads its first line through the Hadoop FS, decompressed by its extension."""
     jvm = spark.sparkContext._jvm
     p, fs = _fs(spark, path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
     stream = fs.open(p)
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        source = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"))
         line = reader.readLine() or ""
     finally:
         stream.close()
-    return tuple(h.strip().strip('"') for h in line.lstrip("﻿").split(","))
+    return tuple(h.strip() for h in next(csv.reader([line.lstrip("\ufeff")]), []))
 
 
-def read_csv_groups(spark: SparkSession, paths: list[str], with_file_order: bool = True) -> DataFrame | None:
+def read_csv_groups(spark: SparkSession, paths: list[str], with_file_order: bool = True,
+                    skip_unreadable: bool = True) -> DataFrame | None:
     """Scan files whose headers differ: one scan per distinct header, unioned by name.
 
     A single CSV scan binds columns by position, so files are grouped by
-    header first; columns absent from a group become NULL. Files that
-    cannot be read are skipped with a warning (the others still load);
+    header first; columns absent from a group become NULL. A file that
+    cannot be opened is left out whole, with a warning (the backfill), or
+    raises without ``skip_unreadable`` (the daily run). A file that turns out to be damaged
+    inside always fails the job, so no file is ever loaded in part.
     ``None`` when no file is left.
     """
     groups: OrderedDict = OrderedDict()
     for path in paths:
         try:
             header = read_header(spark, path)
-        except Exception as e:  # noqa: BLE001 - an unreadable file is skipped, the rest load
+        except Exception as e:  # noqa: BLE001 - any reader error means the file is unreadable
+            if not skip_unreadable:
+                raise
             log.warning("skipping unreadable file %s: %s", path, str(e).splitlines()[0] if str(e) else e)
             continue
         groups.setdefault(header, []).append(path)
-    frames = [read_csv(spark, ps, with_file_order, skip_bad_files=True) for ps in groups.values()]
+    frames = [read_csv(spark, ps, with_file_order) for ps in groups.values()]
     return union_by_name(frames) if frames else None
 
 

@@ -11,11 +11,14 @@ produces the same table.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from shiftlake.operators import cleaning, master
 from shiftlake.params import Params
+from shiftlake.sources.files import read_csv_groups, with_file_order_columns
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -23,17 +26,15 @@ def text_schema(columns: list[str]) -> T.StructType:
 
 
 def upsert_batch(master_path: str, params: Params):
+    """Upsert a micro-batch: its files are scanned by the header-grouped reader, so columns bind by name."""
     def _fn(batch: DataFrame, epoch_id: int) -> None:
-        typed = cleaning.prepare(cleaning_na(batch), params)
-        master.upsert(master_path, typed, epoch_id, params)
+        paths = [r[0] for r in batch.select("_path").distinct().collect()]  # the files of one trigger
+        if paths:
+            landed = read_csv_groups(batch.sparkSession, [unquote(p) for p in sorted(paths)], skip_unreadable=False)
+            master.upsert(master_path, cleaning.prepare(landed, params), epoch_id, params)
     return _fn
 
 
-def cleaning_na(batch: DataFrame) -> DataFrame:
-    from shiftlake.sources.files import na_to_null
-    return na_to_null(batch)
-
-
 def start(spark: SparkSession, landing: str, master_path: str, checkpoint: str, params: Params,
           columns: list[str], glob: str = "*.csv", max_files_per_trigger: int | None = None):
     reader = (spark.readStream.schema(text_schema(columns)).option("header", True)
@@ -42,7 +43,6 @@ def start(spark: SparkSession, landing: str, master_path: str, checkpoint: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(landing)
     # file arrival order inside a micro-batch (newest file wins on a duplicate key)
-    from shiftlake.sources.files import with_file_order_columns
     src = with_file_order_columns(src)
     return (src.writeStream.foreachBatch(upsert_batch(master_path, params))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
