@@ -45,7 +45,7 @@ IDENT = struct.Struct("<Bq")
 TAIL = struct.Struct("<I")
 END = b"\n"
 FILE_BYTES = 16 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 LONGEST_KEPT = 64
 
 INDEX_SCHEMA = "file long, record long, offset long, length long, doc_id long, n_tokens long"
@@ -76,12 +76,32 @@ def unframe(data, at: int):
     return doc_id if flags & 1 else None, ids, end + TAIL.size + len(END)
 
 
+class Recent:
+    """A bounded memo in two generations: when the young one is full it becomes the old one, and what is seen again moves back."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.young[key] = got
+        return got
+
+    def put(self, found: dict[str, bytes]) -> None:
+        self.young.update((k, v) for k, v in found.items() if len(k) <= LONGEST_KEPT)
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+
 class BatchEncoder:
     """Ids of texts by the tokenizers library, which sees each stretch between spaces once while it is kept.
 
     Only for tokenizers whose split pattern begins a word at a space between
     two other characters (byte-level ones); texts with neighbouring white
-    space or a special string go to the library whole.
+    space or a special string go to the library whole. Stretches are kept in
+    two generations: when the young one is full it becomes the old one, and
+    what is seen again moves back to the young one, so frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -95,29 +115,41 @@ class BatchEncoder:
         self.kind = "<u4" if self.wide else "<u2"
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", *special])).search
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def encode(self, texts: list[str]) -> dict[str, bytes]:
+        return {t: self.pack(e.ids) for t, e in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False))}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > WORDS_KEPT:
-            memo.clear()
-        units = []
+        # a text's first word is marked by a space behind it, the others have theirs before them
+        cut: list[list[str] | None] = []
         for t in texts:
-            if not t:
-                units.append([])
-            elif self.whole(t):
-                units.append([t])
-            else:
-                first, *rest = t.split(" ")
-                units.append([first, *[" " + u for u in rest]] if first else [" " + u for u in rest])
-        new = list({u for us in units for u in us if u not in memo})
-        got = self.library.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {u: self.pack(e.ids) for u, e in zip(new, got)}
-        memo.update((u, i) for u, i in fresh.items() if len(u) <= LONGEST_KEPT)
-        return [b"".join([memo[u] if u in memo else fresh[u] for u in us]) for us in units]
+            us = None
+            if t and not self.whole(t):
+                us = t.split(" ")
+                us[0] += " "
+            cut.append(us)
+        ids, new = {}, []
+        for u in set().union(*[us for us in cut if us]):
+            got = self.young.get(u)
+            if got is None:
+                if (got := self.old.get(u)) is None:
+                    new.append(u)
+                    continue
+                self.young[u] = got
+            ids[u] = got
+        fresh = self.encode([u[:-1] if u.endswith(" ") else " " + u for u in new])
+        made = dict(zip(new, fresh.values()))
+        ids.update(made)
+        self.young.update((u, i) for u, i in made.items() if len(u) <= LONGEST_KEPT)
+        if len(self.young) > WORDS_KEPT // 2:
+            self.old, self.young = self.young, {}
+        whole = self.encode([t for t, us in zip(texts, cut) if us is None])
+        return [b"".join(map(ids.__getitem__, us)) if us else whole[t] for t, us in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
