@@ -17,16 +17,19 @@ def _c(x) -> Column:
 
 
 def rnd(x, n: int) -> Column:
-    """Round half up to ``n`` decimals as ``floor(x*10^n + 0.5) / 10^n``.
+    """Round to ``n`` decimals as Python's ``round`` does: to the nearest decimal of the exact binary value.
 
-    Spark's ``round`` (HALF_UP on the decimal expansion), DuckDB's ``round``
-    and Python's ``round`` (half-even on the exact binary value) disagree on
-    ties; this form is plain IEEE arithmetic, so Spark and the SQL oracle
-    produce the same bits. It is at most one unit in the last place away
-    from Python's result, and only on exact ties.
+    Away from a half this is ``floor(x*10^n + 0.5) / 10^n``. Near a half
+    (within the error of the product) the product cannot tell the side, so
+    the value is formatted, which rounds the exact binary value half-even.
+    Negative zero becomes zero.
     """
     scale = float(10 ** n)
-    return (F.floor(_c(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    v = _c(x).cast("double")
+    scaled = v * F.lit(scale)
+    near = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) < F.lit(1e-6) + F.abs(scaled) * F.lit(1e-15)
+    exact = F.regexp_replace(F.format_number(v, n), ",", "").cast("double") + F.lit(0.0)
+    return F.when(near, exact).otherwise((F.floor(scaled + F.lit(0.5)) / F.lit(scale)).cast("double"))
 
 
 def trunc_int(x) -> Column:

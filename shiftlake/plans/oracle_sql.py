@@ -71,8 +71,8 @@ sd AS (
 
 
 def rnd(x: str, n: int) -> str:
-    s = float(10 ** n)
-    return f"(floor(({x}) * {s!r} + 0.5) / {s!r})"
+    """Every value through its text, which rounds the exact binary value half-even (negative zero becomes zero)."""
+    return f"(CAST(format('{{:.{n}f}}', CAST({x} AS DOUBLE)) AS DOUBLE) + 0.0)"
 
 
 def trunc_int(x: str) -> str:

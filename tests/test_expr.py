@@ -11,15 +11,14 @@ def one(spark, col, rows, schema="x double"):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(col).collect()]
 
 
-def test_rnd_half_up_and_plain(spark):
-    xs = [2.675, 0.125, 1.005, 39.96, -1.235, 33.333333]
-    got = one(spark, X.rnd("x", 2), [(x,) for x in xs] + [(None,)])
-    # same IEEE arithmetic as floor(x*100 + 0.5) / 100 in any engine
-    assert got[:-1] == [math.floor(x * 100.0 + 0.5) / 100.0 for x in xs]
-    assert got[-1] is None
-    assert got[1] == 0.13  # exact binary tie goes up (Python's round gives 0.12)
-    assert got[5] == 33.33
-    assert one(spark, X.rnd("x", 1), [(39.96,)]) == [40.0]
+def test_rnd_is_pythons_round(spark):
+    ratios = sorted({a / b * 100.0 for b in range(1, 201) for a in range(b + 1)})
+    xs = ratios + [2.675, 0.125, 1.005, 39.96, -1.235, -12.345, 33.333333, -0.001, -0.005, 1e12 + 0.125, 123456.785]
+    xs += [-x for x in ratios]
+    for n in (1, 2, 3):
+        assert one(spark, X.rnd("x", n), [(x,) for x in xs]) == [round(x, n) for x in xs]
+    assert one(spark, X.rnd("x", 2), [(None,)]) == [None]
+    assert one(spark, X.rnd("x", 2), [(1 / 32 * 100,), (17 / 32 * 100,), (2.675,)]) == [3.12, 53.12, 2.67]
 
 
 def test_trunc_int_matches_python_int(spark):
