@@ -45,7 +45,7 @@ IDENT = struct.Struct("<Bq")
 TAIL = struct.Struct("<I")
 END = b"\n"
 FILE_BYTES = 16 << 20
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
 
 INDEX_SCHEMA = "file long, record long, offset long, length long, doc_id long, n_tokens long"
@@ -148,8 +148,8 @@ class BatchEncoder:
         self.young.update((u, i) for u, i in made.items() if len(u) <= LONGEST_KEPT)
         if len(self.young) > WORDS_KEPT // 2:
             self.old, self.young = self.young, {}
-        whole = self.encode([t for t, us in zip(texts, cut) if us is None])
-        return [b"".join(map(ids.__getitem__, us)) if us else whole[t] for t, us in zip(texts, cut)]
+        whole = self.encode([t for t, us in zip(texts, cut) if t and us is None])
+        return [b"".join(map(ids.__getitem__, us)) if us else whole[t] if t else b"" for t, us in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
