@@ -25,6 +25,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,23 +42,47 @@ SAMPLES = 4
 APART = 4  # least steps between two samples, so that the walk has most likely moved on
 SIMILARITY = 0.8
 ITEM_BYTES = 16 << 20
-WORDS_KEPT = 300_000
-BLOCK_WORDS = 1 << 16
+BLOCK_WORDS = 1 << 16  # words read together
+HASH_WORDS = WALK_WORDS = 1 << 13  # words worked on together: their arrays fit the processor's cache
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 20
 
 
-class Words(dict):
-    """word -> 64-bit hash; the walks take their bits from it. Bounded."""
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = xxh64_intdigest(word.encode("utf-8", "replace"), SEED) | 1  # 0 is the padding
-        if len(word) <= 64:
-            self[word] = h
-        return h
+class WordHashes:
+    """64-bit hashes of the words of a block, all at once: a sum of random byte values times powers of an odd number.
+
+    Equal words have equal hashes wherever they stand; the walks take their
+    bits from them. A chance collision only adds a candidate.
+    """
+
+    def __init__(self, rnd: random.Random):
+        self.bytes = np.array([rnd.getrandbits(64) for _ in range(256)], dtype=np.uint64)
+        self.base = rnd.getrandbits(64) | 5
+        self.up = self.down = np.ones(0, dtype=np.uint64)
+
+    def powers(self, n: int) -> None:
+        for name, x in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+            row = np.full(n, x, dtype=np.uint64)
+            row[0] = 1
+            setattr(self, name, np.multiply.accumulate(row))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = []
+        for at in range(0, len(words), HASH_WORDS):
+            data = np.frombuffer(" ".join(words[at:at + HASH_WORDS]).encode("utf-8", "replace") + b" ", np.uint8)
+            if len(data) > len(self.up):
+                self.powers(max(len(data), 1 << 17))
+            ends = np.flatnonzero(data == 32)
+            starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+            sums = np.cumsum(self.bytes.take(data) * self.up[:len(data)])
+            own = sums[ends - 1]
+            own[1:] -= sums[starts[1:] - 1]
+            h = own * self.down.take(starts)
+            h ^= h >> np.uint64(32)
+            h *= MIX
+            h ^= h >> np.uint64(29)
+            out.append(h | np.uint64(1))  # 0 is the padding
+        return np.concatenate(out)
 
 
 def size_class(n: int) -> int:
@@ -86,21 +111,20 @@ class Matcher:
             if words:
                 joined = " ".join(words)
                 self.items.append((item_id, joined, len(words), int((1 - similarity) * len(joined) + 1e-9)))
-        self.words = Words()
-        classes = sorted({size_class(n) for _, _, n, _ in self.items})
         rnd = random.Random(SEED)
+        self.hashes = WordHashes(rnd)
+        classes = sorted({size_class(n) for _, _, n, _ in self.items})
         depth = steps_of(classes[-1]) if classes else 0
         self.walks = []
         for _ in range(WALKS):
             odd = np.array([rnd.getrandbits(64) | 1 for _ in range(depth)], dtype=np.uint64)
             tables = [(c, sampled(rnd, steps_of(c))) for c in classes for _ in range(TABLES)]
-            mix = np.array([rnd.getrandbits(64) | 1 for _ in range(SAMPLES)], dtype=np.uint64)
-            self.walks.append([odd, tables, mix, []])
+            self.walks.append([odd, tables, []])
         for walk in self.walks:
             rows = []
-            for k, (_, joined, n, _) in enumerate(self.items):
-                h = np.array([self.words[w] for w in joined.split(" ")], dtype=np.uint64)
-                rows.append([(t, key[0]) for t, key in self.keys(walk, h, np.zeros(1, np.int64), size_class(n))])
+            for _, joined, n, _ in self.items:
+                h = self.hashes(joined.split(" "))
+                rows.append([(t, key[0]) for t, key in self.keys(walk, h, 1, size_class(n))])
             for t in range(len(walk[1])):
                 found: dict[int, list[int]] = {}
                 for k, keys in enumerate(rows):
@@ -109,36 +133,38 @@ class Matcher:
                             found.setdefault(int(key), []).append(k)
                 mask = np.zeros(1 << 16, dtype=bool)
                 mask[[key >> 48 for key in found]] = True
-                walk[3].append((found, mask))
+                walk[2].append((found, mask))
 
-    def keys(self, walk, hashes: np.ndarray, at: np.ndarray, largest: int):
-        """(table, keys of the windows that start at ``at``) for the tables of classes up to ``largest``."""
-        odd, tables, mix, _ = walk
+    def keys(self, walk, hashes: np.ndarray, n: int, largest: int):
+        """(table, keys of the windows that start at the first ``n`` words) for the tables of classes up to ``largest``.
+
+        A step's word times the step's own odd number gives the walk its bit
+        (the top one); a key is the sum of these products over its steps.
+        """
+        odd, tables, _ = walk
         use = [t for t, (c, _) in enumerate(tables) if c <= largest]
         depth = max(tables[t][1][-1] for t in use) + 1
-        wanted = {j for t in use for j in tables[t][1]}
         padded = np.concatenate([hashes, np.zeros(depth + 1, dtype=np.uint64)])
-        at, seen = at.copy(), {}
+        at, seen, top = np.arange(n), [], np.uint64(63)
         for j in range(depth):
-            w = padded[at]
-            if j in wanted:
-                seen[j] = w
-            at += (w * odd[j] >> np.uint64(63)).astype(np.int64)
+            seen.append(padded.take(at, mode="wrap") * odd[j])
+            at += (seen[j] >> top).view(np.int64)
         for t in use:
-            key = seen[tables[t][1][0]] * mix[0]
-            for j, m in zip(tables[t][1][1:], mix[1:]):
-                key += seen[j] * m
+            first, second, *rest = tables[t][1]
+            key = seen[first] + seen[second]
+            for j in rest:
+                key += seen[j]
             yield t, key
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(start word, item) of the windows that agree with an item in some table."""
-        out = set()
-        at = np.arange(len(hashes))
+    def candidates(self, hashes: np.ndarray, n: int) -> set[tuple[int, int]]:
+        """(start word, item) of the windows from the first ``n`` words that agree with an item in some table."""
+        out, low = set(), np.uint64(48)
         for walk in self.walks:
-            for t, keys in self.keys(walk, hashes, at, 99):
-                found, mask = walk[3][t]
-                for p in mask[(keys >> np.uint64(48)).astype(np.int64)].nonzero()[0].tolist():
-                    for k in found.get(int(keys[p]), ()):
+            for t, keys in self.keys(walk, hashes, n, 99):
+                found, mask = walk[2][t]
+                hits = mask.take((keys >> low).view(np.int64), mode="wrap").nonzero()[0]
+                for p, key in zip(hits.tolist(), keys[hits].tolist()):
+                    for k in found.get(key, ()):
                         out.add((p, k))
         return out
 
@@ -161,21 +187,19 @@ class Matcher:
     def _match(self, words, bounds, owners):
         if not words:
             return
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        hashes = self.hashes(words)
         reach = 2 * max(n for _, _, n, _ in self.items) + 64
         starts: dict[tuple[int, int], list[int]] = {}
-        for lo in range(0, len(words), BLOCK_WORDS):  # a very long text takes several blocks
-            block = hashes[lo:lo + BLOCK_WORDS + reach]
-            for p, k in self.candidates(block):
-                if p < BLOCK_WORDS:
-                    doc = int(np.searchsorted(bounds, lo + p, side="right")) - 1
-                    starts.setdefault((doc, k), []).append(lo + p)
+        for lo in range(0, len(words), WALK_WORDS):
+            for p, k in self.candidates(hashes[lo:lo + WALK_WORDS + reach], min(WALK_WORDS, len(words) - lo)):
+                doc = bisect_right(bounds, lo + p) - 1
+                starts.setdefault((doc, k), []).append(lo + p)
         for (doc, k), own in sorted(starts.items()):
-            item_id, item, n, most = self.items[k]
-            slack = most // 2 + 2
+            item_id, item, _, most = self.items[k]
             best, regions = most + 1, []
             for p in sorted(own):
-                a, b = max(bounds[doc], p - slack), min(bounds[doc + 1], p + n + slack)
+                a = _reach(words, p, bounds[doc], -1, most)
+                b = _reach(words, p, bounds[doc + 1], 1, len(item) + most)
                 if regions and a <= regions[-1][1]:
                     regions[-1][1] = b
                 else:
@@ -186,6 +210,14 @@ class Matcher:
                 yield owners[doc], item_id, best, len(item)
 
 
+def _reach(words: list[str], p: int, bound: int, way: int, chars: int) -> int:
+    """The place that lies ``chars`` characters or more before (way -1) or behind (1) word p, within the text."""
+    while p != bound and chars > 0:
+        chars -= len(words[p + min(way, 0)]) + 1
+        p += way
+    return p
+
+
 def edits(pattern: str, text: str) -> int:
     """Least edit distance of the whole pattern to any part of the text (bit-parallel)."""
     m = len(pattern)
