@@ -1,20 +1,24 @@
-"""Operator 2: benchmark decontamination by CGK embedding and bit-sampling LSH.
-
-Texts and items are sequences of lower-case words. The CGK random walk reads
-such a sequence from a window's start: at step j it emits the word it stands
-on and moves on if the word's random bit for step j says so. Windows that
-differ by few edits give walks that agree at most steps, so edit distance
-becomes Hamming distance. Bit sampling compares a few steps per table; many
-tables over several walks reach the target recall. Every word of a text
-starts a window, and a table samples steps that an item of its size class
-can reach, so windows are as long as the items. A window that agrees with an
-item in any table is verified: the item's exact character edit distance to
-the best place in the region, by bit-parallel dynamic programming, must be
-at most (1 - similarity) of its length.
-
-Work is numpy over words in the scan's own tasks: no shuffle. Items are read
-in blocks of ITEM_BYTES at most, so what is sent to tasks is bounded however
-many there are.
+"""Operator 2: benchmark decontamination by an exact filter and bit-parallel edit distance.
+
+Texts and items are compared as characters (lower case, white space runs as
+one space). A text holds an item if the exact edit distance of the item to the
+best place in the text is at most (1 - similarity) of the item's length, k.
+
+The filter loses nothing, whatever the edits and however they are spread. An
+item is cut into k + 1 pieces; pairs of pieces are nested in groups of GROUP
+and these in groups of WIDE. Fewer than k + 1 edits leave some wide group fewer
+edits than it has pieces, in it some group likewise, in that some pair with one
+edit at most, and in the pair a piece without any. So every piece is looked up
+at every character of a text, its partner is then checked for one edit, its
+groups by bit-parallel dynamic programming in numpy lanes, and the item itself
+in the regions that are left. Characters are reduced to a byte in the filter,
+which only adds candidates.
+
+(The dealt method, a CGK walk with bit sampling over words, needs whole words
+to agree; at 10 % changed characters it found a third of the items or less.)
+
+Work is numpy in the scan's own tasks: no shuffle. Items are read in blocks of
+ITEM_BYTES at most, so what is sent to tasks is bounded however many there are.
 
 Edge cases: null or empty texts and items match nothing; items are told
 apart by item_id and text; a null item_id stays null; rows are handled one
@@ -24,8 +28,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import random
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,188 +38,238 @@ from pyspark.sql import functions as F
 
 from shiftlake.llm.common import documents, map_arrow, map_batches
 
-WALKS = 2
-TABLES = 12  # per walk and size class; a class also uses those of the smaller ones
-SAMPLES = 4
-APART = 4  # least steps between two samples, so that the walk has most likely moved on
 SIMILARITY = 0.8
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 1 << 20
 BLOCK_WORDS = 1 << 16  # words read together
-HASH_WORDS = WALK_WORDS = 1 << 13  # words worked on together: their arrays fit the processor's cache
+GROUP, WIDE = 4, 12  # pieces
+GROUP_CHARS = 64  # a group fits a lane
+SEED_CHARS = 8  # of a piece are looked up
+PARTNER_CHARS = 6  # a partner with a character on either side fits 64 bits
+SLAB = 1 << 15  # characters looked up together
+HITS = 1 << 18  # pieces checked together
+LANES = 1 << 12
+PAD = 128
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SEED = 20
-
-
-class WordHashes:
-    """64-bit hashes of the words of a block, all at once: a sum of random byte values times powers of an odd number.
-
-    Equal words have equal hashes wherever they stand; the walks take their
-    bits from them. A chance collision only adds a candidate.
-    """
-
-    def __init__(self, rnd: random.Random):
-        self.bytes = np.array([rnd.getrandbits(64) for _ in range(256)], dtype=np.uint64)
-        self.base = rnd.getrandbits(64) | 5
-        self.up = self.down = np.ones(0, dtype=np.uint64)
 
-    def powers(self, n: int) -> None:
-        for name, x in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-            row = np.full(n, x, dtype=np.uint64)
-            row[0] = 1
-            setattr(self, name, np.multiply.accumulate(row))
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        out = []
-        for at in range(0, len(words), HASH_WORDS):
-            data = np.frombuffer(" ".join(words[at:at + HASH_WORDS]).encode("utf-8", "replace") + b" ", np.uint8)
-            if len(data) > len(self.up):
-                self.powers(max(len(data), 1 << 17))
-            ends = np.flatnonzero(data == 32)
-            starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
-            sums = np.cumsum(self.bytes.take(data) * self.up[:len(data)])
-            own = sums[ends - 1]
-            own[1:] -= sums[starts[1:] - 1]
-            h = own * self.down.take(starts)
-            h ^= h >> np.uint64(32)
-            h *= MIX
-            h ^= h >> np.uint64(29)
-            out.append(h | np.uint64(1))  # 0 is the padding
-        return np.concatenate(out)
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint8)
 
 
-def size_class(n: int) -> int:
-    return n.bit_length() - 1
-
-
-def steps_of(c: int) -> int:
-    """Steps that a walk over 2^c words can use: it moves on every second step."""
-    return max(SAMPLES, 3 << c >> 1)
-
-
-def sampled(rnd: random.Random, steps: int) -> tuple[int, ...]:
-    """SAMPLES different steps, APART from each other where there is room."""
-    gap = min(APART, (steps - 1) // (SAMPLES - 1) if SAMPLES > 1 else 1)
-    free = sorted(rnd.choices(range(steps - gap * (SAMPLES - 1)), k=SAMPLES))
-    return tuple(x + gap * i for i, x in enumerate(free))
+def _packed(chars: np.ndarray) -> int:
+    return int.from_bytes(chars.tobytes(), "little")
 
 
 class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int | None, str]], similarity: float):
-        self.items = []
+        self.items, self.always = [], []  # those that any text is similar to
+        pieces, groups, wides, seeds, spans = [], [], [], {}, {}
         for item_id, text in items:
-            words = (text or "").lower().split()
-            if words:
-                joined = " ".join(words)
-                self.items.append((item_id, joined, len(words), int((1 - similarity) * len(joined) + 1e-9)))
-        rnd = random.Random(SEED)
-        self.hashes = WordHashes(rnd)
-        classes = sorted({size_class(n) for _, _, n, _ in self.items})
-        depth = steps_of(classes[-1]) if classes else 0
-        self.walks = []
-        for _ in range(WALKS):
-            odd = np.array([rnd.getrandbits(64) | 1 for _ in range(depth)], dtype=np.uint64)
-            tables = [(c, sampled(rnd, steps_of(c))) for c in classes for _ in range(TABLES)]
-            self.walks.append([odd, tables, []])
-        for walk in self.walks:
-            rows = []
-            for _, joined, n, _ in self.items:
-                h = self.hashes(joined.split(" "))
-                rows.append([(t, key[0]) for t, key in self.keys(walk, h, 1, size_class(n))])
-            for t in range(len(walk[1])):
-                found: dict[int, list[int]] = {}
-                for k, keys in enumerate(rows):
-                    for u, key in keys:
-                        if u == t:
-                            found.setdefault(int(key), []).append(k)
-                mask = np.zeros(1 << 16, dtype=bool)
-                mask[[key >> 48 for key in found]] = True
-                walk[2].append((found, mask))
-
-    def keys(self, walk, hashes: np.ndarray, n: int, largest: int):
-        """(table, keys of the windows that start at the first ``n`` words) for the tables of classes up to ``largest``.
-
-        A step's word times the step's own odd number gives the walk its bit
-        (the top one); a key is the sum of these products over its steps.
-        """
-        odd, tables, _ = walk
-        use = [t for t, (c, _) in enumerate(tables) if c <= largest]
-        depth = max(tables[t][1][-1] for t in use) + 1
-        padded = np.concatenate([hashes, np.zeros(depth + 1, dtype=np.uint64)])
-        at, seen, top = np.arange(n), [], np.uint64(63)
-        for j in range(depth):
-            seen.append(padded.take(at, mode="wrap") * odd[j])
-            at += (seen[j] >> top).view(np.int64)
-        for t in use:
-            first, second, *rest = tables[t][1]
-            key = seen[first] + seen[second]
-            for j in rest:
-                key += seen[j]
-            yield t, key
-
-    def candidates(self, hashes: np.ndarray, n: int) -> set[tuple[int, int]]:
-        """(start word, item) of the windows from the first ``n`` words that agree with an item in some table."""
-        out, low = set(), np.uint64(48)
-        for walk in self.walks:
-            for t, keys in self.keys(walk, hashes, n, 99):
-                found, mask = walk[2][t]
-                hits = mask.take((keys >> low).view(np.int64), mode="wrap").nonzero()[0]
-                for p, key in zip(hits.tolist(), keys[hits].tolist()):
-                    for k in found.get(key, ()):
-                        out.add((p, k))
-        return out
+            joined = " ".join((text or "").lower().split())
+            if not joined:
+                continue
+            most = int((1 - similarity) * len(joined) + 1e-9)
+            k = len(self.items)
+            self.items.append((item_id, joined, most))
+            if most >= len(joined):
+                self.always.append(k)
+                continue
+            chars = _bytes(joined)
+            cuts = [len(joined) * i // (most + 1) for i in range(most + 2)]
+            size, wide = (next((n for n in (most_of, GROUP, 1) if all(
+                cuts[min(g + n, most + 1)] - cuts[g] <= GROUP_CHARS for g in range(0, most + 1, n))), 1) for most_of in (GROUP, WIDE))
+            first = len(wides)
+            for g in range(0, most + 1, wide):
+                wides.append((*self._group(chars, cuts[g:g + wide + 1]), cuts[g]))
+            spans[k] = first, len(wides) - first
+            for g in range(0, most + 1, size):
+                last = min(g + size, most + 1)
+                groups.append(self._group(chars, cuts[g:last + 1]))
+                for i in range(g, last):
+                    own = chars[cuts[i]:cuts[i + 1]][:SEED_CHARS]
+                    seeds.setdefault(len(own), {}).setdefault(_packed(own), []).append(len(pieces))
+                    j = i + 1 - 2 * ((i - g) % 2)
+                    pieces.append((k, cuts[i], len(groups) - 1, cuts[i] - cuts[g], first + i // wide, cuts[i] - cuts[i // wide * wide],
+                                   *self._partner(chars, cuts, i, j if j < last else i)))
+        cols = list(zip(*pieces)) or [()] * 13
+        self.item, self.offset, group, inner, wide, inner_wide, self.rel = (np.array(c, np.int64) for c in cols[:7])
+        self.fixed = [np.array(c, np.uint64) for c in cols[7:10]]  # shift, value, mask
+        self.moved = [np.array(c, np.uint64) for c in cols[10:]]
+        self.groups, self.wides = ((own, at, *(np.array([g[i] for g in rows], np.int64) for i in (0, 1)),
+                                    np.array([g[2] for g in rows], np.uint64).ravel())
+                                   for own, at, rows in ((group, inner, groups), (wide, inner_wide, wides)))
+        self.wide_at = np.array([g[3] for g in wides], np.int64)
+        self.wide_first, self.wide_count = (np.array([spans.get(k, (0, 0))[i] for k in range(len(self.items))], np.int64) for i in (0, 1))
+        self.most = np.array([most for _, _, most in self.items], np.int64)
+        self.seeds = []
+        for n, found in sorted(seeds.items()):
+            codes = sorted(found)
+            count = np.array([len(found[c]) for c in codes])
+            codes = np.array(codes, np.uint64)
+            known = np.zeros(1 << 20, dtype=bool)
+            known[(codes * MIX >> np.uint64(44)).astype(np.int64)] = True
+            self.seeds.append((np.uint64((1 << 8 * n) - 1), codes, count, np.cumsum(count) - count,
+                               np.array([k for c in codes.tolist() for k in found[c]]), known))
+
+    @staticmethod
+    def _group(chars, cuts) -> tuple[int, int, list[int]]:
+        """Length, allowed edits and the places of each character (6 bits) of a group of pieces."""
+        pattern = chars[cuts[0]:cuts[-1]][:GROUP_CHARS].tolist()
+        row = [0] * 64
+        for i, c in enumerate(pattern):
+            row[c & 63] |= 1 << i
+        return len(pattern), len(cuts) - 2, row
+
+    @staticmethod
+    def _partner(chars, cuts, i, j) -> tuple[int, ...]:
+        """Where the 8 bytes around piece j start, seen from piece i, and two parts of j: with one edit at most, either the
+        one next to piece i is in its place, or the other one is there or a character off."""
+        length = cuts[j + 1] - cuts[j]
+        if i == j or length > PARTNER_CHARS or length < 2 or cuts[i + 1] - cuts[i] > PARTNER_CHARS:
+            return (0,) + (8, 0, 0) * 2
+        h = length // 2
+        parts = [(8 + 8 * at, _packed(chars[cuts[j] + at:cuts[j] + at + n]), (1 << 8 * n) - 1) for at, n in ((0, h), (h, length - h))]
+        near, far = parts if j > i else parts[::-1]
+        return (cuts[j] - 1 - cuts[i], *near, *far)
+
+    def candidates(self, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, where it would start, place of the piece) of the wide groups that are found."""
+        c = np.concatenate([np.zeros(PAD, np.uint8), chars, np.zeros(2 * PAD, np.uint8)])
+        waiting, size = [], 0
+        for found in self._pairs(c, len(chars)):
+            waiting.append(self._held(c, self.groups, *found))
+            size += len(waiting[-1][0])
+            if size >= HITS:
+                yield self._starts(c, waiting)
+                waiting, size = [], 0
+        if size:
+            yield self._starts(c, waiting)
+
+    def _starts(self, c, waiting):
+        """Those whose wide groups, each in its best place, have not more edits together than the item may have."""
+        p, k = self._held(c, self.wides, *map(np.concatenate, zip(*waiting)))
+        item, start, keep = self.item[k], p - self.offset[k], np.zeros(len(p), dtype=bool)
+        for a in range(0, len(p), LANES):
+            own = item[a:a + LANES]
+            n, most = self.wide_count[own], self.most[own]
+            heads = np.cumsum(n) - n
+            g = np.arange(int(n.sum())) + np.repeat(self.wide_first[own] - heads, n)
+            margin = np.repeat(most, n)
+            best = self._best(c, self.wides, g, np.repeat(start[a:a + LANES], n) + self.wide_at[g] - margin, 2 * margin)
+            keep[a:a + LANES] = np.add.reduceat(best, heads) <= most
+        return item[keep], start[keep], p[keep]
+
+    def _pairs(self, c: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, piece) of the pieces that are found beside their partners."""
+        for lo in range(0, n, SLAB):
+            own = min(SLAB, n - lo)
+            w = np.ndarray((own + 32,), "<u8", c.data, lo + PAD - 8, (1,)).copy()  # 8 bytes from every place
+            for mask, codes, count, first, pieces, known in self.seeds:
+                x = w[8:8 + own] & mask
+                at = known.take((x * MIX >> np.uint64(44)).view(np.int64)).nonzero()[0]
+                x = x[at]
+                j = np.searchsorted(codes, x)
+                j[j == len(codes)] = 0
+                same = codes[j] == x
+                at, j = at[same], j[same]
+                ends = np.cumsum(count[j])
+                a = 0
+                while a < len(at):
+                    done = ends[a - 1] if a else 0
+                    b = max(a + 1, int(np.searchsorted(ends, done + HITS, "right")))
+                    each = count[j[a:b]]
+                    start = first[j[a:b]] - (ends[a:b] - each - done)
+                    piece = pieces[np.arange(int(each.sum())) + np.repeat(start, each)]
+                    p, k = self._beside(w, np.repeat(at[a:b], each), piece)
+                    yield p + lo, k
+                    a = b
+
+    def _beside(self, w, at, piece):
+        y = w[at + 8 + self.rel[piece]]
+        shift, value, mask = (x[piece] for x in self.fixed)
+        good = (y >> shift ^ value) & mask == 0
+        rest = (~good).nonzero()[0]
+        y, (shift, value, mask) = y[rest], (x[piece[rest]] for x in self.moved)
+        good[rest] = (((y >> shift ^ value) & mask == 0) | ((y >> shift - np.uint64(8) ^ value) & mask == 0)
+                      | ((y >> shift + np.uint64(8) ^ value) & mask == 0))
+        return at[good], piece[good]
+
+    def _held(self, c, kind, p, k) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces k at p whose group differs by its allowed edits at most from a place around."""
+        group, inner, _, allowed, _ = kind
+        keep = np.zeros(len(p), dtype=bool)
+        for a in range(0, len(p), LANES):
+            own = k[a:a + LANES]
+            g = group[own]
+            keep[a:a + LANES] = self._best(c, kind, g, p[a:a + LANES] - inner[own] - allowed[g], 2 * allowed[g]) <= allowed[g]
+        return p[keep], k[keep]
+
+    @staticmethod
+    def _best(c, kind, g, at, more) -> np.ndarray:
+        """Least edits of each group to a part of the text from ``at`` on, of its size and ``more`` (see ``edits``)."""
+        sizes, eqs, one = kind[2], kind[4], np.uint64(1)
+        at, row, size = at + PAD, g * 64, sizes[g]
+        top = (size - 1).astype(np.uint64)
+        up, down = np.full(len(g), ~np.uint64(0)), np.zeros(len(g), np.uint64)
+        now, best = size.copy(), size.copy()
+        for i in range(int((size + more).max(initial=0))):
+            eq = eqs.take(row + (c.take(at + i, mode="clip") & 63))
+            other = eq | down
+            same = (((eq & up) + up) ^ up) | other
+            plus, minus = down | ~(same | up), up & same
+            now += (plus >> top & one).view(np.int64)
+            now -= (minus >> top & one).view(np.int64)
+            np.minimum(best, now, out=best)
+            plus <<= one
+            up = minus << one | ~(other | plus)
+            down = plus & other
+        return best
 
     def match(self, texts: list[str | None]) -> Iterator[tuple[int, int | None, int, int]]:
         """(place of the text, item_id, edits, item length) of every item that a text holds."""
         if not self.items:
             return
-        words: list[str] = []
-        bounds, owners = [0], []
+        block, owners, size = [], [], 0
         for i, text in enumerate(texts):
             own = (text or "").lower().split()
             if own:
-                words += own
+                block.append(" ".join(own))
                 owners.append(i)
-                bounds.append(len(words))
-            if len(words) >= BLOCK_WORDS or i == len(texts) - 1:
-                yield from self._match(words, bounds, owners)
-                words, bounds, owners = [], [0], []
-
-    def _match(self, words, bounds, owners):
-        if not words:
-            return
-        hashes = self.hashes(words)
-        reach = 2 * max(n for _, _, n, _ in self.items) + 64
-        starts: dict[tuple[int, int], list[int]] = {}
-        for lo in range(0, len(words), WALK_WORDS):
-            for p, k in self.candidates(hashes[lo:lo + WALK_WORDS + reach], min(WALK_WORDS, len(words) - lo)):
-                doc = bisect_right(bounds, lo + p) - 1
-                starts.setdefault((doc, k), []).append(lo + p)
+                size += len(own)
+            if block and (size >= BLOCK_WORDS or i == len(texts) - 1):
+                yield from self._match(block, owners)
+                block, owners, size = [], [], 0
+
+    def _match(self, block, owners):
+        bounds = [0]
+        for text in block:
+            bounds.append(bounds[-1] + len(text) + 1)
+        joined = "\n".join(block)
+        starts = {(doc, k): {0} for doc in range(len(block)) for k in self.always}
+        for items, places, seen in self.candidates(_bytes(joined)) if self.seeds else ():
+            docs = np.searchsorted(bounds, seen, "right") - 1
+            for doc, k, p in set(zip(docs.tolist(), items.tolist(), places.tolist())):
+                starts.setdefault((doc, k), set()).add(p - bounds[doc])
         for (doc, k), own in sorted(starts.items()):
-            item_id, item, _, most = self.items[k]
+            item_id, item, most = self.items[k]
+            text = block[doc]
             best, regions = most + 1, []
             for p in sorted(own):
-                a = _reach(words, p, bounds[doc], -1, most)
-                b = _reach(words, p, bounds[doc + 1], 1, len(item) + most)
+                a, b = max(0, p - most), min(len(text), p + len(item) + most)
+                if most >= len(item):
+                    a, b = 0, len(text)
                 if regions and a <= regions[-1][1]:
                     regions[-1][1] = b
                 else:
                     regions.append([a, b])
             for a, b in regions:
-                best = min(best, edits(item, " ".join(words[a:b])))
+                best = min(best, edits(item, text[a:b]))
             if best <= most:
                 yield owners[doc], item_id, best, len(item)
 
 
-def _reach(words: list[str], p: int, bound: int, way: int, chars: int) -> int:
-    """The place that lies ``chars`` characters or more before (way -1) or behind (1) word p, within the text."""
-    while p != bound and chars > 0:
-        chars -= len(words[p + min(way, 0)]) + 1
-        p += way
-    return p
-
-
 def edits(pattern: str, text: str) -> int:
     """Least edit distance of the whole pattern to any part of the text (bit-parallel)."""
     m = len(pattern)

@@ -229,3 +229,30 @@ def test_op9_whole_table(spark):
     for r in rows:
         base = [x for x in r.spans.split(",") if x and not x.startswith("guess")]
         assert base == [f"{k}:{a}:{b}" for k, a, b in base_brute(docs[r.doc_id])]
+
+
+def noisy_items(words, level, n=40):
+    """(item, text that holds it with ``level`` of its characters changed, their exact distance); level None: one edit in each word."""
+    rnd = random.Random(f"{words} {level}")
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(5, 9)))
+    for _ in range(n):
+        item = [word() for _ in range(words)]
+        if level is None:
+            changed = " ".join(w[:2] + rnd.choice("xyz") + w[3:] for w in item)
+        else:
+            chars = list(" ".join(item))
+            for i in rnd.sample(range(len(chars)), int(level * len(chars))):
+                chars[i] = rnd.choice(["", "x", "y", "z" + chars[i]])
+            changed = "".join(chars)
+        text = " ".join([word() for _ in range(60)] + [changed] + [word() for _ in range(60)])
+        yield " ".join(item), text, brute_edits(" ".join(item), " ".join(text.split()))
+
+
+@pytest.mark.parametrize("words", [16, 40])
+@pytest.mark.parametrize("level", [0, 0.03, 0.05, 0.08, 0.1, 0.15, 0.19, 0.2, None])
+def test_decontamination_finds_all_edits_up_to_the_threshold(words, level):
+    cases = list(noisy_items(words, level, 6))
+    m = decontam.Matcher([(i, c[0]) for i, c in enumerate(cases)], 0.8)
+    got = {(place, i): n for place, i, n, _ in m.match([c[1] for c in cases])}
+    assert got == {(i, i): n for i, (item, _, n) in enumerate(cases) if n <= int(0.2 * len(item) + 1e-9)}
+    assert len(got) == 6
