@@ -27,7 +27,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlake.llm.common import documents, map_batches, stored
@@ -63,14 +63,14 @@ def signed(x: int) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every whole text."""
-    docs = documents(df, id_col, text_col)
+    """doc_id, h (64-bit hash of the text) and fp (the fingerprint as a signed long) of every whole text."""
+    docs = documents(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
 
-    def rows(ids, texts):
-        for i, text in zip(ids, texts):
-            yield i, signed(fingerprint(text, shingle))
+    def rows(ids, texts, hashes):
+        for i, text, h in zip(ids, texts, hashes):
+            yield i, h, signed(fingerprint(text, shingle))
 
-    return map_batches(docs, rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(docs, rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
 def near(values: list[int], free: int, max_bits: int) -> list[tuple[int, int]]:
@@ -124,27 +124,36 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.unionByName(map_batches(longer, rows, "a long, b long"))
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach) of every row."""
+def _prints_and_owners(df: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id",
+                       text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row; (fp, root, component_id) of every distinct fingerprint, root being the smallest one that links reach."""
     prints = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
     roots = components(links(fps.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
     linked = fps.join(roots, "fp")
-    own = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    owners = fps.join(own, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(owners, "fp").select(
+    own = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints, fps.join(own, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach) of every row."""
+    prints, owners = _prints_and_owners(df, shingle, max_bits, id_col, text_col)
+    return prints.join(owners.drop("root"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``df`` that name a component (smallest doc_id), each once; all columns.
+    """One row of ``df`` for each component: the one with the smallest (doc_id, text hash), null ids last; all columns.
 
-    Of rows that share such a doc_id the one with the smallest text hash
-    stays. A component of null ids only keeps one row with a null id.
+    Rows that share a doc_id or have none are told apart by their text hash;
+    of rows equal in both any one stays.
     """
-    groups = near_duplicates(df, shingle, max_bits).select(F.col("component_id").alias("doc_id")).distinct()
-    names = df.columns
-    held = df.join(groups.withColumnRenamed("doc_id", "__keep"), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return held.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*[f"`{n}`" for n in names])
+    prints, owners = _prints_and_owners(df, shingle, max_bits)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    kept = (prints.join(owners, "fp").groupBy("root").agg(F.min(place).alias("m"))
+            .select(F.col("m.id").alias("__keep"), F.col("m.h").alias("__keep_h")))
+    rows = df.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    held = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__h") == F.col("__keep_h")), "left_semi")
+    return held.dropDuplicates(["doc_id", "__h"]).select(*[f"`{n}`" for n in df.columns])

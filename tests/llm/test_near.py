@@ -95,6 +95,13 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_every_component(make):
+    text = lambda n: " ".join(random.Random(n).choice("abcdefgh") * 3 + str(random.Random(n * 50 + k).randrange(10 ** 6)) for k in range(30))
+    rows = [(None, text(n)) for n in range(6)] + [(1, text(10)), (1, text(11)), (1, text(11)), (None, text(10)), (4, text(0)), (3, text(0))]
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(make(rows)).collect()))
+    assert kept == sorted([(0, text(n)) for n in range(1, 6)] + [(3, text(0)), (1, text(10)), (1, text(11))])
+
+
 def grams(line, k=lines.SHINGLE):
     u = line.encode("utf-16-be")
     return {u[2 * i:2 * i + 2 * k] for i in range(max(0, len(u) // 2 - k + 1))}
