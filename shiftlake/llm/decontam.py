@@ -14,6 +14,11 @@ groups by bit-parallel dynamic programming in numpy lanes, and the item itself
 in the regions that are left. Characters are reduced to a byte in the filter,
 which only adds candidates.
 
+Words are no units: an item in a script without spaces is found inside a longer
+sentence. Only items too short for an edit (k = 0) are looked up as whole words
+(next to no other letter or digit, where both are of a script with spaces), as
+"yes" is no part of "yesterday".
+
 (The dealt method, a CGK walk with bit sampling over words, needs whole words
 to agree; at 10 % changed characters it found a third of the items or less.)
 
@@ -28,6 +33,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,6 +56,7 @@ HITS = 1 << 18  # pieces checked together
 LANES = 1 << 12
 PAD = 128
 MIX = np.uint64(0x9E3779B97F4A7C15)
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -265,11 +272,25 @@ class Matcher:
                 else:
                     regions.append([a, b])
             for a, b in regions:
-                best = min(best, edits(item, text[a:b]))
+                best = min(best, edits(item, text[a:b]) if most or _whole(item, text, a, b) else 1)
             if best <= most:
                 yield owners[doc], item_id, best, len(item)
 
 
+def _whole(item: str, text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] holds the item as whole words."""
+    def joined(x: str, y: str) -> bool:
+        return x.isalnum() and y.isalnum() and not UNSPACED.match(x) and not UNSPACED.match(y)
+
+    at = text.find(item, a, b)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and joined(text[at - 1], item[0]) or end < len(text) and joined(item[-1], text[end])):
+            return True
+        at = text.find(item, at + 1, b)
+    return False
+
+
 def edits(pattern: str, text: str) -> int:
     """Least edit distance of the whole pattern to any part of the text (bit-parallel)."""
     m = len(pattern)

@@ -256,3 +256,20 @@ def test_decontamination_finds_all_edits_up_to_the_threshold(words, level):
     got = {(place, i): n for place, i, n, _ in m.match([c[1] for c in cases])}
     assert got == {(i, i): n for i, (item, _, n) in enumerate(cases) if n <= int(0.2 * len(item) + 1e-9)}
     assert len(got) == 6
+
+
+@pytest.mark.parametrize("item", ["yes", "photosynthesis", "kiwi apple", "blue whale song", "one small step forward", "東京", "東京都の人口は約千四百万人",
+                                  "สวัสดีครับ"])
+def test_short_and_unspaced_items_are_found(item):
+    rnd = random.Random(item)
+    fill = lambda n: " ".join("".join(rnd.choice("bcdfgjmqvxz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    texts = [item, f"{fill(9)} {item} {fill(9)}", f"{fill(400)}\n{item.upper()}", f"({item}), {fill(3)}", fill(300)]
+    found = {(i, n) for i, _, n, _ in decontam.Matcher([(1, item)], 0.8).match(texts)}
+    assert found == {(0, 0), (1, 0), (2, 0), (3, 0)}
+    inside = f"{fill(5)} 私は昨日{item}と聞いた。 {fill(5)}"
+    assert [x[2] for x in decontam.Matcher([(1, item)], 0.8).match([inside])] == [0]
+
+
+def test_items_too_short_for_an_edit_are_whole_words():
+    m = decontam.Matcher([(1, "yes"), (2, "a b")], 0.8)
+    assert [(i, k) for i, k, *_ in m.match(["yesterday", "eyes a bc", "oh yes.", "aa b a b"])] == [(2, 1), (3, 2)]
