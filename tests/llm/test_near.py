@@ -149,6 +149,18 @@ def test_line_dedup_large_groups_lose_no_link(make):
     assert sum("hot line" in t for t in got.values()) == 1
 
 
+def test_line_dedup_of_short_lines_is_exact(make):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2)) + "q7"
+    pairs = [("Contact us now", "Contact us now."), ("----------", "-" * 33), ("=" * 12, "=" * 13), ("abcdefgh", "abcdefghi")]
+    pairs += [(w, end(w)) for n in range(8, 30) for w in [word(n)] for end in [lambda w: w + ".", lambda w: "#" + w]]
+    pairs += [(w, w[:n // 2] + "X" + w[n // 2 + 1:]) for n in (50, 60, 78, 90) for w in [word(n)]]
+    rows = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(make(rows)).collect()}
+    assert got == dedup_brute(rows)
+    assert [got[1], got[3], got[5], got[rows[-1][0]]] == [""] * 4 and got[7] == ""
+
+
 def test_line_dedup_odd_rows(odd, none, make):
     got = lines.without_repeats(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
