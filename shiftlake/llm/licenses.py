@@ -26,6 +26,53 @@ from shiftlake.llm.common import documents
 
 THRESHOLD = 0.8
 
+# Published wording, in parts.
+MIT_END = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+    'LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO '
+    'EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN'
+    ' AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE '
+    'USE OR OTHER DEALINGS IN THE SOFTWARE.')
+ISC_END = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+    'INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR '
+    'ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF '
+    'USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF '
+    'OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.')
+BSD_CONDITIONS = (
+    'Redistribution and use in source and binary forms, with or without modification, are permitted provided that'
+    ' the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,'
+    ' this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the '
+    'above copyright notice, this list of conditions and the following disclaimer in the documentation and/or '
+    'other materials provided with the distribution.')
+BSD_NAMES = (
+    ' 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or '
+    'promote products derived from this software without specific prior written permission.')
+BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+    'WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+    'PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY '
+    'DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, '
+    'PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) '
+    'HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING '
+    'NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE '
+    'POSSIBILITY OF SUCH DAMAGE.')
+GPL_2_NOTICE = (
+    'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General '
+    'Public License as published by the Free Software Foundation; either version 2 of the License, or (at your '
+    'option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY '
+    'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the '
+    'GNU General Public License for more details. You should have received a copy of the GNU General Public '
+    'License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, '
+    'Fifth Floor, Boston, MA 02110-1301 USA.')
+GPL_3_NOTICE = (
+    'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General '
+    'Public License as published by the Free Software Foundation; either version 3 of the License, or (at your '
+    'option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY '
+    'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the '
+    'GNU General Public License for more details. You should have received a copy of the GNU General Public '
+    'License along with this program. If not, see <https://www.gnu.org/licenses/>.')
+
 # Notices and short licence texts in their published wording.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -59,6 +106,14 @@ TEMPLATES = {
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
 }
+TEMPLATES |= {
+    "MIT-full": TEMPLATES["MIT-text"] + MIT_END,
+    "ISC-full": TEMPLATES["ISC-text"] + ISC_END,
+    "BSD-2-Clause-full": BSD_CONDITIONS + BSD_END,
+    "BSD-3-Clause-full": BSD_CONDITIONS + BSD_NAMES + BSD_END,
+    "GPL-2.0-notice": GPL_2_NOTICE,
+    "GPL-3.0-notice": GPL_3_NOTICE,
+}
 NOISE = r"[^\p{L}\p{N}]+"
 
 

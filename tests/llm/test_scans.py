@@ -273,3 +273,11 @@ def test_short_and_unspaced_items_are_found(item):
 def test_items_too_short_for_an_edit_are_whole_words():
     m = decontam.Matcher([(1, "yes"), (2, "a b")], 0.8)
     assert [(i, k) for i, k, *_ in m.match(["yesterday", "eyes a bc", "oh yes.", "aa b a b"])] == [(2, 1), (3, 2)]
+
+
+def test_license_scan_finds_complete_license_files(make):
+    import textwrap
+    names = ["MIT-full", "ISC-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "GPL-2.0-notice", "GPL-3.0-notice"]
+    rows = [(i, "Copyright (c) 2020 Some Body\n\n" + textwrap.fill(licenses.TEMPLATES[n], 76)) for i, n in enumerate(names)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(make(rows)).collect()}
+    assert got == set(enumerate(names))
