@@ -147,7 +147,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known(df: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """All columns of the rows whose text has a language (and at least ``min_score``)."""
+    """All columns of the rows whose text has a language (and at least ``min_score``).
+
+    With a ``min_score`` of 0 this is a letter test: every text with a letter
+    has some language. So it is where the model knows none: nothing was
+    learned, so nothing with a letter is dropped.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     at = names.index("text")
@@ -157,6 +162,9 @@ def keep_known(df: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame
             found = []
             texts = b.column(at).to_pylist()
             for i in range(0, len(texts), 256):
+                if not shared.value.languages:
+                    found += [has_letter(text) for text in texts[i:i + 256]]
+                    continue
                 found += [lang != UNKNOWN and score >= min_score for lang, score in shared.value.predict(texts[i:i + 256])]
             yield b.filter(pa.array(found, type=pa.bool_()))
 

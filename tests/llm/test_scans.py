@@ -281,3 +281,8 @@ def test_license_scan_finds_complete_license_files(make):
     rows = [(i, "Copyright (c) 2020 Some Body\n\n" + textwrap.fill(licenses.TEMPLATES[n], 76)) for i, n in enumerate(names)]
     got = {(r.doc_id, r.license) for r in licenses.scan(make(rows)).collect()}
     assert got == set(enumerate(names))
+
+
+def test_keep_known_keeps_letters_when_nothing_was_learned(make):
+    docs = make([(1, "clean text", None), (2, "12 34", None), (3, None, None), (4, "é", None)])
+    assert {r.doc_id for r in langid.keep_known(docs, langid.train(docs)).collect()} == {1, 4}
