@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlake.llm import bpe, decontam, langid, licenses, lines, records, secrets, simhash, token_counts, topk
+from shiftlake.llm import (alignment, bpe, decontam, filter_audit, langid, licenses, lines, records, secrets, simhash,
+                           token_counts, topk, url_filter)
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,6 +65,18 @@ def op10_exact_top_k(spark, sf):
     return topk.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op11_filter_audit(spark, sf):
+    return filter_audit.audit(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def op12_url_filter(spark, sf):
+    return url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"), URL_RULES)
+
+
+def op13_tokenizer_alignment(spark, sf):
+    return alignment.align(_docs(spark, sf), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 LLM_QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
 LLM_ORACLE = {
@@ -78,5 +92,7 @@ WITH fine AS (
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_filter_audit": filter_audit.audit_sql(),
+    "op12_url_filter": url_filter.judge_sql(URL_RULES),
     "op7_license_scan": licenses.scan_sql(),
 }
