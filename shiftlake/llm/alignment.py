@@ -208,10 +208,8 @@ class PairBitmaps:
 
     def merged(self) -> np.ndarray:
         """The OR of the planes: documents by pair."""
-        out = np.empty(0, np.int64)
-        for plane in self.planes:
-            out = np.union1d(out, plane)
-        return out
+        out = np.sort(np.concatenate([np.empty(0, np.int64), *self.planes]), kind="stable")
+        return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
     def popcounts(self, plane: np.ndarray) -> np.ndarray:
         return np.bincount(plane >> 16, minlength=len(self.pairs))
