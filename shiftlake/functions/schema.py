@@ -120,5 +120,6 @@ def resolve_column(columns: list[str], names: list[str], role: str | None = None
 def resolve_role(df, role: str, overrides: dict | None = None) -> str | None:
     return resolve_column(df.columns, ALIASES[role], role, overrides)
 
-# Arrival order of rows read from files (modification time, path, block), set by the scans.
-FILE_ORDER = ["_mtime", "_path", "_block"]
+# Arrival order of rows read from files, set by the scans: modification time, path, block, and the
+# place in that order where a scan binds by header.
+FILE_ORDER = ["_mtime", "_path", "_block", "_pos"]

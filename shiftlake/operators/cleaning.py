@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlake.functions.schema import CANONICAL_TYPES, KEY_COLUMNS, ROLE_FALLBACK_NAMES, is_numeric_name
-from shiftlake.operators.common import metric, roles, text_or, with_total_orders
+from shiftlake.operators.common import metric, quoted, roles, text_or, with_total_orders
 from shiftlake.functions.schema import FILE_ORDER
 from shiftlake.params import Params
 
@@ -70,7 +70,7 @@ def clean_driver_day(df: DataFrame, params: Params | None = None) -> DataFrame:
     types = dict(df.dtypes)
     exprs = []
     for name in df.columns:
-        c, dt = F.col(name), types[name]
+        c, dt = F.col(quoted(name)), types[name]
         want = CANONICAL_TYPES.get(name)
         if name == "Date":
             if dt == "date":
@@ -95,12 +95,12 @@ def clean_driver_day(df: DataFrame, params: Params | None = None) -> DataFrame:
     out = df.select(*exprs)
     if params.drop_empty_rows:
         out = drop_empty_rows(out)
-    fills = [f.name for f in out.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
+    fills = [f.name for f in out.schema.fields if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in FILE_ORDER]
     if fills:
         out = out.select(*[
-            (F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)).alias(n)
+            (F.coalesce(F.nanvl(F.col(quoted(n)), F.lit(0.0)), F.lit(0.0)).alias(n)
              if n in fills and isinstance(out.schema[n].dataType, (T.DoubleType, T.FloatType))
-             else (F.coalesce(F.col(n), F.lit(0).cast(out.schema[n].dataType)).alias(n) if n in fills else F.col(n)))
+             else (F.coalesce(F.col(quoted(n)), F.lit(0).cast(out.schema[n].dataType)).alias(n) if n in fills else F.col(quoted(n))))
             for n in out.columns
         ])
     return out
@@ -133,8 +133,8 @@ def canonical_metrics(df: DataFrame, params: Params) -> DataFrame:
         role_num("cash").alias("cash"),
         role_num("notifications").alias("notifications"),
         role_num("hours").alias("hours"),
-        (F.col(region) if region in d.columns else F.lit(None).cast("string")).alias("region"),
-        (F.col(first).cast("timestamp_ntz") if first else F.lit(None).cast("timestamp_ntz")).alias("first_login"),
+        (F.col(quoted(region)) if region in d.columns else F.lit(None).cast("string")).alias("region"),
+        (F.col(quoted(first)).cast("timestamp_ntz") if first else F.lit(None).cast("timestamp_ntz")).alias("first_login"),
     )
 
 

@@ -18,18 +18,23 @@ def roles(df: DataFrame, params: Params) -> dict:
     )}
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def metric(df: DataFrame, name: str | None) -> Column:
     """Metric column as double with NULL/NaN -> 0; absent column -> 0."""
     if name is None or name not in df.columns:
         return F.lit(0.0)
-    c = F.col(name).cast("double")
+    c = F.col(quoted(name)).cast("double")
     return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
 
 
 def text_or(df: DataFrame, name: str, default=MISSING_TEXT) -> Column:
     """``row.get(name, default)``: the default applies to an absent column only."""
     if name in df.columns:
-        return F.col(name)
+        return F.col(quoted(name))
     return F.lit(default).cast("string")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import exact_sum, rnd, trunc_int
-from shiftlake.operators.common import roles, with_total_orders
+from shiftlake.operators.common import quoted, roles, with_total_orders
 from shiftlake.params import Params
 
 REGION = "driver_geo_region"
@@ -38,7 +38,7 @@ def _totals(df: DataFrame, params: Params, by=()) -> DataFrame:
     cash = roles(d, params)["cash"]
     return d.groupBy(*by).agg(
         exact_sum("total_orders").alias("o"),
-        exact_sum(F.col(cash) if cash else F.lit(0.0)).alias("c"),
+        exact_sum(F.col(quoted(cash)) if cash else F.lit(0.0)).alias("c"),
         F.count(F.lit(1)).alias("k"),
     )
 

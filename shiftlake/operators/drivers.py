@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import rnd, trunc_int
 from shiftlake.operators.cleaning import with_cancellation_rate
-from shiftlake.operators.common import metric, roles, text_or, tie_break, top_k, with_total_orders
+from shiftlake.operators.common import quoted, metric, roles, text_or, tie_break, top_k, with_total_orders
 from shiftlake.operators.stats import exact_median
 from shiftlake.params import Params
 
@@ -70,7 +70,7 @@ def summary_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
     if not picked:
         return df.sparkSession.createDataFrame(
             [], "metric string, mean double, median double, std double, min double, max double")
-    long = df.select(*by, *[F.col(c).cast("double").alias(n) for n, c in picked]).unpivot(
+    long = df.select(*by, *[F.col(quoted(c)).cast("double").alias(n) for n, c in picked]).unpivot(
         list(by), [n for n, _ in picked], "metric", "value")
     x = F.col("_x")
     med = exact_median(long, [*by, "metric"], "value", params, out="_median", extra=[

@@ -1,11 +1,12 @@
 """Master dataset: keep-last dedup, upsert, backfill, archive.
 
 The master is a Parquet table partitioned by ``Date``. An upsert rewrites
-only the partitions it touches (dynamic partition overwrite). Replaying the
-latest batch gives the same table; replaying an older one would bring its
-rows back over newer ones. The overwrite replaces partitions at commit: a
-crash inside the commit may lose earlier rows of the touched Dates, which the
-archive or a backfill then restores.
+only the partitions it touches (dynamic partition overwrite). Every row is
+stored with its arrival version (batch, modification time, place in the
+batch), and a merge keeps the greatest one by key, so batches may come in any
+order and any number of times. The overwrite replaces partitions at commit:
+a crash inside the commit may lose earlier rows of the touched Dates, which
+the archive or a backfill then restores.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from shiftlake.params import Params
 
 BATCH = "_batch"
 SEQ = "_seq"
+VERSION = "_version"  # stored with each master row
+VERSION_TYPE = "struct<batch:bigint,mtime:bigint,pos:bigint>"
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -38,13 +41,41 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """
     payload = [c for c in df.columns if c not in order]
     if not keys:
-        return df.select(*payload).distinct()
-    packed = F.struct(*[F.col(c) for c in payload])
+        return df.select(*[f"`{c}`" for c in payload]).distinct()
+    packed = F.struct(*[F.col(f"`{c}`") for c in payload])
     ordk = F.struct(*[F.col(c) for c in order])
     agg = df.groupBy(*[F.col(k) for k in keys]).agg(F.max_by(packed, ordk).alias("_row"))
     return agg.select([F.col("_row")[c].alias(c) for c in payload])
 
 
+def newest(df: DataFrame, keys: list[str], by_batch: bool = False) -> DataFrame:
+    """One row per key (NULL parts compare equal): the one with the greatest VERSION.
+
+    Orders by (mtime, pos), for rows of one batch, or by (batch, pos). Both
+    are packed in one fixed-width number, so the aggregate over the keys is a
+    hash aggregate of narrow rows; the wide rows then meet the greatest
+    numbers in a semi-join. Numbers must differ between rows of a key.
+    Without keys, exact duplicate rows collapse (D2).
+    """
+    if not keys:
+        return df.dropDuplicates([c for c in df.columns if c != VERSION])
+    version = F.col(VERSION)
+    packed = (version["batch" if by_batch else "mtime"].cast("decimal(18,0)") * F.lit(1 << 62).cast("decimal(19,0)")
+              + version["pos"].cast("decimal(19,0)")).cast("decimal(38,0)")
+    rows = df.withColumn("_packed", packed)
+    best = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("_packed").alias("_best"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(best, [*same, F.col("_packed") == F.col("_best")], "left_semi").drop("_packed")
+
+
+def with_version(df: DataFrame) -> DataFrame:
+    """Replace the arrival columns (BATCH, FILE_ORDER, SEQ) by VERSION."""
+    pos = F.coalesce("_pos", SEQ) if "_pos" in df.columns else F.col(SEQ)
+    mtime = F.coalesce(F.unix_micros(F.col("_mtime").cast("timestamp")), F.lit(0).cast("long")) if "_mtime" in df.columns else F.lit(0).cast("long")
+    version = F.struct(F.col(BATCH).cast("long").alias("batch"), mtime.alias("mtime"), pos.cast("long").alias("pos"))
+    return df.withColumn(VERSION, version).drop(BATCH, SEQ, *FILE_ORDER)
+
+
 def dedup_keys(df: DataFrame) -> list[str]:
     return [c for c in KEY_COLUMNS if c in df.columns]
 
@@ -80,9 +111,15 @@ def write_by_date(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bo
     w.partitionBy("Date").parquet(path)
 
 
+def stored_master(spark: SparkSession, master_path: str) -> DataFrame:
+    """The master with the columns of all its files and the version of every row (NULL where an earlier release wrote it)."""
+    out = spark.read.option("mergeSchema", True).parquet(master_path)
+    return out if VERSION in out.columns else out.withColumn(VERSION, F.lit(None).cast(VERSION_TYPE))
+
+
 def read_master(spark: SparkSession, master_path: str) -> DataFrame:
     """The master with the columns of all its files: a column that came or went with a batch reads as NULL elsewhere."""
-    return spark.read.option("mergeSchema", True).parquet(master_path)
+    return stored_master(spark, master_path).drop(VERSION)
 
 
 def _touched(existing: DataFrame, dates: list, has_null: bool) -> DataFrame:
@@ -92,7 +129,7 @@ def _touched(existing: DataFrame, dates: list, has_null: bool) -> DataFrame:
 
 
 def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | None = None) -> bool:
-    """Merge a batch into the Date-partitioned master, keeping the last copy per key (K1).
+    """Merge a batch into the Date-partitioned master, keeping the greatest version per key (K1).
 
     The batch is tagged with its arrival order and checkpointed once into
     the shared checkpoint folder: it is computed a single time, its order
@@ -102,6 +139,13 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
     partition filter, so the scan prunes directories) and rewritten
     (dynamic partition overwrite). An empty batch returns False and writes
     nothing.
+
+    Only the batch can hold a key twice, so only the batch is aggregated.
+    Master rows stay unless a null-safe join with the batch's keys and
+    versions says that the batch's row is as new or newer; the batch's rows
+    enter unless the master's keys and versions say that its row is newer.
+    The same version again (a replay of one file) takes the incoming row.
+    Rows of two files with one batch number are ordered by modification time.
     """
     spark = batch.sparkSession
     from shiftlake.session import shared_dir
@@ -116,27 +160,59 @@ def upsert(master_path: str, batch: DataFrame, batch_id: int, params: Params | N
     got = seen.get
     if int(got.get("rows", 0) or 0) == 0:
         return False
+    fresh = with_version(staged)
     if _exists(spark, master_path):
-        old = _touched(read_master(spark, master_path), sorted(got["dates"] or []), int(got.get("null_dates", 0) or 0) > 0)
-        old = old.withColumn(BATCH, F.lit(-1).cast("bigint")).withColumn(SEQ, F.lit(0).cast("bigint"))
-        combined = union_by_name([old, staged])
+        old = _touched(stored_master(spark, master_path), sorted(got["dates"] or []), int(got.get("null_dates", 0) or 0) > 0)
+        old, fresh = _with_keys_of(old, fresh), _with_keys_of(fresh, old)
+    else:
+        old = None
+    keys = dedup_keys(fresh)
+    if old is None:
+        out = newest(fresh, keys)
+    elif not keys:
+        out = newest(union_by_name([old, fresh]), keys)
     else:
-        combined = staged
-    order = [BATCH] + [c for c in FILE_ORDER if c in combined.columns] + [SEQ]
-    out = keep_last(combined, dedup_keys(combined), order).drop(*FILE_ORDER)
+        out = newest(fresh, keys)
+        out = union_by_name([_without(old, out, keys, _older), _without(out, old, keys, _newer_there)])
     write_by_date(out, master_path)
     return True
 
 
+def _with_keys_of(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` with NULL in the key columns that only ``other`` has."""
+    return df.withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in dedup_keys(other) if c not in df.columns})
+
+
+def _order(version):
+    return F.struct(version["batch"], version["mtime"])
+
+
+def _older(mine, theirs):
+    return mine.isNull() | (_order(theirs) >= _order(mine))
+
+
+def _newer_there(mine, theirs):
+    return theirs.isNotNull() & (_order(theirs) > _order(mine))
+
+
+def _without(rows: DataFrame, others: DataFrame, keys: list[str], replaced) -> DataFrame:
+    """``rows`` without those that a row of ``others`` with the same key (NULL parts compare equal) replaces."""
+    side = others.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(VERSION).alias("_other"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(side, [*same, replaced(F.col(VERSION), F.col("_other"))], "left_anti")
+
+
 def build_master(frames: list[DataFrame], master_path: str) -> DataFrame | None:
     """Backfill: union many batches (later batches win), dedup, full overwrite (K2)."""
     if not frames:
         return None
     tagged = [f if BATCH in f.columns else with_arrival_order(f, i) for i, f in enumerate(frames)]
-    combined = union_by_name(tagged)
-    out = keep_last(combined, dedup_keys(combined), [c for c in (BATCH, *FILE_ORDER, SEQ)
-                                                     if c in combined.columns])
-    out = out.drop(*FILE_ORDER)
+    combined = with_version(union_by_name(tagged))
+    keys = dedup_keys(combined)
+    if all("_pos" in f.columns for f in tagged):
+        out = newest(combined, keys, by_batch=True)
+    else:  # places given by a running id, which a second reading may change
+        out = keep_last(combined.withColumn("_order", F.col(VERSION)), keys, ["_order"])
     write_by_date(out, master_path, dynamic=False)
     return read_master(out.sparkSession, master_path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import exact_sum, rnd, trunc_int
 from shiftlake.functions.schema import ROLE_FALLBACK_NAMES
-from shiftlake.operators.common import metric, roles, with_total_orders
+from shiftlake.operators.common import quoted, metric, roles, with_total_orders
 from shiftlake.params import Params
 
 REGION = "driver_geo_region"
@@ -71,7 +71,7 @@ def location_breakdown(df: DataFrame, params: Params, by=()) -> DataFrame:
     cash = metric(df, r["cash"] or ROLE_FALLBACK_NAMES["cash"])
     notif = metric(df, r["notifications"] or ROLE_FALLBACK_NAMES["notifications"])
     orders = metric(df, r["orders"] or ROLE_FALLBACK_NAMES["orders"])
-    g = df.where(F.col(region).isNotNull()).groupBy(*by, F.col(region).cast("string").alias("region")).agg(
+    g = df.where(F.col(quoted(region)).isNotNull()).groupBy(*by, F.col(quoted(region)).cast("string").alias("region")).agg(
         F.count(F.lit(1)).alias("driver_count"),
         exact_sum(cash).alias("_cash"),
         exact_sum(notif).alias("_notif"),

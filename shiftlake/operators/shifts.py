@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import exact_sum, rnd, safe_corr
 from shiftlake.functions.schema import BUCKET_8_12, BUCKET_OVER_12, BUCKET_UNDER_8, ROLE_FALLBACK_NAMES
-from shiftlake.operators.common import metric, roles
+from shiftlake.operators.common import quoted, metric, roles
 from shiftlake.params import Params
 
 
@@ -78,7 +78,7 @@ def login_hour_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
     if fc is None:
         return df.sparkSession.createDataFrame(
             [], "hour int, hour_label string, driver_count bigint, avg_cash double, avg_notifications double")
-    t, kind = F.col(fc), dict(df.dtypes)[fc]
+    t, kind = F.col(quoted(fc)), dict(df.dtypes)[fc]
     if kind == "string":
         t = F.try_to_timestamp(F.trim(t))
     elif not (kind.startswith("timestamp") or kind == "date"):

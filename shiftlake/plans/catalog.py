@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shiftlake.operators import cleaning, compare, drivers, integrity, master, regions, shifts
 from shiftlake.params import Params
-from shiftlake.plans import report
+from shiftlake.plans import daily, report
 from shiftlake.session import scratch_path
 from shiftlake.sources import files, tables
 
@@ -102,10 +102,49 @@ def q_scan_driver_day(spark, sf):
     return cleaning.prepare(files.read_csv(spark, path), P)
 
 
+def q_scan_mixed_headers(spark, sf):
+    """Three layouts in one folder: quoted commas, quotes and line breaks; reversed columns and one more; a column less."""
+    land = scratch_path(spark, "landed_mixed")
+    raw = _raw(spark, sf).select("Date", "driver_name", "driver_mobile", F.col("total_orders").alias("No. of orders"), "cash_collected")
+    third = F.dayofyear("Date") % 3
+    files.land_csv(raw.where(third == 0).withColumn("driver_name", F.concat("driver_name", F.lit(', "the\n2nd"'))), land + "/a")
+    files.land_csv(raw.where(third == 1).select(*[f"`{c}`" for c in reversed(raw.columns)], F.lit("north").alias("depot")), land + "/b")
+    files.land_csv(raw.where(third == 2).drop("cash_collected"), land + "/c")
+    bound = files.land(spark, land, pattern="*.csv").bound(with_file_order=False)
+    return cleaning.prepare(bound, P).withColumnRenamed("No. of orders", "no_of_orders")
+
+
+def _landed_by_date(spark, sf) -> str:
+    """A file per Date; those of the later half of a month have their columns reversed and one more."""
+    land = scratch_path(spark, "landed_by_date")
+    raw = _raw(spark, sf)
+    late = F.dayofmonth("Date") > 15
+    rest = [c for c in raw.columns if c != "Date"]
+    for where, cols in ((~late, rest), (late, [*reversed(rest), F.lit("late").alias("depot")])):
+        (raw.where(where).select("Date", *cols).repartition("Date").write.mode("append").partitionBy("Date")
+         .option("header", True).csv(land))
+    return land
+
+
 def q_load_audit(spark, sf):
-    path = scratch_path(spark, "landed_audit")
-    files.land_csv(_raw(spark, sf).repartition(4, "Date"), path)
-    return files.load_audit(spark, path).drop("load_time", "file_modification_time", "file_path")
+    date = F.regexp_extract("file_path", r"Date=([0-9-]+)", 1).cast("date")
+    audit = files.land(spark, _landed_by_date(spark, sf), pattern="*.csv").audit()
+    return audit.select(date.alias("Date"), "total_rows", "total_columns", "columns")
+
+
+def q_previous_file_by_mtime(spark, sf):
+    """Four arrivals one after the other; each with its rows and the arrival that was the newest before it."""
+    land = scratch_path(spark, "landed_arrivals")
+    raw = _raw(spark, sf).select("Date", "driver_name", "total_orders")
+    for k in range(4):
+        files.land_csv(raw.where(F.floor((F.dayofmonth("Date") - 1) / 8) == k), f"{land}/arrival={k}")
+
+    def arrival(path):
+        return F.regexp_extract(path, r"arrival=(\d+)", 1).cast("int")
+
+    return (files.ledger(spark, land).groupBy(arrival("file_path").alias("arrival"))
+            .agg(F.sum("total_rows").alias("total_rows"),
+                 F.min_by(arrival("previous_path"), F.struct("file_modification_time", "file_path")).alias("previous_arrival")))
 
 
 def q_canonical_metrics(spark, sf):
@@ -276,7 +315,19 @@ def q_master_upsert(spark, sf):
     master.upsert(path, cleaning.prepare(b1, P), 1, P)
     master.upsert(path, cleaning.prepare(b2, P), 2, P)
     master.upsert(path, cleaning.prepare(b2, P), 2, P)  # replayed batch: no change
-    return spark.read.parquet(path)
+    return master.read_master(spark, path)
+
+
+def q_master_replay_any_order(spark, sf):
+    """Batches 1, 2, 1 and batches 2, 1 give one table."""
+    out = []
+    batches = dict(zip((1, 2), _batches(spark, sf)))
+    for order in ((1, 2, 1), (2, 1)):
+        path = scratch_path(spark, "master_replay")
+        for i in order:
+            master.upsert(path, cleaning.prepare(batches[i], P), i, P)
+        out.append(master.read_master(spark, path).withColumn("arrivals", F.lit("".join(map(str, order)))))
+    return out[0].unionByName(out[1])
 
 
 def q_master_backfill(spark, sf):
@@ -290,11 +341,9 @@ def q_master_backfill(spark, sf):
     files.land_csv(early, land + "/a")
     files.land_csv(late.select(*reversed(late.columns)), land + "/b")
     paths = files.list_files(spark, land + "/a") + files.list_files(spark, land + "/b")
-    scanned = files.read_csv_groups(spark, paths, with_file_order=True)
-    typed = cleaning.prepare(scanned, P)
-    return master.build_master([typed.withColumn(master.BATCH, F.lit(0).cast("bigint"))
-                                .withColumn(master.SEQ, F.monotonically_increasing_id())],
-                               scratch_path(spark, "backfill_master"))
+    out = scratch_path(spark, "backfill_master")
+    daily.backfill(spark, paths, out, P)
+    return master.read_master(spark, out)
 
 
 def q_dedup_all_columns(spark, sf):
@@ -322,7 +371,15 @@ def q_stream_master(spark, sf):
     files.land_csv(b2, land + "/b2")
     run_available_now(spark, land, out, ckpt, P, columns=b1.columns)
     run_available_now(spark, land, out, ckpt, P, columns=b1.columns)  # nothing new: no change
-    return spark.read.parquet(out)
+    return master.read_master(spark, out)
+
+
+def q_daily_whole_file(spark, sf):
+    """The regions section of a daily run over one landing of all Dates, with Dates that cannot be read among them."""
+    land = scratch_path(spark, "landed_daily")
+    date = F.when(F.dayofmonth("Date") % 7 == 0, F.lit("not known")).otherwise(F.col("Date").cast("string"))
+    files.land_csv(_raw(spark, sf).withColumn("Date", date), land)
+    return daily.run_daily(spark, files.list_files(spark, land), scratch_path(spark, "daily_master"), P)["location_performance"]
 
 
 # --- every day at once (the per-snapshot operators with by=("Date",)) ---------------------

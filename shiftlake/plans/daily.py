@@ -12,6 +12,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlake.functions.schema import FILE_ORDER
 from shiftlake.operators import cleaning, compare, drivers, integrity, master, regions, shifts
 from shiftlake.params import Params
 from shiftlake.plans import report
@@ -85,41 +86,71 @@ def previous_from_files(spark: SparkSession, history_dir: str, params: Params,
 
 def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params,
               out_dir: str | None = None, batch_id: int | None = None,
-              archive_root: str | None = None) -> dict[str, DataFrame]:
+              archive_root: str | None = None, multi_line: bool | None = None) -> dict[str, DataFrame]:
     """One daily run over landed files (CSV, Parquet or JSON).
 
     load -> clean -> filter -> upsert into the master -> previous snapshot
-    from the master (latest Date before the current one) -> analyses of the
-    current snapshot: the batch's rows of its latest Date. The monthly section
+    from the master -> analyses of the current snapshot, which is every row
+    of the batch, whatever its Date (rows without one, and files without the
+    column, included). The snapshot's date is the one that most rows have
+    (on a tie the latest); the previous snapshot is the latest Date of the
+    master before it that is not in the batch. ``run_info`` tells both, the
+    number of rows, of Dates and of rows without a Date. The monthly section
     reads the last ``Params.monthly_days`` days of the master, the insight
-    lines its two latest snapshots (both filters prune partitions). With
-    ``archive_root`` the raw rows are also kept under
-    ``snapshot_date=<yyyyMMdd of the batch's latest Date>`` (a rerun replaces it).
+    lines the two snapshots. With ``archive_root`` the raw rows are also kept
+    under ``snapshot_date=<yyyyMMdd of the snapshot's date>`` (a rerun
+    replaces it). ``multi_line``: see ``sources.files.Landing``.
     """
-    raw = files.read_landed(spark, input_paths)
+    raw = files.read_landed(spark, input_paths, multi_line)
     # every analysis below reads the cleaned batch: store it once in the shared
     # checkpoint folder instead of re-parsing the landed files per analysis
     from shiftlake.session import shared_dir
     shared_dir(spark)
-    current = cleaning.prepare(raw, params).checkpoint(eager=True)
-    current_date = current.select(F.max("Date")).first()[0]
+    current = cleaning.prepare(raw, params)
+    if "Date" not in current.columns:
+        current = current.withColumn("Date", F.lit(None).cast("date"))
+    current = current.checkpoint(eager=True)
+    days = current.groupBy("Date").count().orderBy(F.col("count").desc(), F.col("Date").desc()).collect()  # a row per calendar day
+    dates = [r["Date"] for r in days if r["Date"] is not None]
+    current_date = dates[0] if dates else None
     bid = batch_id if batch_id is not None else int(current_date.strftime("%Y%m%d")) if current_date else 0
     master.upsert(master_path, current, bid, params)
     table = master.read_master(spark, master_path)
+    before, previous = None, None
     if current_date is None:
         results = analyse(current, None, params)
         results["insights"] = report.insights(current, params).limit(0)
     else:
-        before = table.where(F.col("Date") < F.lit(current_date)).select(F.max("Date")).first()[0]
+        before = table.where((F.col("Date") < F.lit(current_date)) & ~F.col("Date").isin(dates)).select(F.max("Date")).first()[0]
         previous = table.where(F.col("Date") == F.lit(before)) if before else None
         oldest = current_date - datetime.timedelta(days=params.monthly_days - 1)
         month = table.where(F.col("Date").between(F.lit(oldest), F.lit(current_date)))
-        results = analyse(current.where(F.col("Date") == F.lit(current_date)), previous, params, history=month)
-        pair = table.where(F.col("Date").isin([d for d in (before, current_date) if d]))
+        results = analyse(current, previous, params, history=month)
+        snapshot = current.drop(*FILE_ORDER).withColumn("Date", F.lit(current_date))
+        pair = master.union_by_name([snapshot, previous]) if previous is not None else snapshot
         results["insights"] = report.insights(pair, params).where(F.col("Date") == F.lit(current_date))
+    results["run_info"] = spark.createDataFrame(
+        [(current_date, before, sum(r["count"] for r in days), len(dates), sum(r["count"] for r in days if r["Date"] is None))],
+        "snapshot_date date, previous_date date, n_rows long, n_dates int, rows_without_date long")
     if archive_root and current_date:
         master.archive_snapshot(raw, archive_root, current_date.strftime("%Y%m%d"))
     if out_dir:
         for name, df in results.items():
             df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
     return results
+
+
+def backfill(spark: SparkSession, paths: list[str], master_path: str, params: Params, multi_line: bool | None = None) -> bool:
+    """Build the master anew from many daily files (K2): on a key the file modified last wins.
+
+    Files that cannot be read are left out whole, with a warning. False, and
+    nothing written, when none is left.
+    """
+    landed = files.read_csv_groups(spark, paths, multi_line=multi_line)
+    if landed is None:
+        return False
+    typed = cleaning.prepare(landed, params)
+    if "Date" not in typed.columns:
+        typed = typed.withColumn("Date", F.lit(None).cast("date"))
+    master.build_master([master.with_arrival_order(typed, 0)], master_path)
+    return True

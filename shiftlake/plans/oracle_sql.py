@@ -610,3 +610,25 @@ UNION ALL SELECT "Date", 'total_regions', 5, 'Active Regions', r FROM o""")
 ORACLE["report_activity"] = q(ACT + """
 SELECT *, CASE WHEN cancel_pct > 20 THEN 'negative' ELSE '' END AS cancel_class,
   CASE WHEN idle_pct > 40 THEN 'negative' ELSE '' END AS idle_class FROM act""")
+
+ORACLE["scan_mixed_headers"] = q("""SELECT "Date", driver_mobile, total_orders AS no_of_orders,
+  CASE WHEN dayofyear("Date") % 3 = 0 THEN driver_name || ', "the' || chr(10) || '2nd"' ELSE driver_name END AS driver_name,
+  CASE WHEN dayofyear("Date") % 3 = 2 THEN 0.0 ELSE cash_collected END AS cash_collected,
+  CASE WHEN dayofyear("Date") % 3 = 1 THEN 'north' END AS depot FROM driver_day_all""")
+FILE_COLUMNS = [
+    "driver_name", "driver_mobile", "driver_geo_region", "vehicle_number", "vehicle_type", "allocated_orders",
+    "completed_orders", "partner_cancellation", "first_recorded_login_time", "last_recorded_login_time",
+    "total_login_time_in_hrs", "time_spent_orders_in_hrs", "time_spent_idle_in_hrs", "total_distance_in_kms",
+    "distance_travelled_while_idle_in_kms", "trip_fare", "pct_notifs_missed_overall", "total_orders",
+    "orders_cancelled", "idle_hours", "online_hours", "cash_collected", "notifications",
+]
+ORACLE["load_audit"] = q(f"""SELECT "Date", count(*) AS total_rows,
+  CAST(CASE WHEN day("Date") > 15 THEN {len(FILE_COLUMNS) + 1} ELSE {len(FILE_COLUMNS)} END AS INTEGER) AS total_columns,
+  CASE WHEN day("Date") > 15 THEN '{",".join([*reversed(FILE_COLUMNS), "depot"])}' ELSE '{",".join(FILE_COLUMNS)}' END AS columns
+FROM driver_day_all GROUP BY "Date" """)
+ORACLE["previous_file_by_mtime"] = q("""SELECT arrival, count(*) AS total_rows,
+  CAST(lag(arrival) OVER (ORDER BY arrival) AS INTEGER) AS previous_arrival
+FROM (SELECT CAST((day("Date") - 1) // 8 AS INTEGER) AS arrival FROM driver_day_all) GROUP BY arrival""")
+ORACLE["master_replay_any_order"] = q(f"""SELECT * {MASTER_COLS_CASH}
+FROM dd, (VALUES ('121'), ('21')) a(arrivals)""")
+ORACLE["daily_whole_file"] = ORACLE["location_performance"]

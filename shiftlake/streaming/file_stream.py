@@ -11,45 +11,33 @@ produces the same table.
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from shiftlake.operators import cleaning, master
 from shiftlake.params import Params
-from shiftlake.sources.files import read_csv_groups, with_file_order_columns
-
-
-def text_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+from shiftlake.sources.files import Landing, stream_lines
 
 
-def upsert_batch(master_path: str, params: Params):
-    """Upsert a micro-batch: its files are scanned by the header-grouped reader, so columns bind by name."""
+def upsert_batch(master_path: str, params: Params, multi_line: bool | None = None):
+    """Upsert a micro-batch: its lines are staged once and bound by the headers among them."""
     def _fn(batch: DataFrame, epoch_id: int) -> None:
-        paths = [r[0] for r in batch.select("_path").distinct().collect()]  # the files of one trigger
-        if paths:
-            landed = read_csv_groups(batch.sparkSession, [unquote(p) for p in sorted(paths)], skip_unreadable=False)
+        landed = Landing(batch, multi_line).bound()
+        if landed is not None:
             master.upsert(master_path, cleaning.prepare(landed, params), epoch_id, params)
     return _fn
 
 
 def start(spark: SparkSession, landing: str, master_path: str, checkpoint: str, params: Params,
-          columns: list[str], glob: str = "*.csv", max_files_per_trigger: int | None = None):
-    reader = (spark.readStream.schema(text_schema(columns)).option("header", True)
-              .option("pathGlobFilter", glob).option("recursiveFileLookup", True))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.csv(landing)
-    # file arrival order inside a micro-batch (newest file wins on a duplicate key)
-    src = with_file_order_columns(src)
-    return (src.writeStream.foreachBatch(upsert_batch(master_path, params))
+          columns: list[str] | None = None, glob: str = "*.csv", max_files_per_trigger: int | None = None,
+          multi_line: bool | None = None):
+    """``columns`` is not needed any more: every file brings its own header."""
+    src = stream_lines(spark, landing, glob, max_files_per_trigger)
+    return (src.writeStream.foreachBatch(upsert_batch(master_path, params, multi_line))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def run_available_now(spark: SparkSession, landing: str, master_path: str, checkpoint: str,
-                      params: Params, columns: list[str], **kw) -> None:
+                      params: Params, columns: list[str] | None = None, **kw) -> None:
     """Process everything that has landed, then stop."""
     q = start(spark, landing, master_path, checkpoint, params, columns, **kw)
     q.awaitTermination()

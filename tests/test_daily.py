@@ -69,3 +69,52 @@ def test_previous_from_files_picks_newest(spark, tmp_shared):
 def test_cli_fails_cleanly_without_readable_input(spark, tmp_shared):
     from shiftlake.__main__ import main
     assert main(["daily", "--input", tmp_shared + "/nothing.csv", "--master", tmp_shared + "/m"]) == 1
+
+
+def _landed(folder, name, text):
+    import os
+    path = folder.replace("file:", "") + "/" + name
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+HEAD = "Date,driver_name,driver_mobile,vehicle_number,No. of trips,total_orders"
+
+
+def test_daily_run_reports_every_row_of_the_file(spark, tmp_shared):
+    p, m = Params(), tmp_shared + "/m"
+    run_daily(spark, [_landed(tmp_shared, "in/0.csv", f"{HEAD}\n2023-12-31,z,m,v,1,4\n")], m, p)
+    text = f'{HEAD}\n2024-01-02,a,m,v,1,5\n2024-01-01,b,m,v,1,6\nsoon,c,m,v,1,7\n2024-01-02,"d\ne",m,v,1,8\n2099-01-01,f,m,v,1,9\n'
+    out = run_daily(spark, [_landed(tmp_shared, "in/1.csv", text)], m, p, out_dir=tmp_shared + "/out")
+    assert out["driver_overview"].first()["total_drivers"] == 5
+    info = spark.read.parquet(tmp_shared + "/out/run_info").first()
+    assert tuple(info) == (dt.date(2024, 1, 2), dt.date(2023, 12, 31), 5, 3, 1)
+    over = out["dod_overall"].first()
+    assert (over["drivers_current"], over["drivers_previous"], over["orders_current"]) == (5, 1, 35)
+    assert {r["driver_name"] for r in out["activity_summary"].collect()} == {"a", "b", "c", "d\ne", "f"}
+
+
+def test_daily_run_without_a_date_column(spark, tmp_shared):
+    path = _landed(tmp_shared, "in/1.csv", "driver_name,driver_mobile,total_orders\na,m,5\nb,m,6\n")
+    out = run_daily(spark, [path], tmp_shared + "/m", Params(), out_dir=tmp_shared + "/out", archive_root=tmp_shared + "/arch")
+    assert out["driver_overview"].first()["total_drivers"] == 2 and "dod_overall" not in out
+    assert out["run_info"].first()["snapshot_date"] is None
+    run_daily(spark, [path], tmp_shared + "/m", Params())
+    assert spark.read.parquet(tmp_shared + "/m").count() == 2
+
+
+def test_cli_backfill_stream_and_archive(spark, tmp_shared):
+    from shiftlake.__main__ import main
+    from shiftlake.operators import master
+    _landed(tmp_shared, "in/1.csv", f"{HEAD}\n2024-01-02,a,m,v,1,5\n")
+    _landed(tmp_shared, "in/2.csv", "driver_name,Date,total_orders\nb,2024-01-03,6\n")
+    folder = tmp_shared + "/in"
+    assert main(["backfill", "--input", folder, "--master", tmp_shared + "/m1"]) == 0
+    assert main(["stream", "--landing", folder, "--master", tmp_shared + "/m2", "--checkpoint", tmp_shared + "/c"]) == 0
+    for m in ("/m1", "/m2"):
+        assert sorted((r.driver_name, r.total_orders) for r in master.read_master(spark, tmp_shared + m).collect()) == [("a", 5.0), ("b", 6.0)]
+    assert main(["archive", "--input", *files.list_files(spark, folder), "--archive", tmp_shared + "/arch"]) == 0
+    assert {r.snapshot_date for r in spark.read.parquet(tmp_shared + "/arch").collect()} == {20240102, 20240103}
+    assert main(["backfill", "--input", tmp_shared + "/none", "--master", tmp_shared + "/m3"]) == 1

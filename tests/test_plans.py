@@ -15,7 +15,7 @@ def plan(df) -> str:
 
 
 FILE_QUERIES = {"scan_driver_day", "load_audit", "master_upsert", "master_backfill", "stream_master",
-                "archive_snapshot"}
+                "archive_snapshot", "scan_mixed_headers", "previous_file_by_mtime", "daily_whole_file", "master_replay_any_order"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - FILE_QUERIES))
