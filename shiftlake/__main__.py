@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--master", required=True, help="Date-partitioned master dataset folder")
     d.add_argument("--out", help="folder for the report datasets")
     d.add_argument("--archive", help="folder that keeps the raw rows by snapshot date")
+    d.add_argument("--states", help="folder of the daily states that the monthly section is added up from")
     d.add_argument("--min-orders", type=int, default=Params().min_orders)
     d.add_argument("--idle-hours-warning", type=float, default=Params().idle_hours_warning)
     d.add_argument("--cancellation-rate-warning", type=float, default=Params().cancellation_rate_warning)
@@ -66,7 +67,8 @@ def main(argv: list[str] | None = None) -> int:
         if a.cmd == "daily":
             params = params.with_(min_orders=a.min_orders, idle_hours_warning=a.idle_hours_warning,
                                   cancellation_rate_warning=a.cancellation_rate_warning)
-            run_daily(spark, a.input, a.master, params, out_dir=a.out, archive_root=a.archive, multi_line=breaks)
+            run_daily(spark, a.input, a.master, params, out_dir=a.out, archive_root=a.archive, multi_line=breaks,
+                      states_path=a.states)
         elif a.cmd == "backfill":
             found = [p for folder in a.input for p in files.list_files(spark, folder, a.pattern)]
             if not backfill(spark, found, a.master, params, breaks):

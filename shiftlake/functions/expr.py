@@ -6,6 +6,8 @@ functions, so it stays inside whole-stage codegen (no Python UDFs).
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,19 +19,34 @@ def _c(x) -> Column:
 
 
 def rnd(x, n: int) -> Column:
-    """Round to ``n`` decimals as Python's ``round`` does: to the nearest decimal of the exact binary value.
-
-    Away from a half this is ``floor(x*10^n + 0.5) / 10^n``. Near a half
-    (within the error of the product) the product cannot tell the side, so
-    the value is formatted, which rounds the exact binary value half-even.
-    Negative zero becomes zero.
+    """Round to ``n`` decimals as Python's ``round`` does: to the nearest decimal of the exact binary value, half to even.
+
+    The product ``p = x * 10^n`` is rounded itself; its error ``e`` is found
+    by splitting both factors in halves whose products are exact. ``p`` is
+    rounded to a whole number half to even, which is right unless ``p`` is a
+    half and ``e`` tips it: the distance ``p - whole``, moved by one last place
+    of a half in the direction of ``e``, is rounded once more. From 2^53 on (``p``) the value is its own nearest
+    decimal. Negative zero becomes zero. There are only
+    multiplications and sums, no branches and no text, so common parts are
+    computed once and ten columns stay one small compiled method.
     """
     scale = float(10 ** n)
+    split = float((1 << 27) + 1)
+    high = scale * split - (scale * split - scale)  # halves of the scale, known here
+    low = scale - high
     v = _c(x).cast("double")
-    scaled = v * F.lit(scale)
-    near = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) < F.lit(1e-6) + F.abs(scaled) * F.lit(1e-15)
-    exact = F.regexp_replace(F.format_number(v, n), ",", "").cast("double") + F.lit(0.0)
-    return F.when(near, exact).otherwise((F.floor(scaled + F.lit(0.5)) / F.lit(scale)).cast("double"))
+    p = v * F.lit(scale)
+    big = v * F.lit(split)
+    v_high = big - (big - v)
+    v_low = v - v_high
+    e = v_high * F.lit(high) - p + v_low * F.lit(high)
+    if low:  # 0 for small powers of ten
+        e = e + v_high * F.lit(low) + v_low * F.lit(low)
+    whole = F.rint(p)
+    far = v * F.lit(sys.float_info.max / (1 << 53) * scale)  # infinite where p passes 2^53, else any number
+    tipped = F.rint(p - whole + F.signum(e) * F.lit(2.0 ** -53))  # -1, 0 or 1
+    out = (whole + tipped + (far - far)) / F.lit(scale)
+    return F.nanvl(out, v)
 
 
 def trunc_int(x) -> Column:

@@ -16,6 +16,8 @@ from shiftlake.params import Params
 # timestamp layouts accepted for text input, tried in order.
 NUMERIC_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
+# Layouts that a file's Dates are tried in; of equal ones the first is taken.
+VOTED_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "MM-dd-yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss"]
 TIMESTAMP_FORMATS = [
     "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss",
@@ -111,8 +113,37 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all", subset=[f"`{c}`" for c in df.columns if c not in FILE_ORDER])
 
 
+def date_layouts(df: DataFrame) -> DataFrame:
+    """A row per file of a scan with a text Date: the layout that most of its cells fit.
+
+    (_path, layout, votes, cells, ambiguous). On a tie the first of
+    VOTED_FORMATS is taken (day before month) and the file is marked
+    ambiguous; layout is NULL where no cell fits any.
+    """
+    t = F.regexp_replace(F.col("Date"), _WS, "")
+    votes = df.groupBy("_path").agg(F.count_if(t != "").alias("cells"), *[
+        F.count_if(F.try_to_timestamp(t, F.lit(f)).isNotNull()).alias(f"v{i}") for i, f in enumerate(VOTED_FORMATS)])
+    most = F.greatest(*[F.col(f"v{i}") for i in range(len(VOTED_FORMATS))])
+    layout = F.coalesce(*[F.when((F.col(f"v{i}") == most) & (most > 0), F.lit(f)) for i, f in enumerate(VOTED_FORMATS)])
+    winners = sum(((F.col(f"v{i}") == most).cast("int") for i in range(len(VOTED_FORMATS))), F.lit(0))
+    return votes.select("_path", layout.alias("layout"), most.alias("votes"), "cells", ((most > 0) & (winners > 1)).alias("ambiguous"))
+
+
+def read_dates(df: DataFrame) -> DataFrame:
+    """Text Dates of a file scan, each read in its file's layout; a cell that does not fit stays for the fixed list."""
+    if "_path" not in df.columns or dict(df.dtypes).get("Date") != "string":
+        return df
+    layouts = date_layouts(df).select(F.col("_path").alias("_file"), F.col("layout").alias("_layout"))
+    t = F.regexp_replace(F.col("Date"), _WS, "")
+    voted = F.coalesce(*[F.when(F.col("_layout") == f, F.try_to_timestamp(t, F.lit(f))) for f in VOTED_FORMATS])
+    date = F.coalesce(F.to_date(voted), _parse_any(F.col("Date"), DATE_FORMATS, to_date=True))
+    joined = df.join(layouts, F.col("_path") == F.col("_file"), "left")
+    return joined.select(*[date.alias(c) if c == "Date" else F.col(quoted(c)) for c in df.columns])
+
+
 def prepare(df: DataFrame, params: Params) -> DataFrame:
-    """Clean, then filter once (trim first so padded categories are caught)."""
+    """Clean, then filter once (trim first so padded categories are caught). Dates of files follow each file's layout."""
+    df = read_dates(df)
     return filter_vehicle(clean_driver_day(df, params), params.exclude_vehicle_type)
 
 

@@ -71,6 +71,27 @@ def top_k(df: DataFrame, order: list[Column], k: int, by=(), rank_col: str = "ra
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Number all rows from 1 in ``order``, which should tell every two different rows apart.
+
+    The rows are range-partitioned by the whole order, so a value that many
+    rows share is dealt out by the columns that break its ties, sorted inside
+    the partitions and written once to the shared checkpoint folder with
+    their place. Only the partitions' counts are added up in one task (a row
+    per partition); they come back by a join on the partition.
+    """
+    shared_dir(df.sparkSession)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    rows = place.withColumn("_part", part).withColumn(name, at + 1).drop("_place").checkpoint(eager=True)
+    sizes = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_p", before.alias("_before"))
+    return (rows.join(offsets, F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_before"))
+            .drop("_part", "_p", "_before"))
+
+
 def attach_group_stats(df: DataFrame, stats: DataFrame, by, params: Params) -> DataFrame:
     """Attach per-group aggregate columns of ``stats`` to the rows of ``df``.
 

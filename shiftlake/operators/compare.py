@@ -94,7 +94,12 @@ def dod_overall_by_day(df: DataFrame, params: Params) -> DataFrame:
 def _region_changes(cur: DataFrame, prv: DataFrame, keys: list) -> DataFrame:
     c = F.col
     on = [k for k in keys if k in prv.columns] + ["region"]
-    j = cur.join(prv, on, "left").withColumn("p", F.coalesce(c("p"), F.lit(0.0)))
+    return _changes(cur.join(prv, on, "left").withColumn("p", F.coalesce(c("p"), F.lit(0.0))), keys)
+
+
+def _changes(j: DataFrame, keys: list) -> DataFrame:
+    """Orders ``o`` against ``p`` by region, with the rank by absolute change."""
+    c = F.col
     ch = c("o") - c("p")
     out = j.select(
         *[k for k in keys], "region",
@@ -126,21 +131,22 @@ def dod_region(current: DataFrame, previous: DataFrame, params: Params) -> DataF
 
 
 def dod_region_by_day(df: DataFrame, params: Params) -> DataFrame:
-    """Region changes for every date against its previous snapshot date.
+    """Region changes for every date against its previous snapshot date, in one scan.
 
-    A self-join on (previous date, region) rather than ``lag``: ``lag``
-    would skip a day on which a region is absent, the comparison needs 0.
-    The snapshot calendar comes from the same (Date, region) aggregate
-    (NULL regions included, so a date whose rows all lack a region still
-    counts as a snapshot): the rows are read once.
+    The (Date, region) totals become one map region -> orders per date, and
+    ``lag`` over the dates hands each its predecessor's map, so a region
+    absent the day before compares against 0. Rows without a region keep
+    their date in the calendar but no entry. The window sees one row per
+    calendar day; a map holds the regions of a day.
     """
     d = with_total_orders(df.where(F.col("Date").isNotNull()), params)
     region = F.col(REGION) if REGION in d.columns else F.lit(None).cast("string")
-    rt_all = d.groupBy("Date", region.alias("region")).agg(exact_sum("total_orders").alias("o"))
-    dates = rt_all.groupBy("Date").agg(F.sum("o").alias("_all"))  # one row per snapshot date
-    pairs = dates.select("Date", F.lag("Date").over(Window.orderBy("Date")).alias("prev_Date")) \
-        .where(F.col("prev_Date").isNotNull())
-    rt = rt_all.where(F.col("region").isNotNull())
-    cur = rt.join(pairs, "Date")
-    prv = rt.select(F.col("Date").alias("prev_Date"), "region", F.col("o").alias("p"))
-    return _region_changes(cur, prv, ["Date", "prev_Date"])
+    totals = d.groupBy("Date", region.alias("region")).agg(exact_sum("total_orders").alias("o"))
+    entry = F.when(F.col("region").isNotNull(), F.struct("region", "o"))
+    w = Window.orderBy("Date")
+    days = totals.groupBy("Date").agg(F.map_from_entries(F.collect_list(entry)).alias("now"))
+    pairs = days.select("Date", "now", F.lag("Date").over(w).alias("prev_Date"), F.lag("now").over(w).alias("before"))
+    rows = pairs.where(F.col("prev_Date").isNotNull()).select(
+        "Date", "prev_Date", "before", F.explode("now").alias("region", "o"))
+    return _changes(rows.select("Date", "prev_Date", "region", "o",
+                                F.coalesce(F.try_element_at("before", F.col("region")), F.lit(0.0)).alias("p")), ["Date", "prev_Date"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import py_fixed, py_float_text, ratio_if_pos, rnd, score_band, trunc_int
-from shiftlake.operators.common import attach_group_stats, metric, text_or, top_k
+from shiftlake.operators.common import attach_group_stats, metric, ranked, text_or, top_k
 from shiftlake.params import Params
 
 # ---------------------------------------------------------------------------
@@ -65,25 +65,20 @@ def activity_summary(df: DataFrame, params: Params | None = None) -> DataFrame:
     window, active, idle = g("total_login_time_in_hrs"), g("time_spent_orders_in_hrs"), g("time_spent_idle_in_hrs")
     km, earn = g("total_distance_in_kms"), g("trip_fare")
     ts = lambda n: (F.col(n) if n in df.columns else F.lit(None)).cast("timestamp_ntz")
-    return df.select(
-        *_ident(df),
-        trunc_int(assigned).alias("total_orders"),
-        trunc_int(completed).alias("completed_orders"),
-        trunc_int(partner).alias("partner_cancels"),
-        rnd(ratio_if_pos(partner, assigned, 100.0), 2).alias("cancel_pct"),
-        rnd(km, 2).alias("total_km"),
-        rnd(earn, 2).alias("total_earnings"),
-        ts("first_recorded_login_time").alias("first_activity"),
-        ts("last_recorded_login_time").alias("last_activity"),
-        rnd(window, 2).alias("working_window"),
-        rnd(active, 2).alias("active_time"),
-        rnd(idle, 2).alias("idle_time"),
-        rnd(ratio_if_pos(idle, window, 100.0), 2).alias("idle_pct"),
-        rnd(ratio_if_pos(km, completed), 2).alias("km_per_order"),
-        rnd(ratio_if_pos(earn, km), 2).alias("earnings_per_km"),
-        rnd(ratio_if_pos(completed, window), 2).alias("orders_per_hour"),
-        g("pct_notifs_missed_overall").alias("missed_notif_pct"),
-    )
+    whole = {"total_orders": assigned, "completed_orders": completed, "partner_cancels": partner}
+    two_dp = {
+        "cancel_pct": ratio_if_pos(partner, assigned, 100.0), "total_km": km, "total_earnings": earn,
+        "working_window": window, "active_time": active, "idle_time": idle,
+        "idle_pct": ratio_if_pos(idle, window, 100.0), "km_per_order": ratio_if_pos(km, completed),
+        "earnings_per_km": ratio_if_pos(earn, km), "orders_per_hour": ratio_if_pos(completed, window),
+    }
+    plain = {"first_activity": ts("first_recorded_login_time"), "last_activity": ts("last_recorded_login_time"),
+             "missed_notif_pct": g("pct_notifs_missed_overall")}
+    ident = _ident(df)
+    # every metric is computed once; the rounding, which uses it several times, comes in a second step
+    raw = df.select(*ident, *[c.alias(k) for k, c in {**whole, **two_dp, **plain}.items()])
+    return raw.select(*IDENT, *[
+        trunc_int(c).alias(c) if c in whole else rnd(c, 2).alias(c) if c in two_dp else F.col(c) for c in ACTIVITY_COLUMNS])
 
 
 def fleet_km_per_order(act: DataFrame, by=()) -> DataFrame:
@@ -186,6 +181,12 @@ def integrity_scores(act: DataFrame, params: Params | None = None) -> DataFrame:
         "score_class", score_band("score"))
 
 
+def ranked_scores(act: DataFrame, params: Params | None = None) -> DataFrame:
+    """The scores with their place, worst first (T9); ties by name, mobile, vehicle, Date."""
+    scores = integrity_scores(act, params)
+    return ranked(scores, [F.col("score").asc_nulls_first(), *_tie(scores)])
+
+
 def integrity_exec_summary(act: DataFrame, params: Params, by=()) -> DataFrame:
     """Drivers analysed, mean cancel %, mean idle %, number of flagged rows.
 

@@ -77,6 +77,11 @@ def location_breakdown(df: DataFrame, params: Params, by=()) -> DataFrame:
         exact_sum(notif).alias("_notif"),
         exact_sum(orders).alias("_orders"),
     )
+    return breakdown_rows(g, by)
+
+
+def breakdown_rows(g: DataFrame, by=()) -> DataFrame:
+    """The breakdown's figures from its sums."""
     n = F.col("driver_count")
     return g.select(
         *by, "region", "driver_count",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlake.functions.expr import exact_sum, rnd, safe_corr
@@ -30,7 +30,7 @@ def shift_durations(df: DataFrame, params: Params, by=()) -> DataFrame:
     h = metric(df, hc)
     cash = metric(df, _role_col(df, params, "cash"))
     orders = metric(df, _role_col(df, params, "orders"))
-    conds = [h < 8, (h >= 8) & (h <= 12), h > 12]
+    conds = [bucket_number(h) == i for i in range(3)]
     aggs = [F.count(F.lit(1)).alias("total_active_drivers")]
     for i, cnd in enumerate(conds):
         aggs += [
@@ -38,7 +38,16 @@ def shift_durations(df: DataFrame, params: Params, by=()) -> DataFrame:
             exact_sum(F.when(cnd, cash)).alias(f"s{i}"),
             exact_sum(F.when(cnd, orders)).alias(f"o{i}"),
         ]
-    g = df.groupBy(*by).agg(*aggs)
+    return bucket_rows(df.groupBy(*by).agg(*aggs), by)
+
+
+def bucket_number(hours) -> Column:
+    """0, 1, 2 for under 8, 8 to 12, over 12 hours."""
+    return F.when(hours < 8, 0).when(hours <= 12, 1).otherwise(2)
+
+
+def bucket_rows(g: DataFrame, by=()) -> DataFrame:
+    """A row per bucket from one row with the counts c, cash sums s and order sums o of all three."""
     names = [BUCKET_UNDER_8, BUCKET_8_12, BUCKET_OVER_12]
     stack = "stack(3, " + ", ".join(
         f"'{n}', {i + 1}, c{i}, s{i}, o{i}" for i, n in enumerate(names)) + ") as (bucket, bucket_order, count, s, o)"
@@ -72,25 +81,36 @@ def hours_correlations(df: DataFrame, params: Params, by=()) -> DataFrame:
     return df.groupBy(*by).agg(*out)
 
 
-def login_hour_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
-    """Rows per hour of first login with average cash and notifications."""
+def login_hour(df: DataFrame, params: Params) -> Column | None:
+    """Hour of the first login; None without such a column."""
     fc = roles(df, params)["first_login"]
     if fc is None:
-        return df.sparkSession.createDataFrame(
-            [], "hour int, hour_label string, driver_count bigint, avg_cash double, avg_notifications double")
+        return None
     t, kind = F.col(quoted(fc)), dict(df.dtypes)[fc]
     if kind == "string":
         t = F.try_to_timestamp(F.trim(t))
     elif not (kind.startswith("timestamp") or kind == "date"):
         t = F.lit(None).cast("timestamp")  # the alias hit a non-time column: nothing parses
-    hr = F.hour(t)
+    return F.hour(t)
+
+
+def login_hour_stats(df: DataFrame, params: Params, by=()) -> DataFrame:
+    """Rows per hour of first login with average cash and notifications."""
+    hr = login_hour(df, params)
+    if hr is None:
+        return df.sparkSession.createDataFrame(
+            [], "hour int, hour_label string, driver_count bigint, avg_cash double, avg_notifications double")
     cash = metric(df, _role_col(df, params, "cash"))
     notif = metric(df, _role_col(df, params, "notifications"))
-    g = df.where(hr.isNotNull()).groupBy(*by, hr.alias("hour")).agg(
+    return hour_rows(df.where(hr.isNotNull()).groupBy(*by, hr.alias("hour")).agg(
         F.count(F.lit(1)).alias("driver_count"),
         exact_sum(cash).alias("_cash"),
         exact_sum(notif).alias("_notif"),
-    )
+    ), by)
+
+
+def hour_rows(g: DataFrame, by=()) -> DataFrame:
+    """The hours' figures from their sums."""
     n = F.col("driver_count")
     return g.select(
         *by, F.col("hour").cast("int").alias("hour"),

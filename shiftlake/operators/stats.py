@@ -4,13 +4,14 @@ Spark's built-in ``median`` keeps every distinct value of a group in one
 aggregation buffer, so a hot group (one metric over the whole fleet, or a
 day holding a third of all rows) ends up whole in one task. Here:
 
-1. per group: count ``n`` and an approximate bracket around rank n/2 from
-   ``percentile_approx`` (a bounded-memory sketch, partially aggregated);
-   with relative error 1/ACCURACY and a margin of MARGIN_RANKS/ACCURACY,
-   both middle ranks lie inside the bracket;
-2. a histogram per group: one row counting the values below the bracket,
-   one counting those above, one row per distinct value inside (a partial
-   aggregate, so duplicates collapse map-side); it is checkpointed;
+1. per group: count ``n`` and a bracket around rank n/2 from a KLL sketch (a
+   mergeable sketch of bounded memory, partially aggregated), in the same
+   aggregate as any further figures;
+2. a second pruned scan makes a histogram per group: one row counting the
+   values below the bracket, one counting those above, one row per distinct
+   value inside (a partial aggregate, so duplicates collapse map-side). If
+   the counts say that a middle rank lies outside, that side of the bracket
+   is opened and the scan repeated, so a poor sketch costs time only;
 3. while some group still has more than ``max_distinct`` distinct values
    inside its bracket, the bracket is cut into BUCKETS equal-width buckets
    (spanning the data's own min / max inside it) and narrowed to the
@@ -20,9 +21,9 @@ day holding a third of all rows) ends up whole in one task. Here:
    values at ranks floor((n-1)/2) and ceil((n-1)/2); the median
    interpolates them as Spark's ``median`` does.
 
-The (keys, value) input is checkpointed once, so the source pipeline runs
-a single time. The loop decides on one number per round (the largest distinct count), so
-it runs on Spark; the driver never sees the data.
+Only brackets and histograms (a few rows per group) are checkpointed; the
+input is read again instead of being copied. The loops decide on one number
+per round, so they run on Spark; the driver never sees the data.
 """
 
 from __future__ import annotations
@@ -34,11 +35,10 @@ from shiftlake.operators.common import attach_group_stats
 from shiftlake.params import Params
 from shiftlake.session import shared_dir
 
-ACCURACY = 10_000  # Spark's default; wider brackets are narrowed by the rounds below
-MARGIN_RANKS = 8.0
+SKETCH_K = 8192
+MARGIN = 0.002  # of the ranks, on either side of the middle: about three times the sketch's usual error
 BUCKETS = 4096
-MAX_DISTINCT = 100_000
-MAX_ROUNDS = 64  # each round shrinks a bracket's width at least BUCKETS-fold
+MAX_DISTINCT = 100_000  # candidates of a group that are ranked without narrowing first
 
 BELOW, INSIDE, ABOVE = 0, 1, 2
 
@@ -83,37 +83,39 @@ def exact_median(long: DataFrame, keys: list[str], value: str = "value", params:
     params = params or Params()
     spark = long.sparkSession
     shared_dir(spark)
-    v = F.col(value)
-    # the narrow (keys, value) input is stored once: both passes below read it
-    # instead of recomputing whatever pipeline produced ``long``
-    base = long.where(v.isNotNull()).select(*keys, v.cast("double").alias("_x")).checkpoint(eager=True)
+    base = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
     x = F.col("_x")
-    m = MARGIN_RANKS / ACCURACY
     stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(x, [max(0.0, 0.5 - m), min(1.0, 0.5 + m)], ACCURACY).alias("_b"),
-        *(extra or []),
-    )
-    extras = [c for c in stats.columns if c not in (*keys, "_n", "_b")]
-    # one row per group, stored once: the bracket and the extra aggregates are
-    # read from here, so the input is scanned twice in all (sketch, histogram)
-    stats = stats.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), *extras) \
-        .checkpoint(eager=True)
-    # one row per group: broadcast when the group count is small (checked)
-    tagged = attach_group_stats(base, stats.select(*keys, "_n", "_lo", "_hi"), keys, params)
-    side = F.when(x < F.col("_lo"), BELOW).when(x > F.col("_hi"), ABOVE).otherwise(INSIDE)
-    hist = tagged.groupBy(*keys, "_n", side.alias("_side"), F.when(side == INSIDE, x).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
-    for _ in range(MAX_ROUNDS):
+        F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias("_sketch"), *(extra or []))
+    extras = [c for c in stats.columns if c not in (*keys, "_n", "_sketch")]
+    ends = [F.kll_sketch_get_quantile_double("_sketch", F.lit(min(1.0, max(0.0, 0.5 + m)))) for m in (-MARGIN, MARGIN)]
+    # one row per group, stored once: brackets and further figures are read from here
+    stats = stats.select(*keys, "_n", ends[0].alias("_lo"), ends[1].alias("_hi"), *extras).checkpoint(eager=True)
+    brackets = stats.select(*keys, "_n", "_lo", "_hi")
+    k_lo, k_hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    while True:
+        tagged = attach_group_stats(base, brackets, keys, params)
+        side = F.when(x < F.col("_lo"), BELOW).when(x > F.col("_hi"), ABOVE).otherwise(INSIDE)
+        hist = tagged.groupBy(*keys, "_n", side.alias("_side"), F.when(side == INSIDE, x).alias("_v")).agg(
+            F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+        counted = hist.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("_side") == z, F.col("_c"))), F.lit(0)).alias(name)
+                                            for z, name in ((BELOW, "_below"), (ABOVE, "_above"))])
+        judged = attach_group_stats(brackets, counted, keys, params)
+        low, high = k_lo < F.col("_below"), k_hi >= F.col("_n") - F.col("_above")
+        if judged.where(low | high).limit(1).count() == 0:
+            break
+        # a side that missed its rank is opened
+        brackets = judged.select(*keys, "_n", F.when(low, F.lit(float("-inf"))).otherwise(F.col("_lo")).alias("_lo"),
+                                 F.when(high, F.lit(float("inf"))).otherwise(F.col("_hi")).alias("_hi")).checkpoint(eager=True)
+    before = None
+    while True:
         widest = (hist.where(F.col("_side") == INSIDE).groupBy(*keys).count()
                   .agg(F.max("count")).first()[0])
-        if widest is None or widest <= max_distinct:
+        if widest is None or widest <= max_distinct or widest == before:
             break
-        hist = _narrow(hist, keys, params).checkpoint(eager=True)
+        hist, before = _narrow(hist, keys, params).checkpoint(eager=True), widest
     w = Window.partitionBy(*keys).orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    k_lo = F.floor((F.col("_n") - 1) / 2)
-    k_hi = F.ceil((F.col("_n") - 1) / 2)
     inside = lambda k: (F.col("_side") == INSIDE) & (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
     res = ranked.groupBy(*keys).agg(
         F.max(F.when(inside(k_lo), F.col("_v"))).alias("_vlo"),

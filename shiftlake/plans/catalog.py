@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftlake.operators import cleaning, compare, drivers, integrity, master, regions, shifts
+from shiftlake.operators import cleaning, compare, distinct, drivers, integrity, master, regions, shifts
+from shiftlake.functions.schema import FILE_ORDER
 from shiftlake.params import Params
-from shiftlake.plans import daily, report
+from shiftlake.plans import daily, report, states
 from shiftlake.session import scratch_path
 from shiftlake.sources import files, tables
 
@@ -446,6 +447,62 @@ def q_supplier_high_cancellation(spark, sf):
     return drivers.high_cancellation(_sd(spark, sf), P)
 
 
+# --- places, merged distinct counts, daily states ---------------------------------------
+
+def q_integrity_scores_ranked(spark, sf):
+    return integrity.ranked_scores(_act(spark, sf), P)
+
+
+def q_regions_ranked(spark, sf):
+    return report.ordered_regions(_dd(spark, sf), P)
+
+
+def q_cash_regions_ranked(spark, sf):
+    return report.ordered_breakdown(_dd(spark, sf), P)
+
+
+def q_unique_drivers_by_window(spark, sf):
+    d = _dd(spark, sf)
+    bitmaps = distinct.daily_bitmaps(d, "driver_mobile", distinct.dense_ids(d, "driver_mobile"))
+    return distinct.unique_in_windows(bitmaps, (1, 7))
+
+
+def q_clean_mixed_date_layouts(spark, sf):
+    """Files that write their Dates day first, month first or with dots."""
+    land = scratch_path(spark, "landed_layouts")
+    raw = _raw(spark, sf).withColumn("layout", F.pmod(F.xxhash64("driver_mobile"), F.lit(3)))
+    date = (F.when(F.col("layout") == 0, F.date_format("Date", "dd/MM/yyyy"))
+            .when(F.col("layout") == 1, F.date_format("Date", "MM/dd/yyyy")).otherwise(F.date_format("Date", "dd.MM.yyyy")))
+    part = F.pmod(F.crc32("driver_mobile"), F.lit(4))
+    (raw.select(date.alias("Date"), "driver_name", "driver_mobile", "vehicle_type", "total_orders", "layout", part.alias("part"))
+     .repartition("layout", "part").write.partitionBy("layout", "part").option("header", True).csv(land))
+    bound = files.land(spark, land, pattern="*.csv").bound()
+    return cleaning.prepare(bound, P).drop(*FILE_ORDER)
+
+
+def _states(spark, sf):
+    """The daily states, written once and read back."""
+    path = scratch_path(spark, "daily_states")
+    master.write_by_date(states.daily_states(_dd(spark, sf), P), path)
+    return spark.read.parquet(path)
+
+
+def q_monthly_shifts_from_states(spark, sf):
+    return states.shift_durations(_states(spark, sf))
+
+
+def q_monthly_hours_from_states(spark, sf):
+    return states.login_hour_stats(_states(spark, sf))
+
+
+def q_monthly_regions_from_states(spark, sf):
+    return states.location_breakdown(_states(spark, sf))
+
+
+def q_monthly_correlations_from_states(spark, sf):
+    return states.hours_correlations(_states(spark, sf))
+
+
 # --- report datasets ---------------------------------------------------------------------
 
 def q_report_summary_cards(spark, sf):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shiftlake.functions.schema import FILE_ORDER
 from shiftlake.operators import cleaning, compare, drivers, integrity, master, regions, shifts
 from shiftlake.params import Params
-from shiftlake.plans import report
+from shiftlake.plans import report, states
 from shiftlake.sources import files
 
 
@@ -86,7 +86,8 @@ def previous_from_files(spark: SparkSession, history_dir: str, params: Params,
 
 def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params,
               out_dir: str | None = None, batch_id: int | None = None,
-              archive_root: str | None = None, multi_line: bool | None = None) -> dict[str, DataFrame]:
+              archive_root: str | None = None, multi_line: bool | None = None,
+              states_path: str | None = None) -> dict[str, DataFrame]:
     """One daily run over landed files (CSV, Parquet or JSON).
 
     load -> clean -> filter -> upsert into the master -> previous snapshot
@@ -99,7 +100,11 @@ def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params
     reads the last ``Params.monthly_days`` days of the master, the insight
     lines the two snapshots. With ``archive_root`` the raw rows are also kept
     under ``snapshot_date=<yyyyMMdd of the snapshot's date>`` (a rerun
-    replaces it). ``multi_line``: see ``sources.files.Landing``.
+    replaces it). With ``states_path`` the daily states of the batch's Dates
+    are renewed there and the monthly section is added up from states, so it
+    does not read the month's rows (see ``plans.states``; the folder must
+    hold the earlier Dates, ``states.refresh`` without dates builds it).
+    ``multi_line``: see ``sources.files.Landing``.
     """
     raw = files.read_landed(spark, input_paths, multi_line)
     # every analysis below reads the cleaned batch: store it once in the shared
@@ -126,6 +131,11 @@ def run_daily(spark: SparkSession, input_paths, master_path: str, params: Params
         oldest = current_date - datetime.timedelta(days=params.monthly_days - 1)
         month = table.where(F.col("Date").between(F.lit(oldest), F.lit(current_date)))
         results = analyse(current, previous, params, history=month)
+        if states_path:
+            states.refresh(spark, master_path, states_path, params, dates)
+            span = spark.read.parquet(states_path).where(F.col("Date").between(F.lit(oldest), F.lit(current_date)))
+            results.update(states.monthly(span))
+            results["report_cash_regions"] = report.cash_regions_rows(results["location_breakdown"])
         snapshot = current.drop(*FILE_ORDER).withColumn("Date", F.lit(current_date))
         pair = master.union_by_name([snapshot, previous]) if previous is not None else snapshot
         results["insights"] = report.insights(pair, params).where(F.col("Date") == F.lit(current_date))

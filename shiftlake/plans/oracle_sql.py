@@ -632,3 +632,18 @@ FROM (SELECT CAST((day("Date") - 1) // 8 AS INTEGER) AS arrival FROM driver_day_
 ORACLE["master_replay_any_order"] = q(f"""SELECT * {MASTER_COLS_CASH}
 FROM dd, (VALUES ('121'), ('21')) a(arrivals)""")
 ORACLE["daily_whole_file"] = ORACLE["location_performance"]
+ORACLE["integrity_scores_ranked"] = ORACLE["integrity_scores"].replace(
+    "AS score_class\nFROM sc1", "AS score_class,\n  row_number() OVER (ORDER BY " + rnd("final", 1) + """, driver_name ASC NULLS FIRST,
+    mobile ASC NULLS FIRST, vehicle_number ASC NULLS FIRST, "Date" ASC NULLS FIRST) AS rank\nFROM sc1""")
+ORACLE["regions_ranked"] = q(_locperf(False) + """
+SELECT *, CAST(row_number() OVER (ORDER BY total_orders DESC, region ASC NULLS FIRST) AS INTEGER) AS rank FROM lp""")
+ORACLE["cash_regions_ranked"] = q(LOCBREAK + """
+SELECT *, CAST(row_number() OVER (ORDER BY total_cash DESC, region ASC NULLS FIRST) AS INTEGER) AS rank FROM lb""")
+ORACLE["unique_drivers_by_window"] = q("""SELECT d."Date", count(DISTINCT CASE WHEN x."Date" = d."Date" THEN x.driver_mobile END) AS unique_1d,
+  count(DISTINCT x.driver_mobile) AS unique_7d
+FROM (SELECT DISTINCT "Date" FROM dd) d JOIN dd x ON x."Date" BETWEEN d."Date" - 6 AND d."Date" GROUP BY 1""")
+ORACLE["clean_mixed_date_layouts"] = q("""SELECT "Date", driver_name, driver_mobile, vehicle_type, total_orders FROM dd""")
+ORACLE["monthly_shifts_from_states"] = ORACLE["shift_durations"]
+ORACLE["monthly_hours_from_states"] = ORACLE["login_hour_stats"]
+ORACLE["monthly_regions_from_states"] = ORACLE["location_breakdown"]
+ORACLE["monthly_correlations_from_states"] = ORACLE["hours_correlations"]

@@ -121,6 +121,20 @@ def region_changes_table(region_changes: DataFrame, n: int = 10) -> DataFrame:
         F.concat(signed_1dp_text("pct_change"), F.lit("%")).alias("pct_text"))
 
 
+def ordered_regions(df: DataFrame, params: Params, by=()) -> DataFrame:
+    """All regions with their place by orders."""
+    lp = regions.location_performance(df, params, by)
+    w = Window.partitionBy(*by).orderBy(F.col("total_orders").desc(), F.col("region").asc_nulls_first())
+    return lp.withColumn("rank", F.row_number().over(w))  # a row per region
+
+
+def ordered_breakdown(df: DataFrame, params: Params, by=()) -> DataFrame:
+    """All regions of the monthly breakdown with their place by cash."""
+    lb = regions.location_breakdown(df, params, by)
+    w = Window.partitionBy(*by).orderBy(F.col("total_cash").desc(), F.col("region").asc_nulls_first())
+    return lb.withColumn("rank", F.row_number().over(w))
+
+
 def activity_table(act: DataFrame) -> DataFrame:
     """R7 activity table: the activity rows with the highlight classes
     (cancel % over 20 and idle % over 40 are shown as negative)."""
@@ -133,7 +147,11 @@ def activity_table(act: DataFrame) -> DataFrame:
 
 def cash_regions_table(df: DataFrame, params: Params, by=(), n: int = 10) -> DataFrame:
     """Top-N regions by total cash from the monthly breakdown."""
-    lb = regions.location_breakdown(df, params, by)
+    return cash_regions_rows(regions.location_breakdown(df, params, by), by, n)
+
+
+def cash_regions_rows(lb: DataFrame, by=(), n: int = 10) -> DataFrame:
+    """R8 from the breakdown's rows."""
     ranked = top_k(lb, [F.col("total_cash").desc(), F.col("region").asc_nulls_first()], n, by)
     return ranked.select(
         "*", F.concat(F.lit(CURRENCY), py_float_text("total_cash")).alias("total_cash_text"),
