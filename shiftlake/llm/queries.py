@@ -82,15 +82,15 @@ LLM_QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.starts
 LLM_ORACLE = {
     "op10_exact_top_k": """
 WITH fine AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(
+  SELECT a.row_no AS query_no, a.vec_id AS query_id, b.vec_id, b.row_no, CAST(list_dot_product(
     CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-  FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+  FROM fine a JOIN fine b ON a.row_no <> b.row_no AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_no ORDER BY score DESC, vec_id, row_no) AS INTEGER) AS rank FROM scored
 ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op11_filter_audit": filter_audit.audit_sql(),
     "op12_url_filter": url_filter.judge_sql(URL_RULES),

@@ -8,6 +8,13 @@ length. A value that takes MIN_GUESSES_LOG10 or more is added as kind
 ``guess`` (its span is the value), whether or not a base span covers it.
 Base spans always stay.
 
+Dictionary words are the COMMON ones and, by rank, the words of the documents
+themselves: Spark counts in how many documents each word stands by itself
+(letters only, small but for the first, so no part of an assigned value), and
+the DICTIONARY_MOST most frequent of at least MIN_DOCS go to the tasks, at
+most LONGEST letters each, so the broadcast has a fixed bound. An ordinary
+word after ``token:`` is then a cheap guess.
+
 Spans are (kind, start, end) in code points, end exclusive, ordered by start,
 then kind in the order of KINDS. For ``assign`` the span is the whole match.
 
@@ -38,6 +45,7 @@ CONTEXT = re.compile(
     r"""["']?\x20*[:=]\x20*(?:bearer\x20+)?["']?([^\s"'<>,;]{6,})""", re.A | re.I)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 MIN_GUESSES_LOG10 = 10.0
+DICTIONARY_MOST, MIN_DOCS, LONGEST = 50_000, 3, 24
 
 # Words that guessers try first, the most common first.
 COMMON = """password passwd pass secret token admin administrator root user username login welcome letmein qwerty
@@ -48,10 +56,10 @@ here value string xxxx redacted hidden spring summer autumn winter january febru
 september october november december monday tuesday friday love money computer internet office company secure
 security temp temporary backup prod production dev development staging local localhost""".split()
 WORDS = {w: rank for rank, w in enumerate(COMMON, 1)}
-LONGEST_WORD = max(map(len, WORDS))
 LEET = str.maketrans("@430157$!", "aaeoistsi"[:9])
+COLUMNS = ("1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik,", "9ol.", "0p;/")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
+NEXT = {(a, b) for row in ROWS + COLUMNS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?"
                   r"|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 REPEAT = re.compile(r"(.{1,8}?)\1{2,}")
@@ -63,17 +71,32 @@ def brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
+def dictionary(docs: DataFrame) -> list[str]:
+    """The most frequent words of the texts, the most frequent first (ties: alphabetical)."""
+    words = docs.select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).where(
+        F.col("w").rlike(f"^[A-Za-z][a-z]{{2,{LONGEST - 1}}}[.,;:!?]?$"))
+    counts = words.groupBy(F.lower(F.regexp_extract("w", "^[A-Za-z]+", 0)).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= MIN_DOCS).orderBy(F.col("n").desc(), "word").limit(DICTIONARY_MOST)
+    return [r.word for r in top.select("word").collect()]
+
+
+def ranks(frequent: list[str]) -> dict[str, int]:
+    """The rank of every word: the better one of its places in COMMON and among the frequent words."""
+    out = {w: r for r, w in enumerate(frequent, 1)}
+    return out | {w: min(r, out.get(w, r)) for w, r in WORDS.items()}
+
+
+def guess_cost(value: str, words: dict[str, int] = WORDS) -> float:
     """log10 of the guesses of the cheapest segmentation."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     parts: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = WORDS.get(low[i:j])
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            rank = words.get(low[i:j])
             extra = 0.0
             if rank is None:
-                rank, extra = WORDS.get(plain[i:j]), math.log10(4)
+                rank, extra = words.get(plain[i:j]), math.log10(4)
             if rank is not None:
                 upper = math.log10(2) if value[i:j] != low[i:j] else 0.0
                 parts.setdefault(j, []).append((i, math.log10(rank + 1) + upper + extra))
@@ -96,12 +119,12 @@ def guess_cost(value: str) -> float:
     return cost[n]
 
 
-def spans_of(text: str) -> list[dict]:
+def spans_of(text: str, words: dict[str, int] = WORDS) -> list[dict]:
     low = text.lower()
     found = []
     if any(h in low for h in CONTEXT_HINTS):
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
-        found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= MIN_GUESSES_LOG10]
+        found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], words) >= MIN_GUESSES_LOG10]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
@@ -110,12 +133,14 @@ def spans_of(text: str) -> list[dict]:
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans (array of kind, start, end) of every whole text."""
+    """doc_id and spans (array of kind, start, end) of every whole text, judged by the words of all of them."""
     docs = documents(df, id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(ranks(dictionary(docs)))
 
     def rows(ids, texts):
+        words = shared.value
         for i, text in zip(ids, texts):
-            yield i, spans_of(text) if text else []
+            yield i, spans_of(text, words) if text else []
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs, rows, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")

@@ -13,9 +13,10 @@ its thresholds are ever on the driver or broadcast.
 
 Edge cases: vectors that are null or hold a null or non-finite component,
 and rows without a vec_id, take no part. Only vectors of one length meet.
-vec_id names a row: rows with the query's vec_id are its own and never its
-results; a repeated row counts once. With fewer than k others all
-are returned. Empty tables give an empty result. Scores that may pass 2^61 raise.
+Every row is a candidate of every query but itself, so a repeated row, or
+another row with the query's vec_id, is a result like any other, and a
+repeated query returns its results once for each of its rows. Ties go to the
+smaller vec_id. With fewer than k others all are returned. Empty tables give an empty result. Scores that may pass 2^61 raise.
 """
 
 from __future__ import annotations
@@ -47,14 +48,14 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], dim: int):
-    """(ids, matrix) of the rows with ``dim`` components, BLOCK_ROWS at a time."""
+    """(ids, row numbers, matrix) of the rows with ``dim`` components, BLOCK_ROWS at a time."""
     for b in batches:
         vecs = b.column(1)
         fits = np.flatnonzero(vecs.value_lengths().to_numpy(zero_copy_only=False) == dim)
         for at in range(0, len(fits), BLOCK_ROWS):
             own = pa.array(fits[at:at + BLOCK_ROWS])
             ids = b.column(0).take(own).to_numpy()
-            yield ids, vecs.take(own).flatten().to_numpy().reshape(len(ids), dim)
+            yield ids, b.column(2).take(own).to_numpy(), vecs.take(own).flatten().to_numpy().reshape(len(ids), dim)
 
 
 def _scores(queries: np.ndarray, block: np.ndarray, whole: bool) -> np.ndarray:
@@ -64,7 +65,7 @@ def _scores(queries: np.ndarray, block: np.ndarray, whole: bool) -> np.ndarray:
 
 def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row that ``is_query`` (a condition on vec_id) names."""
-    rows = stored(quantised(df, id_col, vec_col).dropDuplicates(), "vectors")  # repeated rows are one
+    rows = stored(quantised(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     spark = rows.sparkSession
     out = None
     facts = (rows.groupBy(F.size("q").alias("dim"))
@@ -77,33 +78,35 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
         n_blocks = max(1, math.ceil(n * dim * 8 / QUERY_BYTES))
         queries = rows.where(is_query & (F.size("q") == dim))
         for b in range(n_blocks if n else 0):
-            part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id", "q").toArrow()
+            part = queries.where(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == b).orderBy("vec_id", "row").toArrow()
             if part.num_rows:
-                ids = part.column("vec_id").to_numpy()
+                ids = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
                 matrix = np.array(part.column("q").to_pylist(), dtype=np.float64)
                 found = _block(rows, ids, matrix, k, bound)
                 out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def _block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, bound: int) -> DataFrame:
+def _block(rows: DataFrame, ids: tuple[np.ndarray, np.ndarray], queries: np.ndarray, k: int, bound: int) -> DataFrame:
+    """``ids``: vec_id and row number of the queries."""
     spark, dim, whole = rows.sparkSession, queries.shape[1], bound < 1 << 53
     shared = spark.sparkContext.broadcast((ids, queries))
-    low = np.full(len(ids), -bound, dtype=np.int64)  # the k-th best score lies in [low, low + width)
+    n = len(queries)
+    low = np.full(n, -bound, dtype=np.int64)  # the k-th best score lies in [low, low + width)
     width = BUCKETS  # a power of BUCKETS that spans all scores, so every round divides evenly
     while width < 2 * bound + 1:
         width *= BUCKETS
-    above = np.zeros(len(ids), dtype=np.int64)  # scores at or beyond low + width
+    above = np.zeros(n, dtype=np.int64)  # scores at or beyond low + width
     while width > 1:
         step = width // BUCKETS
         counted = map_arrow(rows, _counter(shared, low, step, width, above, k, dim, whole), "query int, bucket int, n long")
         table = counted.groupBy("query", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a few buckets a query
-        hist = np.zeros((len(ids), BUCKETS + 1), dtype=np.int64)
+        hist = np.zeros((n, BUCKETS + 1), dtype=np.int64)
         hist[table.column("query").to_numpy(), table.column("bucket").to_numpy()] = table.column("n").to_numpy()
         ranked = np.cumsum(hist[:, BUCKETS - 1::-1], axis=1) + above[:, None]  # best bucket first
         reached = ranked >= k
         at = np.where(reached.any(axis=1), reached.argmax(axis=1), BUCKETS - 1)
-        line = np.arange(len(ids))
+        line = np.arange(n)
         above = np.where(at > 0, ranked[line, np.maximum(at - 1, 0)], above)
         low = low + (BUCKETS - 1 - at) * step
         width = step
@@ -112,12 +115,12 @@ def _block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, bound:
 
 def _counter(shared, low, step, width, above, k, dim, whole):
     def run(batches):
-        ids, queries = shared.value
-        hist = np.zeros((len(ids), BUCKETS), dtype=np.int64)
-        line = np.arange(len(ids))[:, None]
-        for own, block in _blocks(batches, dim):
+        (_, numbers), queries = shared.value
+        hist = np.zeros((len(queries), BUCKETS), dtype=np.int64)
+        line = np.arange(len(queries))[:, None]
+        for _, own, block in _blocks(batches, dim):
             s = _scores(queries, block, whole) - low[:, None]
-            inside = (s >= 0) & (s <= min(width - 1, (1 << 63) - 1)) & (own[None, :] != ids[:, None])
+            inside = (s >= 0) & (s <= min(width - 1, (1 << 63) - 1)) & (own[None, :] != numbers[:, None])
             flat = (line * BUCKETS + s // step)[inside]
             hist += np.bincount(flat, minlength=hist.size).reshape(hist.shape)
         # buckets below the one with this task's own k-th best cannot hold the global one
@@ -132,21 +135,21 @@ def _counter(shared, low, step, width, above, k, dim, whole):
 
 def _final(rows, shared, low, k, dim, whole) -> DataFrame:
     def run(batches):
-        ids, queries = shared.value
+        (ids, numbers), queries = shared.value
         best = [[] for _ in ids]
-        for own, block in _blocks(batches, dim):
+        for vec, own, block in _blocks(batches, dim):
             s = _scores(queries, block, whole)
-            fits = (s >= low[:, None]) & (own[None, :] != ids[:, None])
+            fits = (s >= low[:, None]) & (own[None, :] != numbers[:, None])
             for q in fits.any(axis=1).nonzero()[0]:
                 at = fits[q].nonzero()[0]
                 if len(at) > k:
-                    at = at[np.lexsort((own[at], -s[q, at]))[:k]]
-                best[q] = sorted([*best[q], *zip((-s[q, at]).tolist(), own[at].tolist())])[:k]
-        out = [(int(ids[q]), v, -s) for q, found in enumerate(best) for s, v in found]
+                    at = at[np.lexsort((own[at], vec[at], -s[q, at]))[:k]]
+                best[q] = sorted([*best[q], *zip((-s[q, at]).tolist(), vec[at].tolist(), own[at].tolist())])[:k]
+        out = [(int(numbers[q]), int(ids[q]), v, -s, r) for q, found in enumerate(best) for s, v, r in found]
         if out:
-            a, b, c = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)],
+                                             names=["query", "query_id", "vec_id", "score", "row"])
 
-    found = map_arrow(rows, run, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
+    found = map_arrow(rows, run, "query long, query_id long, vec_id long, score long, row long")
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query order by score desc, vec_id, row)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -179,21 +179,22 @@ def test_op5_counts(spark):
 
 
 def top_brute(rows, k, is_query):
-    q = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows
-         if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for a, v in q.items():
+    """All results in order, by row: a query meets every row but its own."""
+    q = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows
+         if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for m, (a, v) in enumerate(q):
         if is_query(a):
-            scored = sorted((-sum(x * y for x, y in zip(v, w)), b) for b, w in q.items() if b != a and len(w) == len(v))
-            out |= {(a, r + 1, b, -s) for r, (s, b) in enumerate(scored[:k])}
-    return out
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), b, n) for n, (b, w) in enumerate(q) if n != m and len(w) == len(v))
+            out += [(a, r + 1, b, -s) for r, (s, b, _) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def test_op10_matches_its_sql_and_brute_force(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF_SMALL}/embeddings.parquet')")
-    got = {tuple(r) for r in op10_exact_top_k(spark, SF_SMALL).collect()}
-    assert got == set(con.execute(LLM_ORACLE["op10_exact_top_k"]).fetchall())
+    got = sorted(tuple(r) for r in op10_exact_top_k(spark, SF_SMALL).collect())
+    assert got == sorted(con.execute(LLM_ORACLE["op10_exact_top_k"]).fetchall())
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
     assert got == top_brute(rows, 5, lambda i: i % 50 == 0)
 
@@ -204,14 +205,17 @@ def test_top_k_odd_rows(spark, block):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [0.5, 0.25]) for i in range(1, 60)] + [(100, [1.0, -1.0]), (101, None), (102, [1.0, None]), (103, [nan, 1.0]),
             (104, [inf, 0.0]), (105, []), (None, [9.0, 9.0]), (150, [900000.5, -3.0]), (200, [1.0, 2.0, 3.0]), (250, [0.0, 0.0])]
-    df = spark.createDataFrame(rows + [(100, [1.0, -1.0])], "vec_id long, embedding array<float>")
+    rows += [(100, [1.0, -1.0]), (100, [0.5, 0.5]), (7, [0.5, 0.25]), (7, [0.5, 0.25])]  # repeated rows, and another with a query's id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     old, topk.QUERY_BYTES = topk.QUERY_BYTES, block
     try:
         got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
     finally:
         topk.QUERY_BYTES = old
-    assert len(got) == len(set(got))
-    want = top_brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5,
-                     lambda i: i % 50 == 0)
-    assert {g for g in got if g[0] != 100} == {w for w in want if w[0] != 100}
+    plain = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(got) == top_brute(plain, 5, lambda i: i % 50 == 0)
+    con = duckdb.connect()
+    con.register("plain", __import__("pyarrow").table({"vec_id": [i for i, _ in plain], "embedding": [v for _, v in plain]}))
+    con.execute("CREATE VIEW embeddings AS SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM plain")
+    assert sorted(con.execute(LLM_ORACLE["op10_exact_top_k"]).fetchall()) == sorted(got)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0

@@ -222,6 +222,24 @@ def test_secret_scan_odd_rows(odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_ordinary_words_are_no_secrets(make):
+    """Words that stand in several documents are cheap guesses; what stands in none, or only as a value, is not."""
+    plain = [(i, "This is mandatory, the documentation says; a required signature follows.") for i in range(3)]
+    asked = [(10, "authorization: mandatory"), (11, "auth: documentation"), (12, "token: required"), (13, "secret: mandatorydocumentation"),
+             (14, "auth: qzvkwplmxtrb"), (15, "auth: qzvkwplmxtrb"), (16, "auth=qzvkwplmxtrb"), (17, "pwd: 2wsx3edc4rfv"), (18, "auth: Unfathomably")]
+    got = {r.doc_id: [s.kind for s in r.spans if s.kind == "guess"] for r in secrets.find_secrets(make(plain + asked)).collect()}
+    assert {i for i, s in got.items() if s} == {14, 15, 16, 18}
+    assert secrets.guess_cost("mandatory") >= secrets.MIN_GUESSES_LOG10 > secrets.guess_cost("mandatory", secrets.ranks(["mandatory"]))
+
+
+def test_dictionary_counts_documents(spark, make, monkeypatch):
+    docs = make([(i, f"common Common common. rare{'' if i else ' once'} w=value value9 ALLCAPS ab x\ny word{i}") for i in range(4)])
+    assert secrets.dictionary(docs) == ["common"] or secrets.dictionary(docs)[:2] == ["common", "rare"]
+    monkeypatch.setattr(secrets, "DICTIONARY_MOST", 1)
+    assert secrets.dictionary(docs) == ["common"]
+    assert secrets.dictionary(docs.limit(0)) == []
+
+
 def test_op9_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     rows = op9_secret_scan(spark, SF_SMALL).collect()
