@@ -76,24 +76,6 @@ def unframe(data, at: int):
     return doc_id if flags & 1 else None, ids, end + TAIL.size + len(END)
 
 
-class Recent:
-    """A bounded memo in two generations: when the young one is full it becomes the old one, and what is seen again moves back."""
-
-    def __init__(self, size: int):
-        self.half, self.young, self.old = size // 2, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.young[key] = got
-        return got
-
-    def put(self, found: dict[str, bytes]) -> None:
-        self.young.update((k, v) for k, v in found.items() if len(k) <= LONGEST_KEPT)
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
-
-
 class BatchEncoder:
     """Ids of texts by the tokenizers library, which sees each stretch between spaces once while it is kept.
 

@@ -31,7 +31,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlake.llm.common import documents, map_batches
+from shiftlake.llm.common import documents, map_batches, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -72,12 +72,24 @@ def brute(c: str) -> float:
 
 
 def dictionary(docs: DataFrame) -> list[str]:
-    """The most frequent words of the texts, the most frequent first (ties: alphabetical)."""
+    """The most frequent words of the texts, the most frequent first (ties: alphabetical), at most DICTIONARY_MOST.
+
+    A word comes in if all that are as frequent do, so the least count is
+    read off the histogram of counts and only the words above it leave Spark.
+    """
     words = docs.select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).where(
         F.col("w").rlike(f"^[A-Za-z][a-z]{{2,{LONGEST - 1}}}[.,;:!?]?$"))
-    counts = words.groupBy(F.lower(F.regexp_extract("w", "^[A-Za-z]+", 0)).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") >= MIN_DOCS).orderBy(F.col("n").desc(), "word").limit(DICTIONARY_MOST)
-    return [r.word for r in top.select("word").collect()]
+    counts = stored(words.groupBy(F.lower(F.regexp_extract("w", "^[A-Za-z]+", 0)).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+                    .where(F.col("n") >= MIN_DOCS), "words")
+    least, total = None, 0
+    for n, same in sorted(map(tuple, counts.groupBy("n").agg(F.count("word").alias("same")).collect()), reverse=True):
+        total += same
+        if total > DICTIONARY_MOST:
+            break
+        least = n
+    if least is None:
+        return []
+    return [r.word for r in sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))]
 
 
 def ranks(frequent: list[str]) -> dict[str, int]:
