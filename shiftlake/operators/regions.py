@@ -55,13 +55,6 @@ def region_count_expr(df: DataFrame):
     return F.count_distinct(REGION)
 
 
-def region_count(df: DataFrame, by=()) -> DataFrame:
-    """Distinct non-NULL regions (A5)."""
-    if REGION not in df.columns:
-        return df.groupBy(*by).agg(F.lit(0).cast("bigint").alias("total_regions"))
-    return df.groupBy(*by).agg(F.count_distinct(REGION).alias("total_regions"))
-
-
 def location_breakdown(df: DataFrame, params: Params, by=()) -> DataFrame:
     """Monthly region rollup of cash, notifications and orders."""
     r = roles(df, params)

@@ -28,17 +28,17 @@ P = QUERY_PARAMS
 DAY = ("Date",)
 
 
-# Logical plans (not data) of the shared frames, built once per session and
-# input folder: a DataFrame is an immutable plan, so every query that starts
-# from it still scans and computes from the parquet files when it runs.
-_PLANS: dict = {}
-
-
 def _memo(kind: str, spark: SparkSession, sf: str, build):
-    key = (kind, id(spark._jsparkSession), sf)
-    if key not in _PLANS:
-        _PLANS[key] = build()
-    return _PLANS[key]
+    """The logical plan (not the data) of a shared frame, built once per session and input folder.
+
+    A DataFrame is an immutable plan, so every query that starts from it
+    still scans and computes from the parquet files when it runs. Plans hang
+    on the session object, so they go with it.
+    """
+    plans = spark.__dict__.setdefault("_shiftlake_plans", {})
+    if (kind, sf) not in plans:
+        plans[kind, sf] = build()
+    return plans[kind, sf]
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
