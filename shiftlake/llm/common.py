@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -38,9 +39,31 @@ def ship(spark) -> None:
         context._shiftlake_shipped = True
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+def release(owner: str) -> None:
+    """Drop what the other operators of this subpackage keep in a Python worker (their caches).
+
+    Workers serve one stage after the other, so in a pipeline the memos of
+    every stage would add up.
+    """
+    package = __name__.rpartition(".")[0] + "."
+    for name, module in list(sys.modules.items()):
+        if name.startswith(package) and name != owner:
+            for cache in ("load", "_matcher"):
+                clear = getattr(getattr(module, cache, None), "cache_clear", None)
+                if clear:
+                    clear()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema, owner: str | None = None) -> DataFrame:
+    """``run`` over the Arrow batches of each task; ``owner`` is the module whose caches it uses (default: its own)."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    owner = owner or run.__module__
+
+    def alone(batches):
+        release(owner)
+        return run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +87,7 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str)
             if rows:
                 yield _batch(rows, arrow)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, fn.__module__)
 
 
 def _arrow_schema(spark, schema: str) -> pa.Schema:

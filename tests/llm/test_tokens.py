@@ -163,3 +163,15 @@ def test_op6_whole_table(spark, hf):
         r = got[doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    from functools import lru_cache
+
+    from shiftlake.llm import bpe, common, token_counts
+
+    for module in (bpe, token_counts):
+        monkeypatch.setattr(module, "load", lru_cache(lambda: [0]))
+        module.load()
+    common.release("shiftlake.llm.bpe")
+    assert bpe.load.cache_info().currsize == 1 and token_counts.load.cache_info().currsize == 0
