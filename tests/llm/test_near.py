@@ -172,6 +172,76 @@ def test_line_dedup_odd_rows(odd, none, make):
     assert texts == {1: "\n\nsame\n", 2: "", 3: None, None: ""}
 
 
+def test_line_dedup_of_null_ids_and_repeated_rows(make, spark):
+    rows = [(None, "one line"), (None, "one line"), (None, "one line\n\nother line"), (1, "text of one"), (1, "text of one"), (2, "text of one")]
+    out = lines.without_repeats(make(rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(0, "one line"), (0, ""), (0, "\nother line"), (1, "text of one"), (1, ""), (2, "")])
+    clash = spark.createDataFrame([(1, "a line\na line", "p", "q", 5), (1, "a line\na line", "p", "r", 6)],
+                                  "doc_id long, text string, __lines string, `drop.x` string, first int")
+    got = lines.without_repeats(clash)
+    assert got.columns == clash.columns
+    assert {(r["__lines"], r["drop.x"], r["first"]) for r in got.collect()} == {("p", "q", 5), ("p", "r", 6)}
+    assert sorted(r.text for r in got.collect()) == ["", "a line"]
+
+
+def test_band_recall_at_the_least_similarity():
+    """Pairs of a similarity of 0.8 to 0.82: at least 95 of 100 share a band and agree in enough places, at every length."""
+    rnd = np.random.default_rng(9)
+    odd = np.array([random.Random(k).getrandbits(32) | 1 for k in range(lines.BINS)], dtype=np.uint32)
+    for length in (12, 25, 40, 60, 120, 400, 2000):
+        met = tried = 0
+        while tried < 150:
+            a = "".join(rnd.choice(list("abcdefghijklmnop "), length))
+            cut = int(rnd.integers(0, length))
+            new = "".join(rnd.choice(list("QRSTUV"), max(1, round(length * 0.105))))
+            b = a[:cut] + new + a[cut + len(new):]
+            x, y = grams(a), grams(b)
+            if not 0.8 <= len(x & y) / len(x | y) <= 0.82 + 1 / length:
+                b = a[:-max(1, round(length * 0.19))]  # the same beginning
+                x, y = grams(a), grams(b)
+                if not 0.78 <= len(x & y) / len(x | y) <= 0.85:
+                    break
+            tried += 1
+            which, kind, least = lines.signatures([a, b], lines.SHINGLE, odd)
+            for k in (0, 1):
+                s, t = least[(which == 0) & (kind == k)], least[(which == 1) & (kind == k)]
+                if len(s) and len(t):
+                    same = (s == t).reshape(lines.BANDS, lines.ROWS)
+                    if same.all(axis=1).any() and same.sum() >= lines.AGREE:
+                        met += 1
+                        break
+        assert met >= 0.95 * tried, (length, met, tried)
+
+
+@pytest.mark.parametrize("size", [2, 5, 6, 7, 40])
+@pytest.mark.parametrize("split", [1, 3, 100])
+def test_lists_that_cross_batches_and_ranges(size, split):
+    """Equal signatures: every member of a list is linked or told as a member, wherever batches and ranges end."""
+    import pyarrow as pa
+    rows = [(k, 7, 9, 100 * k + i) for k in range(4) for i in range(size if k == 2 else 1)]
+    names = ["key", "sa", "sb", "h"]
+    for cut in range(0, len(rows) + 1, max(1, split)):
+        pairs, members, edges = set(), set(), defaultdict(set)
+        for part in (rows[:cut], rows[cut:]):
+            batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*part[i:i + split])], names=names) for i in range(0, len(part), split)]
+            for out in lines._meet(iter(batches)):
+                for r in out.to_pylist():
+                    if r["kind"] == lines.PAIR:
+                        pairs.add((r["a"], r["b"]))
+                    elif r["kind"] == lines.MEMBER:
+                        members.add((r["key"], r["a"]))
+                    else:
+                        edges[r["key"]].add(r["a"])
+        pairs |= {(min(x), v) for x in edges.values() for v in x if v != min(x)}
+        own = {200 + i for i in range(size)}
+        assert all(a in own and b in own for a, b in pairs)
+        assert len({unite(pairs, own)[n] for n in own}) == 1
+        if size <= lines.NEIGHBOURS + 1 and cut in (0, len(rows)):
+            assert {(a, b) for a in own for b in own if a < b} <= pairs
+        if size > lines.NEIGHBOURS + 1:
+            assert {(2, n) for n in own} <= members
+
+
 def test_op5_counts(spark):
     rows = op5_line_dedup(spark, SF_SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
