@@ -33,6 +33,8 @@ SMOOTHING = 0.5
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 BLOCK_CHARS = 1 << 18
+ROWS_READ = 1 << 12  # rows of the matrix gathered together: memory does not grow with a text's length
+LANGUAGES_HELD = 64  # dense counts a task holds before it hands them on
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -71,6 +73,14 @@ class Model:
         self.logs = np.log(counts + SMOOTHING) - np.log(total + SMOOTHING * len(counts))
         self.priors = np.log(docs / max(1, docs.sum())) if languages else docs
 
+    def _sum(self, f: np.ndarray) -> np.ndarray:
+        """The sum of the matrix rows of the buckets ``f``: repeated ones are read once, times their number."""
+        if len(f) <= ROWS_READ:
+            return self.logs[f].sum(axis=0)
+        count = np.bincount(f, minlength=len(self.logs))
+        used = count.nonzero()[0]
+        return sum(count[part] @ self.logs[part] for part in np.split(used, range(ROWS_READ, len(used), ROWS_READ)))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
@@ -79,7 +89,7 @@ class Model:
         for k, text in enumerate(texts):
             if has_letter(text):
                 rows.append(k)
-                sums.append(sum(self.logs[f].sum(axis=0) for f in features(text)))
+                sums.append(sum(map(self._sum, features(text))))
         if rows:
             s = np.array(sums) + self.priors
             s -= s.max(axis=1, keepdims=True)
@@ -98,10 +108,21 @@ def train(labelled: DataFrame) -> Model:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                at = own.nonzero()[0]
+                buckets, n = np.append(at, -1), np.append(own[at], docs[lang])  # bucket -1: documents
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "bucket": buckets.astype(np.int32), "n": n})
+            counts.clear()
+            docs.clear()
+
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not has_letter(text):
                     continue
+                if len(counts) >= LANGUAGES_HELD and lang not in counts:
+                    yield from handed()
                 own = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 docs[lang] = docs.get(lang, 0) + 1
                 for f in features(text):
@@ -109,10 +130,7 @@ def train(labelled: DataFrame) -> Model:
                         own += np.bincount(f, minlength=BUCKETS)
                     else:
                         np.add.at(own, f, 1)
-        for lang, own in counts.items():
-            at = own.nonzero()[0]
-            buckets, n = np.append(at, -1), np.append(own[at], docs[lang])  # bucket -1: documents
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "bucket": buckets.astype(np.int32), "n": n})
+        yield from handed()
 
     found = (map_arrow(rows, counted, "lang string, bucket int, n long")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))

@@ -52,6 +52,27 @@ def test_blocks_do_not_change_features():
         langid.BLOCK_CHARS = old
 
 
+def test_language_scores_of_long_texts_take_bounded_memory():
+    import tracemalloc
+    rnd = np.random.default_rng(3)
+    counts = rnd.integers(0, 9, (langid.BUCKETS, 300)).astype(float)
+    model = langid.Model([f"l{i:03}" for i in range(300)], counts, np.ones(300))
+    text = "".join(map(chr, rnd.integers(97, 700, 280_000)))
+    f = np.concatenate(list(langid.features(text)))
+    want = sum(model.logs[f[i:i + 5000]].sum(axis=0) for i in range(0, len(f), 5000))
+    tracemalloc.start()
+    got = sum(map(model._sum, langid.features(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want) and peak < 40 << 20  # a matrix row a character would be 1.9 GB
+
+
+def test_training_hands_on_many_labels(make):
+    rows = [(i, f"word{i % 150} text", f"x{i % 150:03}") for i in range(450)]
+    model = langid.train(make(rows))
+    assert len(model.languages) == 150 and np.allclose(np.exp(model.priors), 1 / 150)
+
+
 def test_language_id_odd_rows(odd, none, make):
     model = langid.train(odd)
     got = {(r.doc_id, r.lang_pred == "und", r.score == 0) for r in langid.predict(odd, model).collect()}
