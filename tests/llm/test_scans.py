@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from conftest import SF_SMALL
@@ -54,6 +55,7 @@ def test_blocks_do_not_change_features():
 
 def test_language_scores_of_long_texts_take_bounded_memory():
     import tracemalloc
+
     rnd = np.random.default_rng(3)
     counts = rnd.integers(0, 9, (langid.BUCKETS, 300)).astype(float)
     model = langid.Model([f"l{i:03}" for i in range(300)], counts, np.ones(300))
