@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import sys
@@ -43,15 +45,22 @@ def release(owner: str) -> None:
     """Drop what the other operators of this subpackage keep in a Python worker (their caches).
 
     Workers serve one stage after the other, so in a pipeline the memos of
-    every stage would add up.
+    every stage would add up. What is freed goes back to the system at once.
     """
-    package = __name__.rpartition(".")[0] + "."
+    package, dropped = __name__.rpartition(".")[0] + ".", False
     for name, module in list(sys.modules.items()):
         if name.startswith(package) and name != owner:
             for cache in ("load", "_matcher"):
                 clear = getattr(getattr(module, cache, None), "cache_clear", None)
-                if clear:
+                if clear and getattr(module, cache).cache_info().currsize:
                     clear()
+                    dropped = True
+    if dropped:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+        if trim:
+            trim(0)
 
 
 def map_arrow(df: DataFrame, run: Callable, schema, owner: str | None = None) -> DataFrame:
