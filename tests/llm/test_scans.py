@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -176,17 +177,42 @@ def dice_brute(rows):
             a = {f"{x} {y}" for x, y in zip(words, words[1:])} or set(words)
             d, _, name = max((2 * len(a & b) / (len(a) + len(b)), -i, n) for i, (n, b) in enumerate(sets.items()))
             if d >= licenses.THRESHOLD:
-                n, best = out.get((doc_id, name), (0, 0))
-                out[doc_id, name] = n + 1, max(best, round(d, 6))
+                n, m, best = out.get((doc_id, name), (0, 0, 0))
+                out[doc_id, name] = n + 1, m, max(best, round(d, 6))
+        for name, d in window_brute(re.sub(r"[\W_]+", " ", (text or "").lower()).split(), sets):
+            n, m, best = out.get((doc_id, name), (0, 0, 0))
+            out[doc_id, name] = n, m + 1, max(best, round(d, 6))
     return {(*k, *v) for k, v in out.items()}
 
 
+def window_brute(words, sets):
+    pairs = [f"{x} {y}" for x, y in zip(words, words[1:])]
+    peaks = []
+    for place, (name, b) in enumerate(sets.items()):
+        span = len(licenses.template_words(licenses.TEMPLATES[name])) - 1
+        own = []
+        for at, first in enumerate(pairs):
+            a = set(pairs[at:at + span])
+            d = 2 * len(a & b) / (len(a) + len(b))
+            if first in b and d >= licenses.THRESHOLD:
+                own.append((len(a & b), d, -place, -at, span, name))
+        peaks += [x for x in own if not any(y > x and 2 * abs(x[3] - y[3]) <= span for y in own)]
+
+    def shared(x, y):
+        return min(x[4] - x[3], y[4] - y[3]) - max(-x[3], -y[3])
+
+    return [(x[5], x[1]) for x in peaks if not any(y > x and 2 * shared(x, y) >= min(x[4], y[4]) for y in peaks)]
+
+
 def test_license_scan_against_brute_force(make, odd, none):
     apache = licenses.TEMPLATES["Apache-2.0-header"]
     rows = ODD + [(20, "# licensed under the APACHE license -- version 2.0\nfoo\nReleased under the MIT License."),
                   (21, apache.replace(" Unless ", "\nUnless ").replace(" you may obtain", "\nyou may obtain")),
                   (21, "mit"), (22, "This work is licensed under the GNU General Public License, version 3." * 2),
-                  (23, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (24, "nothing of the kind is here")]
+                  (23, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (24, "nothing of the kind is here"),
+                  (25, "x = 1\n" * 50 + textwrap.fill(apache, 40, initial_indent="# ", subsequent_indent="# ") + "\ny = 2" * 50),
+                  (26, " ".join([licenses.TEMPLATES["MIT-full"]] * 3)), (26, licenses.TEMPLATES["BSD-3-Clause-full"].replace("COPYRIGHT", "X")),
+                  (27, "All of it is released under the MIT License. " + licenses.TEMPLATES["GPL-2.0-notice"] + " the end")]
     assert {tuple(r) for r in licenses.scan(make(rows)).collect()} == dice_brute(rows)
     assert licenses.scan(none).count() == 0
 
@@ -317,8 +343,35 @@ def test_items_too_short_for_an_edit_are_whole_words():
     assert [(i, k) for i, k, *_ in m.match(["yesterday", "eyes a bc", "oh yes.", "aa b a b"])] == [(2, 1), (3, 2)]
 
 
+LONG_LICENSES = ["Apache-2.0-header", "MIT-text", "MIT-full", "ISC-full", "BSD-2-Clause-full", "BSD-3-Clause-full",
+                 "GPL-2.0-notice", "GPL-3.0-notice"]
+
+
+def test_license_windows_find_wrapped_licenses_inside_code(make):
+    """Wrapped in comments between code lines, with a share of the words changed; recall is whole up to 5 %."""
+    rng, rows, want = np.random.default_rng(7), [], {}
+    for share in (0.0, 0.02, 0.05):
+        for name in LONG_LICENSES:
+            for _ in range(3):
+                words = licenses.TEMPLATES[name].split(" ")
+                for at in rng.choice(len(words), int(share * len(words)), replace=False):
+                    words[at] = f"w{at}"
+                body = textwrap.fill(" ".join(words), int(rng.integers(40, 90)), initial_indent=" * ", subsequent_indent=" * ")
+                code = [f"value_{i} = compute(value_{i - 1}, {i});" for i in range(200)]
+                want[len(rows)] = name
+                rows.append((len(rows), "/*\n" + body + "\n */\n" + "\n".join(code)))
+    got = {(r.doc_id, r.license, r.n_windows) for r in licenses.scan(make(rows)).collect() if r.license in LONG_LICENSES}
+    assert got == {(i, name, 1) for i, name in want.items()}
+
+
+def test_license_telling_words_lose_no_window():
+    sets = {n: licenses.template_bigrams(t) for n, t in licenses.TEMPLATES.items()}
+    told = set(licenses.telling_words(sets, licenses.THRESHOLD))
+    for b in sets.values():
+        assert sum(not told & set(pair.split(" ")) for pair in b) < licenses.least_shared(len(b), licenses.THRESHOLD)
+
+
 def test_license_scan_finds_complete_license_files(make):
-    import textwrap
     names = ["MIT-full", "ISC-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "GPL-2.0-notice", "GPL-3.0-notice"]
     rows = [(i, "Copyright (c) 2020 Some Body\n\n" + textwrap.fill(licenses.TEMPLATES[n], 76)) for i, n in enumerate(names)]
     got = {(r.doc_id, r.license) for r in licenses.scan(make(rows)).collect()}
