@@ -130,7 +130,7 @@ TEMPLATES |= {
     "GPL-3.0-notice": GPL_3_NOTICE,
 }
 NOISE = r"[^\p{L}\p{N}]+"
-LONG_WORD = 8  # characters; longer words count as equally telling
+LONG_WORD = 5  # characters; longer words count as equally telling
 
 
 def template_words(text: str) -> list[str]:
@@ -149,7 +149,7 @@ def least_shared(n_bigrams: int, threshold: float) -> int:
 
 
 def telling_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
-    """Words, long ones first, without which no text shares enough bigrams with any template."""
+    """Words, short ones last, without which no text shares enough bigrams with any template."""
     left = {name: (set(b), len(b) - least_shared(len(b), threshold) + 1) for name, b in sets.items()}
     chosen = []
     while any(lack > 0 for _, lack in left.values()):
