@@ -8,8 +8,10 @@ ties go to the smaller vec_id. A task counts only scores that can still be
 among the k best (its own k-th best is a bound from below), and hands on at
 most k tied rows a query, so hot vectors never multiply.
 
-Queries are taken in blocks of QUERY_BYTES at most; only such a block and
-its thresholds are ever on the driver or broadcast.
+Queries are taken in blocks of about ``query_bytes``, and of BLOCK_QUERIES;
+only such a block and its thresholds are ever on the driver or broadcast. A
+task scores SCORED_AT_ONCE of them against BLOCK_ROWS rows at a time, so its
+memory is the block's histogram and one such square of scores.
 
 Edge cases: vectors that are null or hold a null or non-finite component,
 and rows without a vec_id, take no part. Only vectors of one length meet.
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from shiftlake.llm.common import map_arrow, stored
 
 SCALE = 256
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 8 << 20
+BLOCK_QUERIES = 1 << 14
+SCORED_AT_ONCE = 1 << 11
 BUCKETS = 256
 BLOCK_ROWS = 1024
 SCHEMA = "query_id long, rank int, vec_id long, score long"
@@ -63,8 +67,17 @@ def _scores(queries: np.ndarray, block: np.ndarray, whole: bool) -> np.ndarray:
     return (queries @ block.T).astype(np.int64) if whole else queries.astype(np.int64) @ block.T.astype(np.int64)
 
 
-def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of every row that ``is_query`` (a condition on vec_id) names."""
+def _chunks(n: int) -> Iterator[slice]:
+    """The places of n queries, SCORED_AT_ONCE at a time."""
+    return (slice(at, at + SCORED_AT_ONCE) for at in range(0, n, SCORED_AT_ONCE))
+
+
+def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+          query_bytes: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best other rows of every row that ``is_query`` (a condition on vec_id) names.
+
+    Greater ``query_bytes`` (default QUERY_BYTES) mean fewer passes over the rows and more memory in each task.
+    """
     rows = stored(quantised(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     spark = rows.sparkSession
     out = None
@@ -75,13 +88,14 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
         bound = int(largest) ** 2 * dim
         if bound >= 1 << 61:
             raise ValueError("scores may pass 2^61")
-        n_blocks = max(1, math.ceil(n * dim * 8 / QUERY_BYTES))
+        at_once = max(1, min((query_bytes or QUERY_BYTES) // (dim * 8), BLOCK_QUERIES))
+        n_blocks = max(1, math.ceil(n / at_once))
         queries = rows.where(is_query & (F.size("q") == dim))
         for b in range(n_blocks if n else 0):
             part = queries.where(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == b).orderBy("vec_id", "row").toArrow()
             if part.num_rows:
                 ids = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
-                matrix = np.array(part.column("q").to_pylist(), dtype=np.float64)
+                matrix = part.column("q").combine_chunks().flatten().to_numpy().reshape(-1, dim)
                 found = _block(rows, ids, matrix, k, bound)
                 out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
@@ -117,18 +131,19 @@ def _counter(shared, low, step, width, above, k, dim, whole):
     def run(batches):
         (_, numbers), queries = shared.value
         hist = np.zeros((len(queries), BUCKETS), dtype=np.int64)
-        line = np.arange(len(queries))[:, None]
         for _, own, block in _blocks(batches, dim):
-            s = _scores(queries, block, whole) - low[:, None]
-            inside = (s >= 0) & (s <= min(width - 1, (1 << 63) - 1)) & (own[None, :] != numbers[:, None])
-            flat = (line * BUCKETS + s // step)[inside]
-            hist += np.bincount(flat, minlength=hist.size).reshape(hist.shape)
+            for part in _chunks(len(queries)):
+                s = _scores(queries[part], block, whole) - low[part, None]
+                inside = (s >= 0) & (s <= min(width - 1, (1 << 63) - 1)) & (own[None, :] != numbers[part, None])
+                flat = (np.arange(len(s))[:, None] * BUCKETS + s // step)[inside]
+                hist[part] += np.bincount(flat, minlength=len(s) * BUCKETS).reshape(-1, BUCKETS)
         # buckets below the one with this task's own k-th best cannot hold the global one
-        ranked = np.cumsum(hist[:, ::-1], axis=1)[:, ::-1]
-        useful = (hist > 0) & (ranked - hist < k - above[:, None])
-        q, b = useful.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(b, pa.int32()), pa.array(hist[q, b], pa.int64())],
-                                         names=["query", "bucket", "n"])
+        for part in _chunks(len(queries)):
+            own = hist[part]
+            ranked = np.cumsum(own[:, ::-1], axis=1)[:, ::-1]
+            q, b = ((own > 0) & (ranked - own < k - above[part, None])).nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array(q + part.start, pa.int32()), pa.array(b, pa.int32()),
+                                              pa.array(own[q, b], pa.int64())], names=["query", "bucket", "n"])
 
     return run
 
@@ -138,13 +153,14 @@ def _final(rows, shared, low, k, dim, whole) -> DataFrame:
         (ids, numbers), queries = shared.value
         best = [[] for _ in ids]
         for vec, own, block in _blocks(batches, dim):
-            s = _scores(queries, block, whole)
-            fits = (s >= low[:, None]) & (own[None, :] != numbers[:, None])
-            for q in fits.any(axis=1).nonzero()[0]:
-                at = fits[q].nonzero()[0]
-                if len(at) > k:
-                    at = at[np.lexsort((own[at], vec[at], -s[q, at]))[:k]]
-                best[q] = sorted([*best[q], *zip((-s[q, at]).tolist(), vec[at].tolist(), own[at].tolist())])[:k]
+            for part in _chunks(len(queries)):
+                s = _scores(queries[part], block, whole)
+                fits = (s >= low[part, None]) & (own[None, :] != numbers[part, None])
+                for i in fits.any(axis=1).nonzero()[0]:
+                    at, q = fits[i].nonzero()[0], part.start + i
+                    if len(at) > k:
+                        at = at[np.lexsort((own[at], vec[at], -s[i, at]))[:k]]
+                    best[q] = sorted([*best[q], *zip((-s[i, at]).tolist(), vec[at].tolist(), own[at].tolist())])[:k]
         out = [(int(numbers[q]), int(ids[q]), v, -s, r) for q, found in enumerate(best) for s, v, r in found]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)],

@@ -270,6 +270,16 @@ def test_op10_matches_its_sql_and_brute_force(spark):
     assert got == top_brute(rows, 5, lambda i: i % 50 == 0)
 
 
+def test_top_k_is_the_same_in_blocks_and_squares_of_any_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    df = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").repartition(3)
+    want = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 7 == 0).collect())
+    n = df.where("vec_id % 7 = 0").count()
+    monkeypatch.setattr(topk, "SCORED_AT_ONCE", 5)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", -(-n // 2))
+    assert want and sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 7 == 0, query_bytes=1 << 30).collect()) == want
+
+
 @pytest.mark.parametrize("block", [topk.QUERY_BYTES, 40])
 def test_top_k_odd_rows(spark, block):
     from pyspark.sql import functions as F
