@@ -34,10 +34,12 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftlake.llm.common import documents, map_batches
+from shiftlake.llm.common import documents, map_arrow, map_batches
 from shiftlake.session import scratch_path
 
 HEAD = struct.Struct("<QI")
@@ -47,10 +49,24 @@ END = b"\n"
 FILE_BYTES = 16 << 20
 WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
+TEXT_BYTES = 8 << 20  # of texts encoded together
+JOINED = 4096  # new stretches
+SPACE = "\u0120"  # how byte-level vocabularies write a space
+SPACES = "[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # Python's and more than the library's
 
 INDEX_SCHEMA = "file long, record long, offset long, length long, doc_id long, n_tokens long"
 
 
+def parts(ends: np.ndarray, most: int):
+    """(from, to) of rows together not above ``most``, one at least; ``ends`` are the running sums of their sizes."""
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield at, to
+        at = to
+
+
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
@@ -81,9 +97,12 @@ class BatchEncoder:
 
     Only for tokenizers whose split pattern begins a word at a space between
     two other characters (byte-level ones); texts with neighbouring white
-    space or a special string go to the library whole. Stretches are kept in
-    two generations: when the young one is full it becomes the old one, and
-    what is seen again moves back to the young one, so frequent words stay.
+    space or a special string go to the library whole. Arrow cuts the texts and
+    numbers their different stretches. New ones go to the library joined, as a
+    text of their own, and the ids that begin with a space part them again.
+    Stretches are kept in two generations: when the young one is full it becomes
+    the old one, and what is seen again moves back to the young one, so frequent
+    words stay.
     """
 
     def __init__(self, path: str):
@@ -94,44 +113,78 @@ class BatchEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *special])).search
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = "|".join([SPACES + "{2}", *map(re.escape, special)])
+        self.joins = not any(c.isspace() for t in special for c in t)  # else stretches of two texts could make one
+        vocab = self.library.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.begins[[i for t, i in vocab.items() if SPACE in t]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> dict[str, bytes]:
-        return {t: self.pack(e.ids) for t, e in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False))}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        # a text's first word is marked by a space behind it, the others have theirs before them
-        cut: list[list[str] | None] = []
-        for t in texts:
-            us = None
-            if t and not self.whole(t):
-                us = t.split(" ")
-                us[0] += " "
-            cut.append(us)
-        ids, new = {}, []
-        for u in set().union(*[us for us in cut if us]):
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, units: list[str]) -> list[bytes]:
+        """Ids of stretches, each with the space before it; a text's first one has none and is marked by a space behind it."""
+        out: list[bytes] = [b""] * len(units)
+        plain = [i for i, u in enumerate(units) if self.joins and u and not u[0].isspace() and not u[-1].isspace()]
+        alone = sorted(set(range(len(units))).difference(plain))
+        for at in range(0, len(plain), JOINED):
+            part = plain[at:at + JOINED]
+            (encoded,) = self.library.encode_batch_fast([" " + " ".join([units[i] for i in part])], add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype=self.kind)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(part):
+                alone += part
+                continue
+            data, bounds = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), ids.nbytes]
+            for i, a, b in zip(part, bounds, bounds[1:]):
+                out[i] = data[a:b]
+        for at in range(0, len(alone), JOINED):
+            part = alone[at:at + JOINED]
+            for i, packed in zip(part, self.encode([units[i][:-1] if units[i].endswith(" ") else " " + units[i] for i in part])):
+                out[i] = packed
+        return out
+
+    def _kept(self, units: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        new = []
+        for u in units:
             got = self.young.get(u)
-            if got is None:
-                if (got := self.old.get(u)) is None:
-                    new.append(u)
-                    continue
+            if got is None and (got := self.old.get(u)) is not None:
                 self.young[u] = got
-            ids[u] = got
-        fresh = self.encode([u[:-1] if u.endswith(" ") else " " + u for u in new])
-        made = dict(zip(new, fresh.values()))
-        ids.update(made)
-        self.young.update((u, i) for u, i in made.items() if len(u) <= LONGEST_KEPT)
+            if got is None:
+                new.append(u)
+            out.append(got)
+        made = self._fresh(new)
+        self.young.update((u, i) for u, i in zip(new, made) if len(u) <= LONGEST_KEPT)
         if len(self.young) > WORDS_KEPT // 2:
             self.old, self.young = self.young, {}
-        whole = self.encode([t for t, us in zip(texts, cut) if t and us is None])
-        return [b"".join(map(ids.__getitem__, us)) if us else whole[t] if t else b"" for t, us in zip(texts, cut)]
+        fill = iter(made)
+        return [next(fill) if i is None else i for i in out]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The packed ids of each of the texts (strings without nulls)."""
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        heads, flat = cut.offsets.to_numpy(), cut.flatten()
+        units = flat.dictionary_encode()
+        known, first = units.dictionary.to_pylist(), heads[:-1]
+        packed = self._kept(known + [u + " " for u in flat.take(pa.array(first)).to_pylist()])
+        place = units.indices.to_numpy().astype(np.int64)
+        place[first] = len(known) + np.arange(len(first))
+        ids = pa.array(packed, pa.large_binary()).take(pa.array(place))
+        _, offsets, data = ids.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(ids) + 1)[heads].tolist()
+        data = data.to_pybytes() if data else b""
+        own = iter([data[a:b] for a, b in zip(bounds, bounds[1:])])
+        others = iter(self.encode(texts.filter(pa.array(whole)).to_pylist()))
+        return [next(others if w else own) for w in whole.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -148,15 +201,19 @@ def write_records(df: DataFrame, out: str, tokenizer_path: str, end_id: int = 0,
                .repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "tie", "row")
                .sortWithinPartitions("doc_id", "tie").select("doc_id", "text"))
 
-    def rows(ids, texts):
+    def run(batches):
         encoder = load(tokenizer_path)
         end = encoder.pack([end_id])
-        step = 200
-        for i in range(0, len(ids), step):
-            for doc_id, packed in zip(ids[i:i + step], encoder(texts[i:i + step])):
-                yield (frame(doc_id, packed + end, encoder.wide)[:-1],)  # the writer adds the record end
-
-    (map_batches(ordered, rows, "record binary").select(F.col("record").cast("string").alias("value"))
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            size = np.cumsum(pc.binary_length(texts).to_numpy())
+            for at, to in parts(size, TEXT_BYTES):
+                ids = batch.column(0).slice(at, to - at).to_pylist()
+                records = [frame(doc_id, packed + end, encoder.wide)[:-1]  # the writer adds the record end
+                           for doc_id, packed in zip(ids, encoder(texts.slice(at, to - at)))]
+                yield pa.record_batch([pa.array(records, pa.binary())], ["record"])
+
+    (map_arrow(ordered, run, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.text(f"{out}/records", lineSep=END.decode()))
     scanned(df.sparkSession, out).write.parquet(f"{out}/index")
 

@@ -175,3 +175,24 @@ def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
         module.load()
     common.release("shiftlake.llm.bpe")
     assert bpe.load.cache_info().currsize == 1 and token_counts.load.cache_info().currsize == 0
+
+
+def test_records_encoder_parts_joined_stretches(hf, monkeypatch):
+    texts = ["", " ", "a", " a", "a ", "a b", "\n a", "a\nb c\n", "\na b", "x  y", "x y z", "it's 's s' 12 3", "Ġ Ġa bĠ", "a Ġ",
+             "\x1c b", "b\x1c c", "　 b c", "c <|endoftext|> d", "<|endoftext|>", "é\U0001F600 ü x", "a  b c", "a" * 100 + " b"]
+    encoder = records.BatchEncoder(JSON)
+    monkeypatch.setattr(records, "JOINED", 3)
+    calls = []
+    monkeypatch.setattr(encoder, "library", type("Counted", (), {"encode_batch_fast": staticmethod(
+        lambda t, **k: calls.extend(t) or hf.encode_batch_fast(t, **k))}))
+    for _ in range(2):  # as new ones, then as kept ones
+        got = encoder(records.pa.array(texts))
+        assert [records.np.frombuffer(g, encoder.kind).tolist() for g in got] == [hf.encode(t, add_special_tokens=False).ids for t in texts]
+    before = len(calls)
+    encoder(records.pa.array([f"w {i} {i + 1}" for i in range(1000, 1009, 2)]))
+    assert len(calls) - before < 10  # 10 new stretches in joined calls, not one by one
+
+
+def test_parts_are_bounded_and_whole():
+    sizes = records.np.cumsum([5, 1, 1, 20, 0, 3, 3])
+    assert list(records.parts(sizes, 6)) == [(0, 2), (2, 3), (3, 4), (4, 7)] and list(records.parts(sizes[:0], 6)) == []
