@@ -56,6 +56,7 @@ HITS = 1 << 18  # pieces checked together
 LANES = 1 << 12
 PAD = 128
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ONE = np.uint64(1)
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
@@ -102,6 +103,7 @@ class Matcher:
                                    *self._partner(chars, cuts, i, j if j < last else i)))
         cols = list(zip(*pieces)) or [()] * 13
         self.item, self.offset, group, inner, wide, inner_wide, self.rel = (np.array(c, np.int64) for c in cols[:7])
+        self.rel += 8  # from the place where a slab's window begins
         self.fixed = [np.array(c, np.uint64) for c in cols[7:10]]  # shift, value, mask
         self.moved = [np.array(c, np.uint64) for c in cols[10:]]
         self.groups, self.wides = ((own, at, *(np.array([g[i] for g in rows], np.int64) for i in (0, 1)),
@@ -144,15 +146,16 @@ class Matcher:
     def candidates(self, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(item, where it would start, place of the piece) of the wide groups that are found."""
         c = np.concatenate([np.zeros(PAD, np.uint8), chars, np.zeros(2 * PAD, np.uint8)])
+        places = c & 63  # of the characters in a group's table
         waiting, size = [], 0
         for found in self._pairs(c, len(chars)):
-            waiting.append(self._held(c, self.groups, *found))
+            waiting.append(self._held(places, self.groups, *found))
             size += len(waiting[-1][0])
             if size >= HITS:
-                yield self._starts(c, waiting)
+                yield self._starts(places, waiting)
                 waiting, size = [], 0
         if size:
-            yield self._starts(c, waiting)
+            yield self._starts(places, waiting)
 
     def _starts(self, c, waiting):
         """Those whose wide groups, each in its best place, have not more edits together than the item may have."""
@@ -194,13 +197,18 @@ class Matcher:
                     a = b
 
     def _beside(self, w, at, piece):
-        y = w[at + 8 + self.rel[piece]]
-        shift, value, mask = (x[piece] for x in self.fixed)
-        good = (y >> shift ^ value) & mask == 0
+        y = w.take(at + self.rel.take(piece, mode="clip"), mode="clip")
+        shift, value, mask = (x.take(piece, mode="clip") for x in self.fixed)
+        good = ((y >> shift ^ value) & mask) == 0
         rest = (~good).nonzero()[0]
-        y, (shift, value, mask) = y[rest], (x[piece[rest]] for x in self.moved)
-        good[rest] = (((y >> shift ^ value) & mask == 0) | ((y >> shift - np.uint64(8) ^ value) & mask == 0)
-                      | ((y >> shift + np.uint64(8) ^ value) & mask == 0))
+        y, own = y.take(rest), piece.take(rest)
+        shift, value, mask = (x.take(own, mode="clip") for x in self.moved)
+        near = y >> shift - np.uint64(8)  # the part with a character before it and one behind it
+        found = ((near ^ value) & mask) == 0
+        for _ in range(2):
+            near >>= np.uint64(8)
+            found |= ((near ^ value) & mask) == 0
+        good[rest] = found
         return at[good], piece[good]
 
     def _held(self, c, kind, p, k) -> tuple[np.ndarray, np.ndarray]:
@@ -215,23 +223,41 @@ class Matcher:
 
     @staticmethod
     def _best(c, kind, g, at, more) -> np.ndarray:
-        """Least edits of each group to a part of the text from ``at`` on, of its size and ``more`` (see ``edits``)."""
-        sizes, eqs, one = kind[2], kind[4], np.uint64(1)
+        """Least edits of each group to a part of the text (as places in the tables) from ``at`` on, of its size and ``more`` (see ``edits``)."""
+        sizes, eqs = kind[2], kind[4]
         at, row, size = at + PAD, g * 64, sizes[g]
-        top = (size - 1).astype(np.uint64)
+        top = np.uint64(1) << (size - 1).astype(np.uint64)
         up, down = np.full(len(g), ~np.uint64(0)), np.zeros(len(g), np.uint64)
         now, best = size.copy(), size.copy()
+        at.clip(0, len(c) - 1, out=at)
+        end = len(c) - 1
+        last = int(at.max(initial=0))
+        place, eq, same, plus, minus, other = np.empty_like(row), *(np.empty_like(up) for _ in range(5))
         for i in range(int((size + more).max(initial=0))):
-            eq = eqs.take(row + (c.take(at + i, mode="clip") & 63))
-            other = eq | down
-            same = (((eq & up) + up) ^ up) | other
-            plus, minus = down | ~(same | up), up & same
-            now += (plus >> top & one).view(np.int64)
-            now -= (minus >> top & one).view(np.int64)
+            if last + i > end:
+                np.minimum(at, end, out=at)
+            np.add(row, c.take(at), out=place)
+            eqs.take(place, out=eq, mode="clip")
+            at += 1
+            np.bitwise_or(eq, down, out=other)
+            np.bitwise_and(eq, up, out=same)
+            same += up
+            same ^= up
+            same |= other
+            np.bitwise_or(same, up, out=plus)
+            np.invert(plus, out=plus)
+            plus |= down
+            np.bitwise_and(up, same, out=minus)
+            now += (plus & top).view(np.int64) != 0
+            now -= (minus & top).view(np.int64) != 0
             np.minimum(best, now, out=best)
-            plus <<= one
-            up = minus << one | ~(other | plus)
-            down = plus & other
+            plus <<= ONE
+            minus <<= ONE
+            other |= plus
+            np.invert(other, out=up)
+            up |= minus
+            # down = plus & (eq | old down); other holds that and plus
+            np.bitwise_and(plus, eq | down, out=down)
         return best
 
     def match(self, texts: list[str | None]) -> Iterator[tuple[int, int | None, int, int]]:
