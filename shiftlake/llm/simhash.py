@@ -153,7 +153,13 @@ def keep_one(df: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     prints, owners = _prints_and_owners(df, shingle, max_bits)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
     kept = (prints.join(owners, "fp").groupBy("root").agg(F.min(place).alias("m"))
-            .select(F.col("m.id").alias("__keep"), F.col("m.h").alias("__keep_h")))
-    rows = df.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    held = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__h") == F.col("__keep_h")), "left_semi")
-    return held.dropDuplicates(["doc_id", "__h"]).select(*[f"`{n}`" for n in df.columns])
+            .select(*_key("m.none", "m.id"), F.col("m.h").alias("__h")))
+    rows = df.select("*", *_key(F.col("doc_id").isNull(), "doc_id"), F.xxhash64(F.col("text").cast("string")).alias("__h"))
+    key = ["__none", "__id", "__h"]  # plain keys for both, so that texts are shuffled once
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*[f"`{n}`" for n in df.columns])
+
+
+def _key(none, doc_id) -> list:
+    """A doc_id as two columns without nulls."""
+    none, doc_id = (F.col(c) if isinstance(c, str) else c for c in (none, doc_id))
+    return [none.alias("__none"), F.when(~none, doc_id.cast("string")).otherwise("").alias("__id")]

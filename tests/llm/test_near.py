@@ -300,3 +300,19 @@ def test_top_k_odd_rows(spark, block):
     con.execute("CREATE VIEW embeddings AS SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM plain")
     assert sorted(con.execute(LLM_ORACLE["op10_exact_top_k"]).fetchall()) == sorted(got)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_keep_one_shuffles_texts_once(spark, make):
+    from shiftlake.llm.simhash import keep_one
+
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "x y z u v w"), (None, "x y z u v w"), (2, None), (0, "k l m n o p")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = keep_one(make(rows))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("SortMergeJoin") < plan.index("Exchange")  # no shuffle of whole rows behind the join
+        assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(
+            [(1, "a b c d e f"), (None, "x y z u v w"), (2, None), (0, "k l m n o p")], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
