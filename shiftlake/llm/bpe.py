@@ -7,6 +7,9 @@ tries the next shorter one, and steps back when none is left; places found
 dead are marked, so the work is linear in the word. The result equals the
 merge loop's. Words are the matches of the split pattern; the packed ids of
 recent words, and of recent stretches between spaces, are kept in bounded memos.
+An executor runs four workers here for two tasks (one that encodes and one that
+decodes for each), so decoding keeps a table of bytes and no encoder, and
+batches are worked off in pieces of PIECE_BYTES.
 
 Ids are 32-bit unsigned, little-endian, packed in one binary value per row.
 
@@ -25,11 +28,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlake.llm.common import documents, map_batches
+from shiftlake.llm.common import documents, give_back, map_batches
 from shiftlake.llm.merges import Pairs, merge
 
 WORDS_KEPT = 250_000
 LONGEST_KEPT = 64
+PIECE_BYTES = 2 << 20
 PACKED = "<%dI"
 
 
@@ -117,8 +121,7 @@ class Encoder:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in memoryview(ids).cast("I")])
+        return decoded(ids, self.bytes)
 
 
 class Shorter(dict):
@@ -134,11 +137,24 @@ class Shorter(dict):
         return got
 
 
+def _ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=2)
 def load(ranks_path: str, pattern: str) -> Encoder:
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Encoder(ranks, pattern)
+    return Encoder(_ranks(ranks_path), pattern)
+
+
+@lru_cache(maxsize=2)
+def load_table(ranks_path: str) -> dict[int, bytes]:
+    """The bytes of every id."""
+    return {i: b for b, i in _ranks(ranks_path).items()}
+
+
+def decoded(ids: bytes, table: dict[int, bytes]) -> bytes:
+    return b"".join([table[i] for i in memoryview(ids).cast("I")])
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +167,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             packed = encoder(text) if text else b""
             yield i, len(packed) // 4, packed
 
-    return map_batches(docs, rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return map_batches(docs, rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary", PIECE_BYTES)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -159,12 +175,15 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     encoded = df.select("doc_id", "n_tokens", "ids")
 
     def rows(ids, counts, packed):
-        encoder = load(ranks_path, pattern)
+        if load.cache_info().currsize:  # this worker encoded in a task before
+            load.cache_clear()
+            give_back()
+        table = load_table(ranks_path)
         for i, n, p in zip(ids, counts, packed):
-            yield i, n, p, encoder.decode(p) if p else b""
+            yield i, n, p, decoded(p, table) if p else b""
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_batches(encoded, rows, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return map_batches(encoded, rows, f"doc_id {kind}, n_tokens long, ids binary, decoded binary", PIECE_BYTES)
 
 
 def round_trip_digest(df: DataFrame) -> DataFrame:

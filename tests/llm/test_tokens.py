@@ -196,3 +196,24 @@ def test_records_encoder_parts_joined_stretches(hf, monkeypatch):
 def test_parts_are_bounded_and_whole():
     sizes = records.np.cumsum([5, 1, 1, 20, 0, 3, 3])
     assert list(records.parts(sizes, 6)) == [(0, 2), (2, 3), (3, 4), (4, 7)] and list(records.parts(sizes[:0], 6)) == []
+
+
+def test_decoding_keeps_no_encoder(odd, monkeypatch):
+    encoded = bpe.encode(odd, RANKS, P.PATTERN)
+    ids = bpe.load(RANKS, P.PATTERN)("to and fro")
+    monkeypatch.setattr(bpe, "map_batches", lambda df, rows, schema, piece_bytes: (rows, piece_bytes))
+    rows, piece_bytes = bpe.decode(encoded, RANKS, P.PATTERN)
+    assert list(rows([1, 2], [len(ids) // 4, 0], [ids, None])) == [(1, len(ids) // 4, ids, b"to and fro"), (2, 0, None, b"")]
+    assert bpe.load.cache_info().currsize == 0 and piece_bytes == bpe.PIECE_BYTES
+
+
+def test_batches_are_worked_off_in_pieces(odd, monkeypatch):
+    from shiftlake.llm import common
+    batch = records.pa.record_batch([records.pa.array(range(100)), records.pa.array(["x" * 1000] * 99 + ["y" * 50000])], ["a", "b"])
+    parts = list(common.pieces(batch, 10000))
+    assert records.pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch) and max(p.num_rows for p in parts) < 10
+    assert [p.num_rows for p in common.pieces(batch, 1)] == [1] * 100 and list(common.pieces(batch.slice(0, 0), 10)) == []
+    seen = []
+    monkeypatch.setattr(common, "map_arrow", lambda df, run, schema, owner: run)
+    run = common.map_batches(odd, lambda a, b: seen.append(len(a)) or zip(a, b), "a long, b string", 10000)
+    assert records.pa.Table.from_batches(run(iter([batch, batch.slice(0, 0)]))).column("a").to_pylist() == list(range(100)) and max(seen) < 10
