@@ -28,10 +28,12 @@ an empty result; other columns are ignored. A damaged record raises on read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,9 @@ WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
 TEXT_BYTES = 8 << 20  # of texts encoded together
 JOINED = 4096  # new stretches
+ID = attrgetter("id")
+LATIN, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ",.;:!?"  # letters of every Unicode version
+SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 SPACE = "\u0120"  # how byte-level vocabularies write a space
 SPACES = "[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # Python's and more than the library's
 
@@ -92,14 +97,23 @@ def unframe(data, at: int):
     return doc_id if flags & 1 else None, ids, end + TAIL.size + len(END)
 
 
+def _shown(c: str) -> str:
+    """A letter's bytes as byte-level vocabularies write them: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = {b: 0x100 + n for n, b in enumerate(sorted(set(range(256)).difference(plain)))}
+    return "".join(chr(others.get(b, b)) for b in c.encode())
+
+
 class BatchEncoder:
     """Ids of texts by the tokenizers library, which sees each stretch between spaces once while it is kept.
 
     Only for tokenizers whose split pattern begins a word at a space between
     two other characters (byte-level ones); texts with neighbouring white
     space or a special string go to the library whole. Arrow cuts the texts and
-    numbers their different stretches. New ones go to the library joined, as a
-    text of their own, and the ids that begin with a space part them again.
+    numbers their different stretches. New ones that are one word of Latin letters
+    (a mark may follow) go straight to the library's merges, as the split pattern
+    leaves them whole; the others go to the library joined, as a text of their own,
+    and the ids that begin with a space part them again.
     Stretches are kept in two generations: when the young one is full it becomes
     the old one, and what is seen again moves back to the young one, so frequent
     words stay.
@@ -120,6 +134,16 @@ class BatchEncoder:
         vocab = self.library.get_vocab()
         self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.begins[[i for t, i in vocab.items() if SPACE in t]] = True
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = rules.get("pre_tokenizer") or {}
+        # words go to the model itself only where nothing but the usual split lies before it
+        self.straight = (self.library.model.tokenize if rules.get("normalizer") is None and rules["model"]["type"] == "BPE"
+                         and not rules["model"].get("dropout") and SPLIT.items() <= split.items() else None)
+        del rules
+        self.marks = {c: e.ids for c, e in zip(MARKS, self.library.encode_batch_fast([*MARKS], add_special_tokens=False))}
+        self.word = re.compile(f"([{LATIN}]+)([{MARKS}]?)").fullmatch
+        self.letters = str.maketrans({c.encode().decode("latin-1")[k]: x for c in map(chr, range(0xC0, 0x100)) for k, x in enumerate(_shown(c))})
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -129,11 +153,32 @@ class BatchEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, units: list[str], out: list[bytes]) -> list[int]:
+        """Puts the ids of single words, each with the space before it, to their places; returns the places of the others."""
+        rest, places, ids, ends = [], [], [], [0]
+        for i, u in enumerate(units):
+            m = self.word(u)
+            if m is None:
+                rest.append(i)
+                continue
+            word, mark = m.groups()
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids.extend(map(ID, self.straight(SPACE + shown)))
+            if mark:
+                ids += self.marks[mark]
+            places.append(i)
+            ends.append(len(ids))
+        data, size = self.pack(ids), self.kind.itemsize
+        for i, a, b in zip(places, ends, ends[1:]):
+            out[i] = data[a * size:b * size]
+        return rest
+
     def _fresh(self, units: list[str]) -> list[bytes]:
         """Ids of stretches, each with the space before it; a text's first one has none and is marked by a space behind it."""
         out: list[bytes] = [b""] * len(units)
-        plain = [i for i, u in enumerate(units) if self.joins and u and not u[0].isspace() and not u[-1].isspace()]
-        alone = sorted(set(range(len(units))).difference(plain))
+        rest = self._words(units, out) if self.straight else range(len(units))
+        plain = [i for i in rest if self.joins and units[i] and units[i].strip() == units[i]]
+        alone = sorted(set(rest).difference(plain)) if len(plain) < len(rest) else []
         for at in range(0, len(plain), JOINED):
             part = plain[at:at + JOINED]
             (encoded,) = self.library.encode_batch_fast([" " + " ".join([units[i] for i in part])], add_special_tokens=False)
@@ -152,21 +197,20 @@ class BatchEncoder:
         return out
 
     def _kept(self, units: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        new = []
-        for u in units:
-            got = self.young.get(u)
-            if got is None and (got := self.old.get(u)) is not None:
-                self.young[u] = got
-            if got is None:
-                new.append(u)
-            out.append(got)
+        out = list(map(self.young.get, units))
+        places = [i for i, got in enumerate(out) if got is None]
+        lost = [units[i] for i in places]
+        again = list(map(self.old.get, lost))
+        self.young.update((u, got) for u, got in zip(lost, again) if got is not None)
+        new = [u for u, got in zip(lost, again) if got is None]
         made = self._fresh(new)
-        self.young.update((u, i) for u, i in zip(new, made) if len(u) <= LONGEST_KEPT)
+        self.young.update((u, got) for u, got in zip(new, made) if len(u) <= LONGEST_KEPT)
         if len(self.young) > WORDS_KEPT // 2:
             self.old, self.young = self.young, {}
         fill = iter(made)
-        return [next(fill) if i is None else i for i in out]
+        for i, got in zip(places, again):
+            out[i] = next(fill) if got is None else got
+        return out
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The packed ids of each of the texts (strings without nulls)."""

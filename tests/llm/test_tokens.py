@@ -217,3 +217,19 @@ def test_batches_are_worked_off_in_pieces(odd, monkeypatch):
     monkeypatch.setattr(common, "map_arrow", lambda df, run, schema, owner: run)
     run = common.map_batches(odd, lambda a, b: seen.append(len(a)) or zip(a, b), "a long, b string", 10000)
     assert records.pa.Table.from_batches(run(iter([batch, batch.slice(0, 0)]))).column("a").to_pylist() == list(range(100)) and max(seen) < 10
+
+
+def test_records_encoder_merges_plain_words_itself(hf, monkeypatch):
+    rnd = random.Random(3)
+    letters = [c for c in map(chr, range(0x100)) if c.isalpha()]
+    words = ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) + rnd.choice(["", ",", ".", "?", "!", ":", ";"]) for _ in range(3000)]
+    words += [c + "x" for c in letters if c not in "\u00aa\u00b5\u00ba"] + ["quan\u00b5t", "it's", "a,b", "a,,", ",", "\u0131x", "\u4e00"]
+    texts = ["a " + " ".join(words[i:i + 7]) for i in range(0, len(words), 7)]
+    encoder = records.BatchEncoder(JSON)
+    calls = []
+    monkeypatch.setattr(encoder, "library", type("Counted", (), {"encode_batch_fast": staticmethod(
+        lambda t, **k: calls.extend(t) or hf.encode_batch_fast(t, **k))}))
+    got = encoder(records.pa.array(texts))
+    assert [records.np.frombuffer(g, encoder.kind).tolist() for g in got] == [hf.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = {w for w in words if encoder.word(w)} - {"a"}  # the first word of each text goes the other way
+    assert len(plain) > 2000 and not plain.intersection(" ".join(calls).split())
