@@ -316,3 +316,69 @@ def test_keep_one_shuffles_texts_once(spark, make):
             [(1, "a b c d e f"), (None, "x y z u v w"), (2, None), (0, "k l m n o p")], key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_removes_its_shuffle_files(spark):
+    import glob
+    import tempfile
+    import time
+
+    files = lambda: {f for d in tops for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    tops = (spark.conf.get("spark.local.dir", None) or tempfile.gettempdir()).split(",")
+    tops = [f for d in tops for f in glob.glob(f"{d}/blockmgr-*")]
+    before = files()
+    frame = spark.range(100, numPartitions=3).selectExpr("id % 7 as k").groupBy("k").count()
+    frame.collect()
+    assert files() - before  # they are seen while nothing removes them
+    before = files()
+    assert lines.stored(frame, "line_wanted").count() == 7
+    shuffles = lambda: {f.rpartition("/")[2].split("_")[1] for f in files() - before}
+    for _ in range(50):
+        if len(shuffles()) <= 1:  # the count has one of its own
+            break
+        time.sleep(0.1)
+    assert len(shuffles()) <= 1
+
+
+def test_line_dedup_leaves_no_steps_on_disk(spark, make):
+    import glob
+    from shiftlake.session import shared_dir
+
+    at = f"{shared_dir(spark).removeprefix('file://')}/shiftlake/llm"
+    rnd = random.Random(11)
+    rows = [(i, "\n".join("".join(rnd.choice("abcdefgh ") for _ in range(60)) for _ in range(3)) + "\nthe line of all, number %d" % (i // 2)) for i in range(40)]
+    steps = lambda: {p for p in glob.glob(f"{at}/*/*") if not p.split("/")[-2].startswith(("links", "line_repeated", "line_copies"))}
+    before = steps()
+    got = lines.dedup_lines(make(rows))
+    assert steps() == before
+    assert {r.doc_id: r.text for r in got.collect()} == dedup_brute(rows)
+
+
+def test_only_postings_under_shared_keys_are_dealt(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(12)
+    rows = [(h * 0x9E3779B97F4A7C15 % 2 ** 63, [rnd.getrandbits(63) if k or h % 10 else 77 for k in range(lines.BANDS)], h) for h in range(1, 3000)]
+    rows += rows[:500]  # the same line again is no second line
+    signed = spark.createDataFrame(rows, "h long, keys array<long>, bits long").repartition(4)
+    for told in (lines.TOLD, 50):  # runs of any length
+        monkeypatch.setattr(lines, "TOLD", told)
+        posts = lines._posts(signed).distinct().collect()
+        assert {r.h for r in posts if r.key == 77} == {r[0] for r in rows if r[2] % 10 == 0}
+        assert len(posts) < 299 + 0.02 * 3000 * lines.BANDS
+    assert lines._posts(signed.limit(0)).count() == 0
+
+
+def test_lines_across_components_meet_in_groups_of_any_size(spark, monkeypatch):
+    """Small groups meet as they are, larger ones through the prefix filter: no similar pair of different roots is lost in either."""
+    rnd = random.Random(13)
+    base = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+    texts = {n: base[:n] + "".join(rnd.choice("XYZ") for _ in range(n % 7)) + base[n + n % 7:] for n in range(1, 60)}
+    few = spark.createDataFrame(list(texts.items()), "h long, line string")
+    apart = spark.createDataFrame([(n, n // 3, 0) for n in texts], "h long, root long, largest long")
+    sets = {n: grams(t) for n, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a < b and a // 3 != b // 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for group in (lines.GROUP, 5):
+        monkeypatch.setattr(lines, "GROUP", group)
+        got = lines._verified(lines._rest(apart, few, lines.SHINGLE, lines.SIMILARITY), few, lines.SHINGLE, lines.SIMILARITY)
+        assert want and {tuple(r) for r in got.collect()} == want
